@@ -24,7 +24,7 @@ from .common import text_of
 #: Larger than any rank: the position starts no pair of the vocabulary.
 NO_PAIR = 1 << 60
 #: Matches of at most so many bytes are remembered, so many of them at a time.
-MEMO_BYTES, MEMO_ENTRIES = 64, 200_000
+MEMO_BYTES, MEMO_ENTRIES = 64, 400_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -37,33 +37,19 @@ def load_ranks(path: str) -> dict[bytes, int]:
     return ranks
 
 
-class RankTree:
-    """Minimum over positions of (pair rank, position), by point update."""
+class _Memo(dict):
+    """Of a match: its ids as text, their number, and the bytes they decode to; only short ones stay."""
 
-    def __init__(self, ranks: list[int]) -> None:
-        self.leaves = max(1, 1 << (len(ranks) - 1).bit_length())
-        pad = self.leaves - len(ranks)
-        #: A node holds rank * leaves + position, so the smallest is the leftmost of the smallest rank.
-        level = [r * self.leaves + i for i, r in enumerate(ranks)] + [NO_PAIR * self.leaves] * pad
-        self.nodes = [0] * self.leaves + level
-        for node in range(self.leaves - 1, 0, -1):
-            a, b = self.nodes[2 * node], self.nodes[2 * node + 1]
-            self.nodes[node] = a if a < b else b
+    def __init__(self, bpe: ByteBpe) -> None:
+        super().__init__()
+        self.bpe = bpe
 
-    def set(self, position: int, rank: int) -> None:
-        nodes, node = self.nodes, self.leaves + position
-        nodes[node] = rank * self.leaves + position
-        node >>= 1
-        while node:
-            a, b = nodes[2 * node], nodes[2 * node + 1]
-            best = a if a < b else b
-            if nodes[node] == best:
-                return
-            nodes[node] = best
-            node >>= 1
-
-    def least(self) -> tuple[int, int]:
-        return divmod(self.nodes[1], self.leaves)
+    def __missing__(self, match: str) -> tuple[str, int, bytes]:
+        ids = self.bpe.merge(match.encode("utf-8", "surrogatepass"))
+        found = ",".join(map(str, ids)), len(ids), self.bpe.decode(ids)
+        if len(match) <= MEMO_BYTES:
+            self[match] = found
+        return found
 
 
 class ByteBpe:
@@ -73,7 +59,7 @@ class ByteBpe:
         self.ranks = ranks
         self.tokens = {rank: token for token, rank in ranks.items()}
         self.split = regex.compile(pattern)
-        self.memo: dict[str, tuple[str, int, bytes]] = {}
+        self.memo = _Memo(self)
 
     def merge(self, piece: bytes) -> list[int]:
         """Ids of one match."""
@@ -81,26 +67,46 @@ class ByteBpe:
         if whole is not None:
             return [whole]
         n, ranks = len(piece), self.ranks
+        get = ranks.get
         end = list(range(1, n + 1))  # of the live part that starts here
         before = list(range(-1, n - 1))  # start of the live part on the left
-        pair = ranks.get
-        tree = RankTree([pair(piece[i : i + 2], NO_PAIR) for i in range(n - 1)] + [NO_PAIR])
-        while True:
-            rank, at = tree.least()
-            if rank >= NO_PAIR:
-                break
+        # A node of the tree holds rank * leaves + position, so the smallest is the leftmost of the smallest rank.
+        leaves = 1 << (n - 1).bit_length()
+        bits = leaves.bit_length() - 1
+        tree = [NO_PAIR] * (2 * leaves)
+        for i in range(n - 1):
+            rank = get(piece[i : i + 2])
+            if rank is not None:
+                tree[leaves + i] = rank << bits | i
+        for node in range(leaves - 1, 0, -1):
+            a, b = tree[2 * node], tree[2 * node + 1]
+            tree[node] = a if a < b else b
+        while tree[1] != NO_PAIR:
+            at = tree[1] & (leaves - 1)
             gone = end[at]
-            end[at] = end[gone]
-            after = end[at]
+            end[at] = after = end[gone]
+            rank = None
             if after < n:
                 before[after] = at
-                tree.set(at, pair(piece[at : end[after]], NO_PAIR))
-            else:
-                tree.set(at, NO_PAIR)
-            tree.set(gone, NO_PAIR)
+                rank = get(piece[at : end[after]])
+            changed = [(gone, NO_PAIR), (at, NO_PAIR if rank is None else rank << bits | at)]
             left = before[at]
             if left >= 0:
-                tree.set(left, pair(piece[left : end[at]], NO_PAIR))
+                rank = get(piece[left:after])
+                changed.append((left, NO_PAIR if rank is None else rank << bits | left))
+            for node, best in changed:
+                node += leaves
+                if tree[node] == best:
+                    continue
+                tree[node] = best
+                while node > 1:
+                    other = tree[node ^ 1]
+                    if other < best:
+                        best = other
+                    node >>= 1
+                    if tree[node] == best:
+                        break
+                    tree[node] = best
         ids, at = [], 0
         while at < n:
             ids.append(ranks[piece[at : end[at]]])
@@ -116,22 +122,18 @@ class ByteBpe:
     def decode(self, ids: Iterable[int]) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))
 
-    def _known(self, match: str) -> tuple[str, int, bytes]:
-        """Of a match: its ids as text, their number, and the bytes they decode to."""
-        ids = self.merge(match.encode("utf-8", "surrogatepass"))
-        found = ",".join(map(str, ids)), len(ids), self.decode(ids)
-        if len(match) <= MEMO_BYTES:
-            if len(self.memo) >= MEMO_ENTRIES:
-                self.memo.clear()
-            self.memo[match] = found
-        return found
-
     def digest(self, text: str) -> tuple[int, str, str]:
         """Number of ids, SHA-256 of the ids joined by commas, SHA-256 of the bytes decoded from them."""
-        memo, known = self.memo.get, self._known
-        found = [memo(m) or known(m) for m in self.split.findall(text)]
-        ids = ",".join([f[0] for f in found])
-        return sum([f[1] for f in found]), hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(b"".join([f[2] for f in found])).hexdigest()
+        matches = self.split.findall(text)
+        if not matches:
+            return 0, _NOTHING, _NOTHING
+        if len(self.memo) >= MEMO_ENTRIES:
+            self.memo.clear()
+        ids, counts, content = zip(*map(self.memo.__getitem__, matches), strict=True)
+        return sum(counts), hashlib.sha256(",".join(ids).encode()).hexdigest(), hashlib.sha256(b"".join(content)).hexdigest()
+
+
+_NOTHING = hashlib.sha256(b"").hexdigest()
 
 
 _HELD: dict[tuple[str, str], ByteBpe] = {}
