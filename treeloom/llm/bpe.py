@@ -11,9 +11,11 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from array import array
 from collections.abc import Iterable, Iterator
 from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -38,15 +40,15 @@ def load_ranks(path: str) -> dict[bytes, int]:
 
 
 class _Memo(dict):
-    """Of a match: its ids as text, their number, and the bytes they decode to; only short ones stay."""
+    """Of a match: its ids as text, their number, the bytes they decode to, the ids as bytes; only short ones stay."""
 
     def __init__(self, bpe: ByteBpe) -> None:
         super().__init__()
         self.bpe = bpe
 
-    def __missing__(self, match: str) -> tuple[str, int, bytes]:
+    def __missing__(self, match: str) -> tuple[str, int, bytes, bytes]:
         ids = self.bpe.merge(match.encode("utf-8", "surrogatepass"))
-        found = ",".join(map(str, ids)), len(ids), self.bpe.decode(ids)
+        found = ",".join(map(str, ids)), len(ids), self.bpe.decode(ids), array("i", ids).tobytes()
         if len(match) <= MEMO_BYTES:
             self[match] = found
         return found
@@ -122,15 +124,15 @@ class ByteBpe:
     def decode(self, ids: Iterable[int]) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))
 
-    def digest(self, text: str) -> tuple[int, str, str]:
-        """Number of ids, SHA-256 of the ids joined by commas, SHA-256 of the bytes decoded from them."""
+    def digest(self, text: str) -> tuple[int, str, str, bytes]:
+        """Number of ids, SHA-256 of the ids joined by commas, SHA-256 of the bytes decoded from them, the ids as 4 bytes each."""
         matches = self.split.findall(text)
         if not matches:
-            return 0, _NOTHING, _NOTHING
+            return 0, _NOTHING, _NOTHING, b""
         if len(self.memo) >= MEMO_ENTRIES:
             self.memo.clear()
-        ids, counts, content = zip(*map(self.memo.__getitem__, matches), strict=True)
-        return sum(counts), hashlib.sha256(",".join(ids).encode()).hexdigest(), hashlib.sha256(b"".join(content)).hexdigest()
+        ids, counts, content, packed = zip(*map(self.memo.__getitem__, matches), strict=True)
+        return sum(counts), hashlib.sha256(",".join(ids).encode()).hexdigest(), hashlib.sha256(b"".join(content)).hexdigest(), b"".join(packed)
 
 
 _NOTHING = hashlib.sha256(b"").hexdigest()
@@ -171,11 +173,11 @@ def decode(encoded: DataFrame, rank_path: str, pattern: str) -> DataFrame:
     return encoded.select("doc_id", "ids").mapInArrow(run, f"doc_id {dict(encoded.dtypes)['doc_id']}, content binary")
 
 
-def encode_digests(docs: DataFrame, rank_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def encode_digests(docs: DataFrame, rank_path: str, pattern: str, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encode each whole text, decode the ids again, and return digests of both.
 
-    doc_id, n_tokens, ids_sha256 (ids in decimal, joined by commas) and
-    decoded_sha256 (the decoded bytes).  A null text is empty: no tokens, and
+    doc_id, n_tokens, ids_sha256 (ids in decimal, joined by commas),
+    decoded_sha256 (the decoded bytes) and, if asked for, ids.  A null text is empty: no tokens, and
     both digests are those of no bytes.  A repeated row is encoded again.
     Other columns are not read.  No rows give no rows.
     """
@@ -184,6 +186,12 @@ def encode_digests(docs: DataFrame, rank_path: str, pattern: str, id_col: str =
         bpe = codec(rank_path, pattern)
         for batch in batches:
             found = [bpe.digest(t) for t in batch.column(1).to_pylist()]
-            yield pa.record_batch([batch.column(0), pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.string()), pa.array([f[2] for f in found], pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text")).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+            columns = [batch.column(0), pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.string()), pa.array([f[2] for f in found], pa.string())]
+            names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+            if with_ids:
+                ends = np.cumsum([0, *(f[0] for f in found)], dtype=np.int32)
+                columns.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(f[3] for f in found), np.int32))))
+                names.append("ids")
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text")).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Iterator
 
@@ -33,10 +34,16 @@ def checkpoint(df: DataFrame, what: str = "cut") -> DataFrame:
     """
     spark = df.sparkSession
     path = shared_path(spark, what)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of what has been written and is not referred to any more."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def drop_written(spark: SparkSession, path: str) -> None:
     """Delete a folder that an operator wrote, through Spark's own file systems."""
     jvm = spark.sparkContext._jvm

@@ -5,41 +5,45 @@ from __future__ import annotations
 import numpy as np
 
 
-def suffix_ranks(first: np.ndarray, depth: int) -> np.ndarray:
+def suffix_ranks(first: np.ndarray, depth: int, ended: np.ndarray) -> np.ndarray:
     """Rank of every suffix, by doubling the compared depth.
 
     ``first`` has a key for each suffix that orders it by its first ``depth``
-    symbols; a suffix that meets a terminator within them must have a key of
-    its own.  Only suffixes that are still equal to another are sorted again.
+    symbols up to a terminator; ``ended`` marks those that meet one, whose
+    equals go by position.  Only suffixes that are still equal to another are
+    sorted again.
     """
     n = len(first)
     order = np.argsort(first)
+    done = np.flatnonzero(ended[order])
+    short = order[done]
+    order[done] = short[np.lexsort((short, first[short]))]
     rank = np.empty(n, np.int64)
-    key = first[order]
-    open_at, group = _regroup(order, key, np.zeros(n, np.int64), rank)
-    while len(open_at):
-        key = (group << 32) | rank[open_at + depth]
+    at, slot, group = _regroup(order, np.arange(n), first[order], rank, ended[order])
+    while len(at):
+        key = (group << 32) | rank[at + depth]
         order = np.argsort(key)
-        open_at, group = _regroup(open_at[order], key[order], group[order], rank)
+        at, slot, group = _regroup(at[order], slot, key[order], rank)
         depth *= 2
     return rank
 
 
-def _regroup(at: np.ndarray, key: np.ndarray, group: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Give sorted suffixes the rank of the first of their equals; those that have equals, and their ranks, are returned."""
-    n = len(at)
-    index = np.arange(n)
-    fresh = np.empty(n, bool)
+def _regroup(at: np.ndarray, slot: np.ndarray, key: np.ndarray, rank: np.ndarray, ended: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Give the suffixes ``at``, sorted by ``key`` into the places ``slot``, the place of the first of their equals.
+
+    Those that have equals are returned, with their places and ranks.
+    """
+    fresh = np.empty(len(at), bool)
     fresh[:1] = True
     np.not_equal(key[1:], key[:-1], out=fresh[1:])
-    outer = np.empty(n, bool)
-    outer[:1] = True
-    np.not_equal(group[1:], group[:-1], out=outer[1:])
-    new = group + np.maximum.accumulate(np.where(fresh, index, 0)) - np.maximum.accumulate(np.where(outer, index, 0))
+    if ended is not None:
+        fresh |= ended
+    starts = np.flatnonzero(fresh)
+    sizes = np.diff(np.append(starts, len(at)))
+    new = np.repeat(slot[starts], sizes)
     rank[at] = new
-    alone = fresh.copy()
-    alone[:-1] &= fresh[1:]
-    return at[~alone], new[~alone]
+    more = np.repeat(sizes > 1, sizes)
+    return at[more], slot[more], new[more]
 
 
 class WaveletMatrix:
@@ -76,7 +80,7 @@ class FmIndex:
         n = len(text)
         place = np.arange(n)
         ends = text == 0
-        rank = suffix_ranks(np.where(ends, place, n + text), 1)
+        rank = suffix_ranks(text, 1, ends)
         sa = np.empty(n, np.int64)
         sa[rank] = place
         before = text[sa - 1]  # the first suffix wraps to the last terminator
@@ -122,3 +126,91 @@ class FmIndex:
             rows[open_at] = self.first[symbol] + self.wavelet.rank(symbol, at)
             steps += 1
         return out
+
+
+class RunLengthIndex:
+    """Run-compressed Burrows-Wheeler transform of byte strings, with common-prefix samples at the ends of its runs.
+
+    Every string ends in a terminator of its own.  Within a run, a step to the
+    preceding byte lengthens the match with the neighbouring suffix by one; at
+    the ends of a run it is sampled.  So the statistics of all matches stream
+    from the runs alone, a step of all strings at a time.
+    """
+
+    def __init__(self, strings: list[bytes]) -> None:
+        lengths = np.fromiter(map(len, strings), np.int64, len(strings))
+        self.lengths = lengths
+        text = np.frombuffer(b"\xff".join(strings) + b"\xff" * 9, np.uint8)
+        text = np.where(text == 255, 0, text + 1).astype(np.uint8)  # no byte of UTF-8 is 255
+        n = int(lengths.sum()) + len(strings)
+        ends = np.cumsum(lengths + 1) - 1
+        left = np.repeat(ends, lengths + 1) - np.arange(n)  # symbols before the terminator
+        key = np.ndarray((n,), ">u8", buffer=text.tobytes(), strides=(1,)).astype(np.uint64)
+        ended = left < 8
+        keep = left[ended].astype(np.uint64)
+        key[ended] &= ~((np.uint64(1) << (np.uint64(64) - np.uint64(8) * keep) % np.uint64(64)) - np.uint64(1)) * (keep > 0)
+        rank = suffix_ranks(key, 8, ended)
+        sa = np.empty(n, np.int64)
+        sa[rank] = np.arange(n)
+        bwt = text[sa - 1]  # the first suffix wraps around to a terminator
+        bwt[sa == 0] = 0
+        head = np.ones(n, bool)
+        head[1:] = bwt[1:] != bwt[:-1]
+        self.run_starts = np.flatnonzero(head)
+        self.run_lengths = np.diff(np.append(self.run_starts, n))
+        self.run_symbols = bwt[self.run_starts]
+        # Where the first row of each run goes.
+        order = np.argsort(self.run_symbols, kind="stable")
+        to = np.empty(len(order), np.int64)
+        to[order] = np.cumsum(self.run_lengths[order]) - self.run_lengths[order]
+        self.to = to
+        last = to + self.run_lengths - 1
+        self.above = self._common(text, sa, left, to, to - 1)
+        self.below = self._common(text, sa, left, last, last + 1)
+        self.begin = rank[ends]
+
+    @staticmethod
+    def _common(text: np.ndarray, sa: np.ndarray, left: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Length of the common prefix of the suffixes of rows ``a`` and ``b``, 0 where there is no row ``b``."""
+        out = np.zeros(len(a), np.int64)
+        live = np.flatnonzero((b >= 0) & (b < len(sa)))
+        x, y = sa[a[live]], sa[b[live]]
+        most = np.minimum(left[x], left[y])
+        eight = np.ndarray((len(text) - 7,), "<u8", buffer=text.tobytes(), strides=(1,))
+        done = np.zeros(len(live), np.int64)
+        at = np.arange(len(live))
+        while len(at):
+            differ = eight[x[at] + done[at]] ^ eight[y[at] + done[at]]
+            same = np.where(differ == 0, 8, (np.bitwise_count((differ & (~differ + np.uint64(1))) - np.uint64(1)) >> 3))
+            done[at] += same
+            at = at[(same == 8) & (done[at] < most[at])]
+        out[live] = np.minimum(done, most)
+        return out
+
+    def repeated(self, which: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+        """Streamed matching statistics: (string, offset) of suffixes of the strings ``which`` that share
+        ``length`` bytes or more with another suffix of the index."""
+        row = self.begin[which]
+        run = np.searchsorted(self.run_starts, row, "right") - 1
+        offset = row - self.run_starts[run]
+        place = self.lengths[which].copy()
+        up, down = np.zeros(len(which), np.int64), np.zeros(len(which), np.int64)
+        found_in, found_at = [], []
+        which = which.copy()
+        while len(which):
+            up = np.where(offset == 0, self.above[run], up + 1)
+            down = np.where(offset == self.run_lengths[run] - 1, self.below[run], down + 1)
+            row = self.to[run] + offset
+            run = np.searchsorted(self.run_starts, row, "right") - 1
+            offset = row - self.run_starts[run]
+            place -= 1
+            hit = np.maximum(up, down) >= length
+            if hit.any():
+                found_in.append(which[hit])
+                found_at.append(place[hit])
+            more = place > 0
+            if not more.all():
+                which, run, offset, place, up, down = (v[more] for v in (which, run, offset, place, up, down))
+        if not found_in:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return np.concatenate(found_in), np.concatenate(found_at)

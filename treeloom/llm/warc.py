@@ -9,6 +9,7 @@ tasks together are in global order.
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 from collections.abc import Callable, Iterable, Iterator
 from datetime import UTC, datetime
@@ -22,7 +23,7 @@ from .common import checkpoint, shared_path
 #: Payloads below this size are never revisits.
 REVISIT_BYTES = 1000
 #: Expected bytes of an archive file.
-FILE_BYTES = 32 << 20
+FILE_BYTES = 8 << 20
 END = "\r\n\r\n"
 
 
@@ -92,8 +93,9 @@ def write_warc(pages: DataFrame, path: str, threshold: int = REVISIT_BYTES, file
     at least ``threshold`` bytes the largest page_id is a response and the
     others are revisits of it without a payload; rows that repeat that page_id
     too are responses each.  A null url is stored as ``about:blank``, control
-    characters and spaces in a url as ``%20``.  Captures are dated by page_id,
-    in seconds since 2000-01-01, a null page_id as 0.
+    characters and spaces in a url as ``%20``.  Captures are dated by page_id, in
+    seconds since 2000-01-01, a null page_id as 0.  Files are compressed; offsets
+    are those of their content.
     """
     rows = classify(pages, threshold)
     mean = pages.agg(F.avg(F.octet_length("html"))).first()[0] or 0
@@ -111,7 +113,7 @@ def write_warc(pages: DataFrame, path: str, threshold: int = REVISIT_BYTES, file
         F.when(revisit, F.concat(F.lit("\r\nWARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest\r\nWARC-Refers-To: <urn:page:"), F.col("keep").cast("string"), F.lit(">"))).otherwise(""),
         F.lit("\r\nContent-Type: application/http; msgtype=response\r\nContent-Length: "), F.octet_length(block).cast("string"), F.lit(END),
     )
-    rows.select(F.concat(head, block).alias("value")).write.option("lineSep", END).option("maxRecordsPerFile", max(1, int(file_bytes / (mean + 600)))).text(path)
+    rows.select(F.concat(head, block).alias("value")).write.option("lineSep", END).option("maxRecordsPerFile", max(1, int(file_bytes / (mean + 600)))).option("compression", "gzip").text(path)
 
 
 def parse_warc(content: bytes) -> Iterator[tuple[int, int, dict[str, str], bytes, int]]:
@@ -155,7 +157,7 @@ def _captures(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for name, content in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             rows = []
-            for offset, length, headers, payload, declared in parse_warc(content):
+            for offset, length, headers, payload, declared in parse_warc(gzip.decompress(content)):
                 digest = headers["warc-payload-digest"].removeprefix("sha1:")
                 kind = headers["warc-type"]
                 if kind == "response" and (hashlib.sha1(payload).hexdigest() != digest or len(payload) != declared):
@@ -170,7 +172,7 @@ def _captures(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def read_runs(spark: SparkSession, path: str) -> DataFrame:
     """Captures of the archive files below ``path``; those of a file are in order."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").load(path).select(F.element_at(F.split("path", "/"), -1).alias("run"), "content")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt.gz").load(path).select(F.element_at(F.split("path", "/"), -1).alias("run"), "content")
     return files.mapInArrow(_captures, _CDX)
 
 
