@@ -31,9 +31,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Deal out a table that is read in fewer parts than there are cores; parsing is the work, not moving.
+
+    A large table has parts enough and stays where it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """page_id and html as a document table."""
-    return table(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), F.col("html").alias("content"))
+    return spread(table(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), F.col("html").alias("content")))
 
 
 def page_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -166,7 +175,7 @@ _PART_CSS = "'.p' || p_partkey || '{width:' || p_size || 'px;color:red /* c */ !
 
 
 def part_css(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), F.concat(F.lit(".p"), "p_partkey", F.lit("{width:"), "p_size", F.lit("px;color:red /* c */ !important}@media x{a{b:c}}")).alias("content"))
+    return spread(table(spark, sf_dir, "part")).select(F.col("p_partkey").alias("doc_id"), F.concat(F.lit(".p"), "p_partkey", F.lit("{width:"), "p_size", F.lit("px;color:red /* c */ !important}@media x{a{b:c}}")).alias("content"))
 
 
 @query(f"select p_partkey as doc_id, md5({_PART_CSS}) as digest from part")
@@ -186,7 +195,7 @@ def css_declarations_generated(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def part_js(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.col("p_partkey").cast("string")
-    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), F.concat(F.lit("var x = "), n, F.lit(" / 2; var r = /a{"), n, F.lit("}/g; f(["), n, F.lit("]);")).alias("content"))
+    return spread(table(spark, sf_dir, "part")).select(F.col("p_partkey").alias("doc_id"), F.concat(F.lit("var x = "), n, F.lit(" / 2; var r = /a{"), n, F.lit("}/g; f(["), n, F.lit("]);")).alias("content"))
 
 
 @query("""
@@ -204,7 +213,7 @@ def js_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def event_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").select(F.col("event_id").alias("doc_id"), F.col("props").alias("content"))
+    return spread(table(spark, sf_dir, "events").select(F.col("event_id").alias("doc_id"), F.col("props").alias("content")))
 
 
 @query("select json_valid(props) as valid, count(*) as n from events group by 1")
@@ -227,7 +236,7 @@ def json_tape_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
 def order_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order as JSON with a repeated key, a number spelt as an exponent and its status nested."""
     k = F.col("o_orderkey").cast("string")
-    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), F.concat(F.lit('{"o":'), k, F.lit(',"p":1.50e1,"p":'), k, F.lit(',"s":{"v":"'), "o_orderstatus", F.lit('"},"l":[1,[2]]}')).alias("content"))
+    return spread(table(spark, sf_dir, "orders")).select(F.col("o_orderkey").alias("doc_id"), F.concat(F.lit('{"o":'), k, F.lit(',"p":1.50e1,"p":'), k, F.lit(',"s":{"v":"'), "o_orderstatus", F.lit('"},"l":[1,[2]]}')).alias("content"))
 
 
 @query("""
@@ -282,7 +291,7 @@ def json_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
 """)
 def md_text_lines_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Text leaves of the documents read as Markdown: one for each line that is not blank, but for markers without text."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("content"))
+    docs = spread(table(spark, sf_dir, "documents")).select("doc_id", F.col("text").alias("content"))
     leaves = nodes.parse_nodes(docs, "md").filter("tag in ('text', 'marker', 'info')")
     lines = leaves.groupBy("doc_id", "line").agg(F.count("*").alias("c")).groupBy("doc_id").agg(F.count("*").alias("n"))
     return docs.select("doc_id").join(lines, "doc_id", "left").select("doc_id", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
@@ -306,7 +315,7 @@ def md_fence_swallow(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def order_yaml(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("o_orderkey").cast("string")
-    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), F.concat(F.lit("---\norders:\n  - key: "), k, F.lit("\n    status: "), "o_orderstatus", F.lit("\n    note: |\n      - not an item\n      k: v\n  - {a: 1, b: [2, 3]}\n...\n")).alias("content"))
+    return spread(table(spark, sf_dir, "orders")).select(F.col("o_orderkey").alias("doc_id"), F.concat(F.lit("---\norders:\n  - key: "), k, F.lit("\n    status: "), "o_orderstatus", F.lit("\n    note: |\n      - not an item\n      k: v\n  - {a: 1, b: [2, 3]}\n...\n")).alias("content"))
 
 
 @query("select o_orderkey as doc_id, v.tag, cast(v.n as bigint) as n from orders, (values ('doc', 1), ('item', 4), ('entry', 6), ('scalar', 1), ('flow', 2)) v(tag, n)")
@@ -352,7 +361,7 @@ def cfg_entries_vs_switches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def part_py(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), F.concat(F.lit("def f():\n\n    if x:\n        return "), "p_partkey", F.lit("\n")).alias("content"))
+    return spread(table(spark, sf_dir, "part")).select(F.col("p_partkey").alias("doc_id"), F.concat(F.lit("def f():\n\n    if x:\n        return "), "p_partkey", F.lit("\n")).alias("content"))
 
 
 @query("select p_partkey as doc_id, cast(3 as bigint) as stmts, cast(2 as bigint) as blocks from part")
@@ -363,7 +372,7 @@ def py_stmt_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def part_vds(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.col("p_size").cast("string")
-    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), F.concat(F.lit("<a> | <b> && <c>{1,"), n, F.lit("} || [ x y ]#")).alias("content"))
+    return spread(table(spark, sf_dir, "part")).select(F.col("p_partkey").alias("doc_id"), F.concat(F.lit("<a> | <b> && <c>{1,"), n, F.lit("} || [ x y ]#")).alias("content"))
 
 
 @query("select p_partkey as doc_id, v.tag, cast(v.n as bigint) as n from part, (values ('alt', 1), ('any', 1), ('all', 1), ('comp', 2), ('group', 1), ('juxta', 1)) v(tag, n)")
@@ -379,13 +388,13 @@ def vds_precedence(spark: SparkSession, sf_dir: str) -> DataFrame:
 def dialect_by_extension(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("p_partkey") % 4
     ending = F.when(k == 0, ".CSS").when(k == 1, ".htm").when(k == 2, ".Yml").otherwise(".x")
-    return registry.with_dialect(table(spark, sf_dir, "part").select(F.concat("p_name", ending).alias("path")))
+    return registry.with_dialect(spread(table(spark, sf_dir, "part")).select(F.concat("p_name", ending).alias("path")))
 
 
 @query("""
     select * from (values ('css-parsed', 'css', '.css', 14, 4, 9, 28), ('html-parsed', 'html', '.html .htm .xhtml', 11, 5, 6, 23), ('py-parsed', 'py', '.py .pyi', 10, 0, 4, 14),
-        ('js-parsed', 'js', '.js .mjs .cjs', 11, 0, 3, 14), ('json-parsed', 'json', '.json', 5, 6, 5, 16), ('vds-parsed', 'vds', '.vds', 11, 6, 11, 28),
-        ('md-parsed', 'md', '.md .markdown', 7, 0, 9, 16), ('yaml-parsed', 'yaml', '.yaml .yml', 12, 0, 10, 22), ('cfg-parsed', 'cfg', '.cfg .ini', 11, 0, 6, 17)) v(name, command, exts, text, punct, struct, total)
+        ('js-parsed', 'js', '.js .mjs .cjs', 11, 0, 3, 14), ('json-parsed', 'json', '.json', 5, 6, 5, 16), ('vds-parsed', 'vds', '.vds', 12, 6, 11, 29),
+        ('md-parsed', 'md', '.md .markdown', 7, 0, 9, 16), ('yaml-parsed', 'yaml', '.yaml .yml', 12, 0, 9, 21), ('cfg-parsed', 'cfg', '.cfg .ini', 11, 0, 6, 17)) v(name, command, exts, text, punct, struct, total)
 """)
 def dialect_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return registry.listing(spark).drop("summary").select("name", "command", "exts", *(F.col(c).cast("int").alias(c) for c in ("text", "punct", "struct", "total")))
@@ -398,7 +407,7 @@ def node_spec_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def part_brackets(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("p_partkey")
-    return table(spark, sf_dir, "part").select(k.alias("doc_id"), F.concat(F.repeat(F.lit("("), (k % 5).cast("int")), F.repeat(F.lit(")"), (k % 3).cast("int"))).alias("content"))
+    return spread(table(spark, sf_dir, "part")).select(k.alias("doc_id"), F.concat(F.repeat(F.lit("("), (k % 5).cast("int")), F.repeat(F.lit(")"), (k % 3).cast("int"))).alias("content"))
 
 
 @query("""
@@ -414,7 +423,7 @@ def bracket_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
     select p_partkey as doc_id, 'f.css:1:' || (length('.p' || p_partkey) + 9) || ': error[expected-colon]: expected '':'' after property name' as text from part
 """)
 def diag_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), F.concat(F.lit(".p"), "p_partkey", F.lit("{ color }}")).alias("content"))
+    docs = spread(table(spark, sf_dir, "part")).select(F.col("p_partkey").alias("doc_id"), F.concat(F.lit(".p"), "p_partkey", F.lit("{ color }}")).alias("content"))
     found = nodes.diagnose(docs, "css").filter("code = 'expected-colon'")
     return diagnostics.as_text(diagnostics.in_order(found), F.lit("f.css")).select("doc_id", "text")
 
@@ -423,7 +432,7 @@ def diag_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     select p_partkey as doc_id, v.code, v.n from part, (values ('expected-colon', cast(1 as bigint)), ('unmatched-close', cast(1 as bigint))) v(code, n)
 """)
 def diag_sorted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), F.concat(F.lit(".p"), "p_partkey", F.lit("{ color }}")).alias("content"))
+    docs = spread(table(spark, sf_dir, "part")).select(F.col("p_partkey").alias("doc_id"), F.concat(F.lit(".p"), "p_partkey", F.lit("{ color }}")).alias("content"))
     return nodes.diagnose(docs, "css").groupBy("doc_id", "code").agg(F.count("*").alias("n"))
 
 
