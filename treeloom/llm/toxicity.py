@@ -20,15 +20,18 @@ from pyspark.sql import DataFrame
 from .learning import fit_logistic, held_out, labelled_sample, texts_with_id
 
 #: Bytes of the common dictionary and of either class's own.
-BASE_BYTES, OWN_BYTES = 512, 2048
+BASE_BYTES, OWN_BYTES = 512, 4096
 #: Bytes of the substrings that tell toxic windows from ordinary ones.
 SHINGLE = 6
 #: A substring marks windows if its share of toxic texts is so many times that of ordinary ones.
-LIFT = 6.0
-#: Saved bytes from which a window counts, a feature each.
-STEPS = (1, 2, 3, 4, 6)
+LIFT = 4.0
+#: Saved bytes of a window are told apart in this range.
+LEAST, MOST = -4, 9
+#: Saved bytes from which a window counts as marked, a feature each.
+STEPS = (2, 3, 4, 6)
 THRESHOLD = 0.7
-#: Both dictionaries end with this text and every window follows it, so that a frame always holds a match.
+#: Both dictionaries end with this text and it follows every window: a frame always holds a match, and no
+#: window lies in the last bytes of a frame, where the compressor does not search.
 PRIMER = b" the of and to in is that "
 MEMO_ENTRIES = 400_000
 ROWS_PER_CLASS = 2500
@@ -38,6 +41,7 @@ ROWS_PER_CLASS = 2500
 class ToxicityModel:
     ordinary: bytes
     toxic: bytes
+    odds: np.ndarray  # log-odds of a toxic text for each number of saved bytes of a window
     mean: np.ndarray
     spread: np.ndarray
     weights: np.ndarray
@@ -50,7 +54,7 @@ def windows(text: str) -> list[bytes]:
 
 def _compressor(content: bytes) -> zstandard.ZstdCompressor:
     params = zstandard.ZstdCompressionParameters(
-        window_log=14, chain_log=14, hash_log=13, search_log=6, min_match=3, target_length=32, strategy=zstandard.STRATEGY_BTOPT,
+        window_log=14, chain_log=14, hash_log=13, search_log=6, min_match=3, target_length=32, strategy=zstandard.STRATEGY_BTLAZY2,
         write_checksum=False, write_content_size=False, write_dict_id=False, format=zstandard.FORMAT_ZSTD1_MAGICLESS,
     )
     held = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
@@ -62,13 +66,13 @@ class Distance:
     """Bytes that the toxic dictionary saves on a window, remembered for recent windows."""
 
     def __init__(self, model: ToxicityModel) -> None:
-        self.ordinary, self.toxic = _compressor(model.ordinary), _compressor(model.toxic)
+        self.ordinary, self.toxic, self.odds = _compressor(model.ordinary), _compressor(model.toxic), model.odds
         self.memo: dict[bytes, int] = {}
 
     def __call__(self, window: bytes) -> int:
         saved = self.memo.get(window)
         if saved is None:
-            data = PRIMER + window
+            data = window + PRIMER
             saved = len(self.ordinary.compress(data)) - len(self.toxic.compress(data))
             if len(window) <= 64:
                 if len(self.memo) >= MEMO_ENTRIES:
@@ -76,11 +80,19 @@ class Distance:
                 self.memo[window] = saved
         return saved
 
+    def histogram(self, text: str) -> np.ndarray:
+        """How many windows of a text save how many bytes."""
+        out = np.zeros(MOST - LEAST + 1)
+        for saved, n in Counter(map(self, windows(text))).items():
+            out[min(max(saved, LEAST), MOST) - LEAST] += n
+        return out
+
     def features(self, text: str) -> list[float]:
-        saved = Counter(map(self, windows(text)))
-        n = sum(saved.values())
-        over = [sum(c for s, c in saved.items() if s >= t) for t in STEPS]
-        return [np.log1p(c) for c in over] + [np.sqrt(c / n) if n else 0.0 for c in over] + [np.log1p(n)]
+        held = self.histogram(text)
+        n = held.sum()
+        odds = float(held @ self.odds)
+        over = [held[t - LEAST :].sum() for t in STEPS]
+        return [np.sign(odds) * np.log1p(abs(odds)), odds / np.sqrt(n + 1), odds / (n + 1)] + [np.log1p(c) for c in over] + [np.sqrt(c / (n + 1)) for c in over] + [np.log1p(n)]
 
 
 def _trained(samples: list[bytes], size: int, k: int, d: int) -> bytes:
@@ -123,8 +135,13 @@ def train(sample: list[tuple[str, str]]) -> ToxicityModel | None:
     other = _trained(joined(ordinary, 4000), OWN_BYTES, 32, 6)
     base = _trained(joined(ordinary, 4000), BASE_BYTES, 50, 8)
     size = min(len(own), len(other))  # of one length, so that distances to common matches are the same
-    model = ToxicityModel(base + other[-size:] + PRIMER, base + own[-size:] + PRIMER, np.zeros(0), np.zeros(0), np.zeros(0))
+    model = ToxicityModel(base + other[-size:] + PRIMER, base + own[-size:] + PRIMER, np.zeros(MOST - LEAST + 1), np.zeros(0), np.zeros(0), np.zeros(0))
     distance = Distance(model)
+    held = [np.ones(MOST - LEAST + 1), np.ones(MOST - LEAST + 1)]
+    for (t, _), (_, y) in zip(sample, texts, strict=True):
+        own = distance.histogram(t)
+        held[y] += own / max(1.0, np.sqrt(own.sum()))  # long texts count for more, but not by their length
+    distance.odds = model.odds = np.log(held[1] / held[1].sum()) - np.log(held[0] / held[0].sum())
     x = np.array([distance.features(t) for t, _ in sample], np.float32)
     model.mean, model.spread = x.mean(axis=0), x.std(axis=0) + 1e-6
     model.weights = fit_logistic((x - model.mean) / model.spread, np.array([y for _, y in texts]), rounds=2000, rate=1.0)[:, 0]
