@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import diagnostics, gates, nodes, registry, tree, views
+from ..operators import diagnostics, gates, nim, nodes, registry, tree, views
 from ..operators import json as strict
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -446,3 +446,30 @@ def tree_ancestor_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     nav = elems.filter("name = 'nav'").select("doc_id", F.col("elem_id").alias("low"), F.col("end_id").alias("high"))
     links = elems.filter("name = 'a'").select("doc_id", F.col("elem_id").alias("link"))
     return nav.join(links, "doc_id", "left").groupBy("doc_id").agg(F.count_if((F.col("link") > F.col("low")) & (F.col("link") < F.col("high"))).alias("links"))
+
+
+def part_nim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("p_partkey")
+    ending = F.when(k % 4 == 0, ")").when(k % 4 == 1, " +").when(k % 4 == 2, "))").otherwise("")
+    return spread(table(spark, sf_dir, "part")).select(k.alias("doc_id"), F.concat(F.lit("let x = f("), k.cast("string"), ending, F.lit("\n")).alias("content"))
+
+
+@query("""
+    select p_partkey as doc_id, case p_partkey % 4 when 0 then 'complete' when 2 then 'invalid' else 'incomplete' end as verdict,
+        case p_partkey % 4 when 0 then '' when 2 then 'unmatched-close' else 'unclosed-bracket' end as reason from part
+""")
+def completeness_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nim.completeness(part_nim(spark, sf_dir)).select("doc_id", "verdict", "reason")
+
+
+@query("select p_partkey as doc_id, cast(p_partkey as bigint) as value from part")
+def nim_int_literals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nim.tokenize(part_nim(spark, sf_dir)).filter("kind = 'int'").select("doc_id", F.col("int_value").alias("value"))
+
+
+@query("""
+    select p_partkey as doc_id, case p_partkey % 4 when 2 then 'unmatched-close' else 'unclosed-bracket' end as code, cast(case p_partkey % 4 when 2 then 11 + length(p_partkey::varchar) else 9 end as int) as col
+    from part where p_partkey % 4 <> 0
+""")
+def nim_bracket_diags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nim.diagnose(part_nim(spark, sf_dir)).select("doc_id", "code", "col")
