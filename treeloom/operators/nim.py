@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..dialects import nim
+from ..dialects import nim, nim_checks
 from ..dialects.tree import Positions
 from .nodes import BATCH_ROWS, DIAGNOSTICS, diagnostic_batch
 
@@ -40,8 +40,11 @@ def tokenize(docs: DataFrame, options: nim.Options = nim.Options(), id_col: str
     return _texts(docs, id_col, content_col).mapInArrow(run, TOKENS)
 
 
-def diagnose(docs: DataFrame, options: nim.Options = nim.Options(), id_col: str = "doc_id", content_col: str = "content") -> DataFrame:
-    """Lexical and bracket diagnostics, in source order; a source with a ``#?`` filter has none."""
+def diagnose(docs: DataFrame, options: nim.Options = nim.Options(), lints: tuple[str, ...] = (), curly: bool = False, id_col: str = "doc_id", content_col: str = "content") -> DataFrame:
+    """Lexical, bracket and grammar diagnostics and those of the named lints, in source order.
+
+    A source with a ``#?`` filter has none.
+    """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -51,7 +54,7 @@ def diagnose(docs: DataFrame, options: nim.Options = nim.Options(), id_col: str
                 if source.lstrip(" \t\r\n").startswith("#?"):
                     continue
                 tokens, found = nim.tokenize(source, options)
-                found = found + nim.check_brackets(tokens)
+                found = found + nim.check_brackets(tokens) + nim_checks.check(tokens, lints, curly)
                 places = Positions(source)
                 at = [places.of(np.array([d.at, max(0, d.related_at)])) for d in found]
                 order = sorted(range(len(found)), key=lambda i: (at[i][0][0], at[i][1][0]))
