@@ -9,10 +9,12 @@ from .tree import Tree
 
 MAX_DEPTH = 900
 _BLANKS = re.compile(r"[ \t]*")
+_SPACES = re.compile(r" *")
 _SINGLE = re.compile(r"'(?:''|[^'])*(?:'|\Z)")
 _DOUBLE = re.compile(r'"(?:\\.|[^"\\])*(?:"|\\?\Z)', re.DOTALL)
 _PROPERTIES = re.compile(r"(?:[&!][^ \t,\[\]{}]*[ \t]*)*")
 _BLOCK_SCALAR = re.compile(r"[|>][-+0-9]*\Z")
+_PLAIN_KEY = re.compile(r"[^:#'\"\[\]{}]*:")
 _SEQUENCE = re.compile(r"-(?:[ \t]|\Z)")
 _MARKER = re.compile(r"(---|\.\.\.)(?:[ \t]|\Z)")
 
@@ -24,10 +26,13 @@ class _Yaml:
         self.tree, self.text = Tree(text), text
         self.lines = lines_of(text)
         self.i = 0
-        self.blank = [not text[x.start : x.end].strip(" \t\r\n") for x in self.lines]
-        self.trivial = [b or text[x.start : x.stop].lstrip(" \t").startswith("#") for b, x in zip(self.blank, self.lines, strict=True)]
-        self.indents = [len(text[x.start : x.end]) - len(text[x.start : x.end].lstrip(" ")) for x in self.lines]
-        self.markers = [(m[1] if (m := _MARKER.match(text[x.start : x.stop])) else "") for x in self.lines]
+        self.blank, self.trivial, self.indents, self.markers = [], [], [], []
+        for start, stop, end in self.lines:
+            first = _BLANKS.match(text, start, stop).end()
+            self.blank.append(first == stop)
+            self.trivial.append(first == stop or text[first] == "#")
+            self.indents.append(_SPACES.match(text, start, end).end() - start)
+            self.markers.append(m[1] if text[start] in "-." and (m := _MARKER.match(text[start:stop])) else "")
 
     # --- scanning -----------------------------------------------------------
 
@@ -42,6 +47,9 @@ class _Yaml:
         return min((_SINGLE if self.text[at] == "'" else _DOUBLE).match(self.text, at, stop).end(), stop)
 
     def comment_at(self, since: int, stop: int) -> int:
+        at = self.text.find("#", since, stop)
+        if at < 0:
+            return stop
         at = since
         while at < stop:
             past = self.quoted(at, since, stop)
@@ -55,6 +63,12 @@ class _Yaml:
 
     def key_colon(self, since: int, stop: int) -> int:
         """The colon that makes a key of what stands before it, or -1."""
+        plain = _PLAIN_KEY.match(self.text, since, stop)
+        if plain:  # no quote, bracket or comment sign before a colon that separates
+            return plain.end() - 1 if plain.end() == stop or self.text[plain.end()] in " \t" else self.slow_key_colon(since, stop)
+        return self.slow_key_colon(since, stop) if self.text.find(":", since, stop) >= 0 else -1
+
+    def slow_key_colon(self, since: int, stop: int) -> int:
         depth, at = 0, since
         end = self.comment_at(since, stop)
         while at < end:

@@ -1,4 +1,4 @@
-"""Nim source as table functions: tokens, diagnostics, completeness."""
+"""Nim source as table functions: tokens, trees, diagnostics, completeness."""
 
 from __future__ import annotations
 
@@ -9,9 +9,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..dialects import nim, nim_checks
+from ..dialects import nim, nim_checks, nim_tree
 from ..dialects.tree import Positions
-from .nodes import BATCH_ROWS, DIAGNOSTICS, diagnostic_batch
+from .nodes import BATCH_ROWS, DIAGNOSTICS, NODES, diagnostic_batch, node_batch
 
 TOKENS = "doc_id long, tok_id int, kind string, text string, line int, col int, end_col int, indent int, int_value long, float_value double, suffix string, quoted boolean, parts array<string>"
 
@@ -40,10 +40,33 @@ def tokenize(docs: DataFrame, options: nim.Options = nim.Options(), id_col: str
     return _texts(docs, id_col, content_col).mapInArrow(run, TOKENS)
 
 
-def diagnose(docs: DataFrame, options: nim.Options = nim.Options(), lints: tuple[str, ...] = (), curly: bool = False, id_col: str = "doc_id", content_col: str = "content") -> DataFrame:
+def parse_nodes(docs: DataFrame, id_col: str = "doc_id", content_col: str = "content") -> DataFrame:
+    """The decoded tree of each source as a node table; empty slots are ``empty`` nodes, atoms hold their value in ``raw``.
+
+    Unlike the lossless dialects this tree cannot be rendered back.
+    """
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, rows = [], 0
+        for batch in batches:
+            for doc, content in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                tree = nim_tree.parse(content.decode("latin-1"))
+                held.append((doc, tree))
+                rows += len(tree.tags)
+                if rows >= BATCH_ROWS:
+                    yield node_batch(held)
+                    held, rows = [], 0
+        if held:
+            yield node_batch(held)
+
+    return _texts(docs, id_col, content_col).mapInArrow(run, NODES)
+
+
+def diagnose(docs: DataFrame, options: nim.Options = nim.Options(), lints: tuple[str, ...] = (), curly: bool = False, grammar: bool = False, id_col: str = "doc_id", content_col: str = "content") -> DataFrame:
     """Lexical, bracket and grammar diagnostics and those of the named lints, in source order.
 
-    A source with a ``#?`` filter has none.
+    ``grammar`` adds what the tree parser had to cope with.  A source with a
+    ``#?`` filter has none.
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -54,7 +77,8 @@ def diagnose(docs: DataFrame, options: nim.Options = nim.Options(), lints: tuple
                 if source.lstrip(" \t\r\n").startswith("#?"):
                     continue
                 tokens, found = nim.tokenize(source, options)
-                found = found + nim.check_brackets(tokens) + nim_checks.check(tokens, lints, curly)
+                coped = nim_tree.parse(source).diagnostics[len(found) :] if grammar else []
+                found = found + nim.check_brackets(tokens) + nim_checks.check(tokens, lints, curly) + coped
                 places = Positions(source)
                 at = [places.of(np.array([d.at, max(0, d.related_at)])) for d in found]
                 order = sorted(range(len(found)), key=lambda i: (at[i][0][0], at[i][1][0]))

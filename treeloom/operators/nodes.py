@@ -47,7 +47,7 @@ def _documents(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[int | None,
                 yield doc, name, content.decode("latin-1")
 
 
-def _node_batch(held: list[tuple[int | None, Tree]]) -> pa.RecordBatch:
+def node_batch(held: list[tuple[int | None, Tree]]) -> pa.RecordBatch:
     counts = [len(t.tags) for _, t in held]
     line, col = [], []
     for _, tree in held:
@@ -106,7 +106,7 @@ def parse_nodes(docs: DataFrame, which: str | Column, id_col: str = "doc_id", co
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for held in _trees(batches):
-            batch = _node_batch(held)
+            batch = node_batch(held)
             yield pa.RecordBatch.from_arrays([*batch.columns, *(_around(held, tags) for tags in around.values())], names=[*batch.schema.names, *around])
 
     return _inputs(docs, which, id_col, content_col).mapInArrow(run, NODES + "".join(f", {name} int" for name in around))

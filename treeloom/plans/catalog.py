@@ -473,3 +473,13 @@ def nim_int_literals(spark: SparkSession, sf_dir: str) -> DataFrame:
 """)
 def nim_bracket_diags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nim.diagnose(part_nim(spark, sf_dir)).select("doc_id", "code", "col")
+
+
+@query("""
+    select p_partkey as doc_id, v.tag, cast(v.n as bigint) as n from part, (values ('proc', 1), ('param', 2), ('if', 1), ('infix', 2), ('call', 1), ('ret', 1)) v(tag, n)
+""")
+def nim_tree_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    source = F.concat(F.lit("proc f(a: int, b = "), F.col("p_partkey").cast("string"), F.lit("): int =\n  if a > b:\n    return g(a - 1, b)\n"))
+    docs = spread(table(spark, sf_dir, "part")).select(F.col("p_partkey").alias("doc_id"), source.alias("content"))
+    wanted = nim.parse_nodes(docs).filter("tag in ('proc', 'param', 'if', 'infix', 'call', 'ret')")
+    return wanted.groupBy("doc_id", "tag").agg(F.count("*").alias("n"))
