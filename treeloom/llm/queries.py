@@ -79,4 +79,33 @@ ORACLES: dict[str, str] = {
                sha256(coalesce(text, '')) as text_sha256
         from documents
     """,
+    "op1_decontaminate": r"""
+        with d as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') w from documents),
+        b as (select cast(item_id as varchar) item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') w from benchmark),
+        bw as (select distinct item, k, list_slice(w, i, i + k - 1) g from (select item, w, k, unnest(range(1, len(w) - k + 2)) i from (select item, w, least(10, len(w)) k from b where len(w) > 0))),
+        dw as (select doc_id, k, i, list_slice(w, i, i + k - 1) g from (select doc_id, w, k, unnest(range(1, len(w) - k + 2)) i from d, (select distinct k from bw) where len(w) >= k)),
+        found as (select doc_id, dw.k, i, item from dw join bw using (k, g)),
+        hit as (select doc_id, count(distinct p) n from (select doc_id, unnest(range(i, i + k)) p from found) group by 1),
+        items as (select doc_id, count(*) n, string_agg(item, ',' order by item) names from (select distinct doc_id, item from found) group by 1)
+        select d.doc_id, cast(len(w) as bigint) n_words, coalesce(hit.n, 0) n_hit, coalesce(items.n, 0) n_items, sha256(coalesce(names, '')) items_sha256, hit.n is not null contaminated
+        from d left join hit using (doc_id) left join items using (doc_id)
+    """,
+    "op6_warc": r"""
+        with p as (select page_id, coalesce(html, '') body, coalesce(url, 'about:blank') url from pages),
+        q as (select page_id, octet_length(encode(body)) n, sha1(body) digest, regexp_replace(regexp_replace(url, '^.*?://', ''), '#.*$', '') rest,
+            case when octet_length(encode(body)) >= 1000 then max(page_id) over (partition by body) end keep from p),
+        u as (select *, lower(regexp_extract(rest, '^[^/?]*')) host, lower(regexp_extract(rest, '^[^/?]*(.*)$', 1)) path from q)
+        select page_id, cast(n as bigint) payload_bytes, digest payload_digest, case when keep is null or keep = page_id then 'response' else 'revisit' end record_type,
+            case when keep <> page_id then keep end refers_to,
+            array_to_string(list_reverse(string_split(regexp_replace(regexp_replace(regexp_replace(host, '^.*@', ''), ':.*$', ''), '^www\.', ''), '.')), ',') || ')' || case when path = '' then '/' else path end url_key,
+            946684800 + page_id captured_at
+        from u
+    """,
+    "op10_sharding": f"""
+        with r as (select doc_id, octet_length(encode(coalesce(text, ''))) n, cast('0x' || substr(md5(coalesce(cast(doc_id as varchar), '') || '|' || coalesce(text, '')), 1, 15) as bigint) h from documents),
+        nodes as (select d, h >> (60 - d) p, sum(n) size, count(*) c, min(h) < max(h) apart from r, range(0, 61) t(d) group by 1, 2),
+        leaf as (select r.doc_id, r.n, r.h, min(d) d from r, nodes where h >> (60 - d) = p and not (size > {sharding.SHARD_BYTES} and c > 1 and apart) group by 1, 2, 3)
+        select doc_id, case when leaf.d = 0 then '' else lpad(bin(p), cast(leaf.d as int), '0') end shard_id, cast(n as bigint) n_bytes, cast(size as bigint) shard_bytes, size > {sharding.SHARD_BYTES} oversize
+        from leaf join nodes on nodes.d = leaf.d and nodes.p = h >> (60 - leaf.d)
+    """,
 }
