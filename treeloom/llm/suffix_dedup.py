@@ -138,10 +138,14 @@ def _cut_pieces(length: int):  # noqa: ANN202
     """The bytes of wanted super-windows of a text; hot owners in parts keyed by what all windows of a part contain."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None
         for batch in batches:
             out: list[tuple] = []
             size = 0
-            for text, wanted in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for doc, mark, text, wanted in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (doc, mark) == last:  # a repeated row; the join has sorted them together
+                    continue
+                last = doc, mark
                 data = text.encode("utf-8", "replace")
                 for w in wanted:
                     piece = data[w["start"] : w["start"] + w["windows"] + length - 1]
@@ -245,7 +249,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
 
     wanted = groups.filter("kinds > 1").select("at.doc_id", "at.mark", F.struct("owner", "content", "n", F.col("at.start").alias("start"), F.col("at.windows").alias("windows"), (F.col("kinds") > HOT_OWNER).alias("hot")).alias("w"))
     by_text = wanted.groupBy(F.col("doc_id").alias("__d"), F.col("mark").alias("__m")).agg(F.collect_list("w").alias("wanted"))
-    pieces = rows.join(by_text, rows["doc_id"].eqNullSafe(by_text["__d"]) & (rows["mark"] == by_text["__m"])).select("text", "wanted").mapInArrow(_cut_pieces(length), _PIECES)
+    pieces = rows.join(by_text, rows["doc_id"].eqNullSafe(by_text["__d"]) & (rows["mark"] == by_text["__m"])).select("doc_id", "mark", "text", "wanted").mapInArrow(_cut_pieces(length), _PIECES)
     dealt = pieces.repartition("shard").sortWithinPartitions("shard").select("shard", "owner", "content", "n", "shift", "piece")
     marks = checkpoint(dealt.mapInArrow(_index(length), _MARKS), "marks")
     release(docs.sparkSession)
@@ -254,7 +258,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
     every = whole.unionByName(marks)
     placed = scanned.join(every, ["owner", "content"])
     span = F.struct((F.col("start") + F.col("low")).alias("low"), (F.col("start") + F.col("high")).alias("high"))
-    return placed.groupBy("doc_id", "mark").agg(F.collect_list(span).alias("spans"))
+    return placed.groupBy("doc_id", "mark").agg(F.collect_set(span).alias("spans"))
 
 
 def merged(spans: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
