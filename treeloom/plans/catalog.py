@@ -145,7 +145,13 @@ def html_undeclared_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tree.undeclared_tags(page_nodes(spark, sf_dir), "html")
 
 
-@query()
+@query(f"""
+    with s as ({_BARE}), t as (select unnest(regexp_extract_all(h, '</?[a-zA-Z][a-zA-Z0-9]*')) t from s),
+    n as (select lower(regexp_replace(t, '^</?', '')) name, t like '</%' closes from t)
+    select 'unclosed-element' as code, count(*) filter (not closes) - count(*) filter (closes) as n from n
+    where name not in ('area', 'base', 'br', 'col', 'embed', 'hr', 'img', 'input', 'link', 'meta', 'param', 'source', 'track', 'wbr',
+        'p', 'li', 'dt', 'dd', 'td', 'th', 'tr', 'tbody', 'thead', 'tfoot', 'option', 'optgroup', 'caption', 'colgroup', 'html', 'head', 'body', 'rt', 'rp')
+""")
 def html_unclosed_diags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nodes.diagnose(pages(spark, sf_dir), "html").groupBy("code").agg(F.count("*").alias("n"))
 
