@@ -426,7 +426,7 @@ def test_quality(spark, docs, none):
     rng = np.random.default_rng(0)
     word = lambda: "".join(rng.choice(["the", "an", "er", "in", "ou", "st"], rng.integers(1, 4)))
     good = [" ".join(word() for _ in range(80)) + "." for _ in range(150)]
-    bad = [" ".join(w + "%%%" for w in good[i].split()) for i in range(20)] + ["spam spam spam " * 60 for _ in range(15)] + [good[i].upper() + "!!" for i in range(10)]
+    bad = [" ".join(w + "%%%" for w in good[i].split()) for i in range(20)] + ["spam spam spam " * 60 for _ in range(15)] + [" ".join(w.upper() + "!!" for w in good[i].split()) for i in range(10)]
     frame = spark.createDataFrame(list(enumerate(good + bad)), "doc_id long, text string")
     got = {r["doc_id"]: r["keep"] for r in quality.classify(frame).collect()}
     want = {i: i < len(good) for i in got}

@@ -30,12 +30,17 @@ def checkpoint(df: DataFrame, what: str = "cut") -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back.
 
     The lineage ends at the written table, which survives lost executors, and
-    readers prune its columns.
+    readers prune its columns.  The table stays until the folder is cleared.
     """
+    return written(df, what)[0]
+
+
+def written(df: DataFrame, what: str) -> tuple[DataFrame, str]:
+    """A checkpoint and its path, for who can say when it is not needed any more."""
     spark = df.sparkSession
     path = shared_path(spark, what)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
 
 
 def release(spark: SparkSession) -> None:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint
+from .common import drop_written, written
 
 
 def _both(edges: DataFrame) -> DataFrame:
@@ -35,13 +35,15 @@ def components(edges: DataFrame) -> DataFrame:
     """node, root (least node reachable) of every node in ``edges`` (a, b); other nodes are alone.
 
     Both steps are aggregations and equality joins; nothing is gathered for a
-    node, however many neighbours it has.  Each round is written to the shared
-    folder.
+    node, however many neighbours it has.  Each round is written to the shared folder
+    in place of the one before.
     """
-    edges = checkpoint(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    edges, path = written(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     state = _state(edges)
     while state[0]:
-        edges = checkpoint(_small_star(_large_star(edges)), "edges")
+        old = path
+        edges, path = written(_small_star(_large_star(edges)), "edges")
+        drop_written(edges.sparkSession, old)
         last, state = state, _state(edges)
         if state == last:
             break

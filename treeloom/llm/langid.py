@@ -9,12 +9,12 @@ the text as ambiguous.
 from __future__ import annotations
 
 import math
-import re
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,7 +24,7 @@ ORDERS, BITS = (1, 2, 3), 12
 ROWS_PER_LANGUAGE = 600
 #: Texts whose two best languages are nearer than this in score are ambiguous.
 MARGIN = 0.2
-LETTER = re.compile(r"[^\W\d_]")
+LETTER = regex.compile(r"\p{L}")
 #: All ASCII that is no letter, as spaces.
 SPACED = bytes(i if i >= 128 or chr(i).isalpha() else 32 for i in range(256))
 

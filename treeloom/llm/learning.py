@@ -25,9 +25,10 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, rows_per_class: int = RO
     ``labels`` has doc_id and label.  About ``rows_per_class`` rows of each
     class are taken by a hash of their id, then in hash order while their texts
     fit ``sample_bytes`` together; a longer text is passed over.  Texts are
-    whole, null labels and texts are passed over.
+    whole, null labels and texts are passed over.  A row that is repeated counts
+    once; of an id with several texts any one is taken.
     """
-    labels = labels.filter("doc_id is not null and label is not null").select(F.col("doc_id").cast("long").alias("__id"), F.col("label").cast("string").alias("__label")).withColumn("__order", F.xxhash64("__id"))
+    labels = labels.filter("doc_id is not null and label is not null").select(F.col("doc_id").cast("long").alias("__id"), F.col("label").cast("string").alias("__label")).distinct().withColumn("__order", F.xxhash64("__id"))
     counts = labels.groupBy("__label").count().orderBy(F.desc("count"), "__label").limit(MAX_CLASSES).collect()
     if not counts:
         return []
@@ -37,7 +38,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, rows_per_class: int = RO
     texts = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).cast("string").alias("__text")).filter("__text is not null")
     # ``taken`` has about rows_per_class rows of each class, 20 000 in all, by construction.
     both = texts.join(F.broadcast(taken), "__id")
-    sizes = both.select("__order", "__label", F.octet_length("__text").alias("n")).collect()
+    sizes = both.select("__order", "__label", F.octet_length("__text").alias("n")).distinct().collect()
     total, limit = 0, -(1 << 63)
     for r in sorted(sizes, key=lambda r: r["__order"]):
         if total + r["n"] <= sample_bytes:
@@ -46,7 +47,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, rows_per_class: int = RO
         if total >= sample_bytes * 0.98:
             break
     largest = max(1, sample_bytes // 16)
-    rows = both.filter((F.col("__order") <= limit) & (F.octet_length("__text") <= largest)).select("__order", "__text", "__label").collect()
+    rows = both.filter((F.col("__order") <= limit) & (F.octet_length("__text") <= largest)).select("__order", "__text", "__label").dropDuplicates(["__order", "__label"]).collect()
     rows.sort(key=lambda r: (r[0], r[2], r[1]))
     return [(r[1], r[2]) for r in rows]
 
