@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import diagnostics, gates, nim, nodes, registry, tree, views
+from ..operators import checks, diagnostics, gates, nim, nodes, registry, tree, views
 from ..operators import json as strict
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -489,3 +489,31 @@ def nim_tree_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spread(table(spark, sf_dir, "part")).select(F.col("p_partkey").alias("doc_id"), source.alias("content"))
     wanted = nim.parse_nodes(docs).filter("tag in ('proc', 'param', 'if', 'infix', 'call', 'ret')")
     return wanted.groupBy("doc_id", "tag").agg(F.count("*").alias("n"))
+
+
+@query("""
+    select p_partkey as doc_id, p_partkey % 3 = 0 as sound, case p_partkey % 3 when 1 then 'html' when 2 then 'css' end as part,
+        case p_partkey % 3 when 1 then 'unclosed-element' when 2 then 'unclosed-block' end as code from part
+""")
+def web_check_generated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("p_partkey") % 3
+    page = F.concat(F.lit("<div><style>p{a:b"), F.when(k == 2, "").otherwise("}"), F.lit("</style>"), F.when(k == 1, "").otherwise("</div>"))
+    return checks.web_check(spread(table(spark, sf_dir, "part")).select(F.col("p_partkey").alias("doc_id"), page.alias("content")))
+
+
+@query("select cast(n_regionkey as bigint) as doc_id, n_name as key, cast(n_nationkey as varchar) as value from nation where regexp_full_match(n_name, '[A-Za-z_][A-Za-z0-9_]*')")
+def cfg_constants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return checks.constants(region_cfg(spark, sf_dir))
+
+
+@query("select event_id as doc_id, true as same from events")
+def json_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gates.identity(event_docs(spark, sf_dir), "json").select("doc_id", "same")
+
+
+@query("""
+    select o_orderkey as doc_id, '[{"key":"o","kind":"int","lexeme":"' || o_orderkey || '"},{"key":"p","kind":"float","lexeme":"1.50e1"},{"key":"p","kind":"int","lexeme":"' || o_orderkey
+        || '"},{"key":"s","kind":"object"},{"key":"l","kind":"array"}]' as pairs from orders
+""")
+def json_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return strict.pairs_json(strict.tape(order_docs(spark, sf_dir)))
