@@ -98,6 +98,10 @@ def test_views(spark):
     frame = docs(spark, "a , b{c : d /* e */  !important;--x:1} @media q { i{j:k} l:m }")
     got = views.css_declarations(views.css_nodes(frame)).orderBy("node_id").collect()
     assert [(r["selector"], r["at_rule"], r["prop"], r["value"]) for r in got] == [("a , b", "", "c", "d !important"), ("a , b", "", "--x", "1"), ("i", "@media", "j", "k"), ("", "@media", "l", "m")]
+    nested = docs(spark, "@a x{@b y{p{q:r}} s{t:u}} v{w{x:y} z:1}")
+    rows = views.css_declarations_running(nested).orderBy("node_id").collect()
+    assert [(r["selector"], r["at_rule"], r["prop"]) for r in rows] == [("p", "@a@b", "q"), ("s", "", "t"), ("w", "", "x"), ("w", "", "z")]
+    assert [r["selector"] for r in views.css_declarations(views.css_nodes(nested)).orderBy("node_id").collect()] == ["p", "s", "w", "v"]
     page = docs(spark, "<STYLE>a</STYLE><!-- x --><style></style><style><!-- b --></style><title>t</title>")
     assert [r["content"] for r in views.raw_text_of(nodes.parse_nodes(page, "html"), "style").orderBy("node_id").collect()] == ["a", "<!-- b -->"]
     config = docs(spark, 'top = 1\n[s]\na.b = "x"\nc : y # z\n')

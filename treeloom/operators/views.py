@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..dialects import css
+from ..dialects.tree import Tree
 from .nodes import parse_nodes
 
 #: Columns that the stylesheet views need of :func:`parse_nodes`.
@@ -45,6 +51,47 @@ def css_declarations(nodes: DataFrame) -> DataFrame:
     return out.select("doc_id", "node_id", F.coalesce("selector", F.lit("")).alias("selector"), F.coalesce("at_rule", F.lit("")).alias("at_rule"), "prop", F.coalesce("value", F.lit("")).alias("value"), "line")
 
 
+def _running_declarations(tree: Tree) -> Iterator[tuple[int, str, str, str, str]]:
+    """(node, selector, at-rules, property, value) by what was last seen rather than by what is around."""
+    raws = [(r or b"").decode("utf-8", "replace") for r in tree.raws()]
+    squeeze = lambda text: " ".join(re.sub("[ \t\n\r\f]+", " ", text).strip(" \t\n\r").split(" "))
+    selector = at_rules = ""
+    inner = -1  # end of the at-rule that was opened last
+    for node, tag in enumerate(tree.tags):
+        if 0 <= inner <= node:
+            at_rules, inner = "", -1
+        if tag == "atrule":
+            inner = tree.ends[node]
+        elif tag == "name" and inner >= 0:
+            at_rules += raws[node]
+        elif tag == "sel":
+            selector = squeeze("".join(raws[i] for i in range(node, tree.ends[node]) if tree.tags[i] != "comment"))
+        elif tag == "decl":
+            inside = range(node + 1, tree.ends[node])
+            name = next((raws[i] for i in inside if tree.tags[i] == "prop"), "").strip(" \t\n\r")
+            value = next((i for i in inside if tree.tags[i] == "val"), -1)
+            text = "" if value < 0 else squeeze("".join(raws[i] for i in range(value, tree.ends[value]) if tree.tags[i] != "comment"))
+            yield node, selector, at_rules, name, text
+
+
+def css_declarations_running(docs: DataFrame, id_col: str = "doc_id", content_col: str = "content") -> DataFrame:
+    """As :func:`css_declarations`, but by a running scan, for results that must match one.
+
+    A declaration outside a rule has the selector that was seen last; names of
+    nested at-rules are joined, and all are forgotten when the innermost closes.
+    """
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(doc, *found) for doc, content in zip(*(c.to_pylist() for c in batch.columns), strict=True) for found in _running_declarations(css.parse((content or b"").decode("latin-1")))]
+            if rows:
+                types = [pa.int64(), pa.int32(), *[pa.string()] * 4]
+                yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=["doc_id", "node_id", "selector", "at_rule", "prop", "value"])
+
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(content_col).cast("binary").alias("content"))
+    return rows.mapInArrow(run, "doc_id long, node_id int, selector string, at_rule string, prop string, value string")
+
+
 def raw_text_of(nodes: DataFrame, name: str) -> DataFrame:
     """doc_id, node_id, content: the text that follows each start tag of ``name`` before any other tag."""
     named = nodes.filter("tag = 'name'").select("doc_id", F.col("parent_id").alias("before"), F.translate(F.decode("raw", "UTF-8"), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz").alias("named"))
