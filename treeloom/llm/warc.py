@@ -22,8 +22,8 @@ from .common import checkpoint, shared_path
 
 #: Payloads below this size are never revisits.
 REVISIT_BYTES = 1000
-#: Expected bytes of an archive file.
-FILE_BYTES = 8 << 20
+#: Records of an archive file, which is read back as a whole.
+FILE_RECORDS = 1000
 END = "\r\n\r\n"
 
 
@@ -86,7 +86,7 @@ def classify(pages: DataFrame, threshold: int = REVISIT_BYTES) -> DataFrame:
     return rows.join(first, (F.col("digest") == F.col("d")) & (F.col("n_bytes") >= threshold), "left").drop("d")
 
 
-def write_warc(pages: DataFrame, path: str, threshold: int = REVISIT_BYTES, file_bytes: int = FILE_BYTES) -> None:
+def write_warc(pages: DataFrame, path: str, threshold: int = REVISIT_BYTES, file_records: int = FILE_RECORDS) -> None:
     """Write a record for each row of ``pages`` (page_id, url, html) into archive files below ``path``.
 
     The payload is the html in UTF-8, a null as no bytes.  Of equal payloads of
@@ -98,7 +98,6 @@ def write_warc(pages: DataFrame, path: str, threshold: int = REVISIT_BYTES, file
     are those of their content.
     """
     rows = classify(pages, threshold)
-    mean = pages.agg(F.avg(F.octet_length("html"))).first()[0] or 0
     revisit = F.col("keep").isNotNull() & ~F.coalesce(F.col("page_id") == F.col("keep"), F.lit(False))
     date = F.date_format(F.timestamp_seconds(F.lit(946684800) + F.coalesce("page_id", F.lit(0))), "yyyy-MM-dd'T'HH:mm:ss'Z'")
     name = F.coalesce(F.col("page_id").cast("string"), F.lit("none"))
@@ -113,7 +112,7 @@ def write_warc(pages: DataFrame, path: str, threshold: int = REVISIT_BYTES, file
         F.when(revisit, F.concat(F.lit("\r\nWARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest\r\nWARC-Refers-To: <urn:page:"), F.col("keep").cast("string"), F.lit(">"))).otherwise(""),
         F.lit("\r\nContent-Type: application/http; msgtype=response\r\nContent-Length: "), F.octet_length(block).cast("string"), F.lit(END),
     )
-    rows.select(F.concat(head, block).alias("value")).write.option("lineSep", END).option("maxRecordsPerFile", max(1, int(file_bytes / (mean + 600)))).option("compression", "gzip").text(path)
+    rows.select(F.concat(head, block).alias("value")).write.option("lineSep", END).option("maxRecordsPerFile", file_records).option("compression", "gzip").text(path)
 
 
 def parse_warc(content: bytes) -> Iterator[tuple[int, int, dict[str, str], bytes, int]]:
