@@ -107,10 +107,10 @@ def fit_labels(patterns: list[tuple[str, int]], rounds: int = 200) -> LabelModel
     v = np.array([[int(c) for c in p] for p, _ in patterns])
     n = np.array([c for _, c in patterns], float)
     onehot = (v[:, :, None] == np.arange(3)).astype(float)
-    given = np.ones((2, LABELLERS, 3))
+    given = np.ones((2, v.shape[1], 3))
     # At first each vote for bad is right nine times out of ten.
     good = np.clip(0.1 ** (v == BAD).sum(axis=1), 1e-6, 0.98)
-    prior, log_odds = 0.5, np.zeros((LABELLERS, 3))
+    prior, log_odds = 0.5, np.zeros((v.shape[1], 3))
     for _ in range(rounds):
         prior = float(np.clip((good * n).sum() / n.sum(), 0.01, 0.99))
         for y, q in ((0, 1 - good), (1, good)):
