@@ -18,7 +18,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .learning import fit_logistic, held_out, labelled_sample, ngram_counts, scaled, texts_with_id
+from .learning import fit_logistic, held_out, labelled_sample, ngram_counts, scaled, stacked, texts_with_id
 
 ORDERS, BITS = (1, 2, 3), 12
 ROWS_PER_LANGUAGE = 600
@@ -67,7 +67,7 @@ def train(sample: list[tuple[str, str]]) -> LanguageModel | None:
     if not languages:
         return None
     code = codewords(len(languages))
-    x = np.array([features(t) for t, _ in sample], np.float32)
+    x = stacked((features(t) for t, _ in sample), len(sample))
     k = np.searchsorted(languages, [y for _, y in sample])
     share = 1 / np.bincount(k, minlength=len(languages))[k]
     if code.shape[1] == 0:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -83,6 +85,16 @@ def scaled(counts: np.ndarray) -> np.ndarray:
     return x.ravel()
 
 
+def stacked(rows: Iterable[np.ndarray], n: int) -> np.ndarray:
+    """A matrix of ``n`` rows, filled one by one so that they are held once."""
+    out = np.zeros((0, 0), np.float32)
+    for i, row in enumerate(rows):
+        if not i:
+            out = np.zeros((n, len(row)), np.float32)
+        out[i] = row
+    return out
+
+
 def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None, rounds: int = 200, rate: float = 4.0, decay: float = 1e-4) -> np.ndarray:
     """Weights and a last row of biases for targets ``y`` in 0 to 1, a column each, by accelerated gradient steps."""
     y = y.reshape(len(x), -1).astype(np.float32)

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import text_of
-from .learning import fit_logistic, ngram_counts, scaled, text_sample
+from .learning import fit_logistic, ngram_counts, scaled, stacked, text_sample
 
 BAD, GOOD, NONE = 0, 1, 2
 LABELLERS = 12
@@ -146,7 +146,7 @@ def train(model: LabelModel, texts: list[str]) -> np.ndarray:
     if not texts:
         return np.zeros(len(ORDERS) * (1 << BITS) + (1 << 8) + 1, np.float32)
     found = [measures(t) for t in texts]
-    x = np.array([features(t, m) for t, m in zip(texts, found, strict=True)], np.float32)
+    x = stacked((features(t, m) for t, m in zip(texts, found, strict=True)), len(texts))
     y = np.array([posterior(model, votes(m)) for m in found], np.float32)
     return fit_logistic(x, y, rounds=300)[:, 0]
 
