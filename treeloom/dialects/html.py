@@ -16,7 +16,7 @@ _IN_TAG = re.compile(
     re.DOTALL,
 )
 _CONTENT = re.compile(
-    r"(?P<comment><!--.*?(?:-->|\Z))|(?P<cdata><!\[CDATA\[.*?(?:\]\]>|\Z))|(?P<doctype><![^>]*>?)|(?P<pi><\?[^>]*>?)|(?P<end></)|(?P<start><(?=[A-Za-z]))|(?P<text><?[^<]*)",
+    r"(?P<comment><!--.*?(?:-->|\Z))|(?P<cdata><!\[CDATA\[.*?(?:\]\]>|\Z))|(?P<doctype><![^>]*>?)|(?P<pi><\?[^>]*>?)|(?P<end></)|(?P<start><(?=[A-Za-z\x80-\xff]))|(?P<text><?[^<]*)",
     re.DOTALL,
 )
 
