@@ -158,6 +158,10 @@ def test_json_operators(spark):
     ints = strict.members(tape).filter("doc_id = 0").orderBy("ordinal").select(strict.get_int(default=-1).alias("v")).collect()
     assert [r["v"] for r in ints] == [1, -1, -1, -1]
     assert [r["status"] for r in strict.query(frame, "a").orderBy("doc_id").collect()] == ["ok", "absent", "invalid"]
+    rows = strict.digest(frame).orderBy("doc_id").collect()
+    assert [(r["n_object"], r["n_string"], r["n_int"], r["n_float"]) for r in rows] == [(1, 5, 2, 1), (1, 0, 1, 0)]
+    assert rows[0]["string_hash"] == f"{gates.fnv1a('a\0a\0é\0n\0big\0'.encode()):016x}" and rows[1]["int_sum"] == 1
+    assert rows[0]["int_sum"] == (10**20 + (1 << 63)) % (1 << 64) - (1 << 63)
     assert json.loads(strict.pairs_json(tape).filter("doc_id = 0").first()["pairs"])[1] == {"key": "a", "kind": "string", "lexeme": "é"}
 
 

@@ -131,3 +131,35 @@ def pairs_json(tapes: DataFrame) -> DataFrame:
     """doc_id and the document's members as a JSON array of {key, kind, lexeme}, in order and with duplicates."""
     rows = members(tapes).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("ordinal", "key", "kind", "lexeme"))).alias("m"))
     return rows.select("doc_id", F.to_json(F.transform("m", lambda x: F.struct(x["key"].alias("key"), x["kind"].alias("kind"), x["lexeme"].alias("lexeme")))).alias("pairs"))
+
+
+KINDS = ("object", "array", "string", "int", "float", "true", "false", "null")
+
+
+def digest(docs: DataFrame, id_col: str = "doc_id", content_col: str = "content") -> DataFrame:
+    """doc_id, a count for each kind, string_hash and int_sum of every valid document.
+
+    ``string_hash`` is the FNV-1a of all decoded strings in order, keys among
+    them, each followed by a zero byte; ``int_sum`` wraps at 64 bits.
+    """
+    from .gates import fnv1a
+
+    names = [f"n_{k}" for k in KINDS]
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for doc, text in _texts([batch]):
+                try:
+                    found = jt.parse(text)
+                except jt.JsonError:
+                    continue
+                counts = [sum(e.kind == k for e in found) for k in KINDS]
+                strings = b"".join(jt.decoded(text, e) + b"\0" for e in found if e.kind == "string")
+                total = sum(int(jt.lexeme(text, e)) for e in found if e.kind == "int")
+                rows.append((doc, *counts, f"{fnv1a(strings):016x}", (total + (1 << 63)) % (1 << 64) - (1 << 63)))
+            if rows:
+                types = [pa.int64(), *[pa.int64()] * len(KINDS), pa.string(), pa.int64()]
+                yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=["doc_id", *names, "string_hash", "int_sum"])
+
+    return _content(docs, id_col, content_col).mapInArrow(run, "doc_id long, " + ", ".join(f"{n} long" for n in names) + ", string_hash string, int_sum long")

@@ -517,3 +517,10 @@ def json_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
 """)
 def json_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return strict.pairs_json(strict.tape(order_docs(spark, sf_dir)))
+
+
+@query("""
+    select event_id as doc_id, cast(1 as bigint) as n_object, cast(1 as bigint) as n_string, cast(1 as bigint) as n_int, cast(json_extract_string(props, '$.k') as bigint) as int_sum from events
+""")
+def json_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return strict.digest(event_docs(spark, sf_dir)).select("doc_id", "n_object", "n_string", "n_int", "int_sum")
