@@ -261,7 +261,7 @@ def test_run_length_index():
         strings = [(base[i : i + rng.integers(1, 40)] + rng.choice(["", "c", "ab"])).encode() for i in rng.integers(0, 20, rng.integers(1, 12))]
         length = int(rng.choice([1, 3, 8, 15]))
         index = suffixes.RunLengthIndex(strings)
-        got = set(zip(*(x.tolist() for x in index.repeated(np.arange(len(strings)), length)), strict=True))
+        got = {(k, i) for which, place, longest in index.statistics(np.arange(len(strings))) for k, i, n in zip(which.tolist(), place.tolist(), longest.tolist(), strict=True) if n >= length}
         seen = Counter(s[i : i + length] for s in strings for i in range(len(s) - length + 1))
         assert got == {(k, i) for k, s in enumerate(strings) for i in range(len(s) - length + 1) if seen[s[i : i + length]] > 1}
 
@@ -269,36 +269,68 @@ def test_run_length_index():
 # --- repeated passages
 
 
-def brute_repeats(texts, length):
+def brute_passages(texts, length, words, short):
+    """Stretches and bytes that repeated passages cover."""
+    found = []
+    for t in texts:
+        d = (t or "").encode()
+        begins = [m.start() for m in re.finditer(rb"[^ \t\n\v\f\r]+", d)]
+        reach = [min(length, max(short, begins[k + words - 1] + 1 - p)) if k + words <= len(begins) else length for k, p in enumerate(begins)]
+        found.append([(p, d[p : p + n]) for p, n in zip(begins, reach, strict=True) if p + n <= len(d)])
+    seen = Counter(x for f in found for _, x in f)
+    out = []
+    for t, f in zip(texts, found, strict=True):
+        gone = [0] * (len((t or "").encode()) + 1)
+        for p, x in f:
+            if seen[x] > 1:
+                gone[p : p + len(x)] = [1] * len(x)
+        runs = [sum(k) for v, k in groupby(gone) if v]
+        out.append((len(runs), sum(runs)))
+    return out
+
+
+def brute_repeats(texts, length, words, short):
     data = [(t or "").encode() for t in texts]
     seen = Counter(d[i : i + length] for d in data for i in range(len(d) - length + 1))
     out = []
-    for d in data:
+    for d, passages in zip(data, brute_passages(texts, length, words, short), strict=True):
         gone = bytearray(len(d))
         for i in range(len(d) - length + 1):
             if seen[d[i : i + length]] > 1:
                 gone[i : i + length] = b"\1" * length
         kept = bytes(x for x, g in zip(d, gone, strict=True) if not g)
-        out.append((len(d), sum(gone), sum(1 for k, _ in groupby(gone) if k), hashlib.sha256(kept).hexdigest()))
+        out.append((len(d), sum(gone), sum(1 for k, _ in groupby(gone) if k), hashlib.sha256(kept).hexdigest(), *passages))
     return out
 
 
-@pytest.mark.parametrize(("length", "hot"), [(400, 20_000), (40, 20_000), (40, 1), (30, 0)])
-def test_remove_repeats(spark, none, length, hot, monkeypatch):
+@pytest.mark.parametrize(("length", "words", "short", "hot"), [(400, 51, 256, 4000), (40, 6, 24, 4000), (40, 6, 24, 1), (30, 3, 9, 0), (30, 4, 30, 4000)])
+def test_remove_repeats(spark, none, length, words, short, hot, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "HOT_OWNER", hot)
     monkeypatch.setattr(suffix_dedup, "SCAN_BYTES", 2000)
-    rng = np.random.default_rng(length + hot)
-    say = lambda n: "".join(rng.choice(list("abcdé "), n))
-    passage = say(length + 40)
+    rng = np.random.default_rng(length + hot + words)
+    say = lambda n: "".join(rng.choice(list("abcdé   \n"), n))
+    passage, brief = say(length + 40), say(max(short + 6, length * 3 // 4))
     texts = [say(rng.integers(0, 900)) for _ in range(25)]
     texts += [say(30) + passage + say(200) for _ in range(12)] + [say(length * 3) + "x" * (3 * length)] + ["ab " * length, "ab " * (length + 9), None, "", passage[: length - 1]]
+    texts += [say(rng.integers(0, 60)) + sep + brief + say(rng.integers(0, 60)) for sep in ("", " ", "q", " ", "\n")] + [brief, passage, "c" + passage]
     texts += [texts[3], texts[3], texts[30][:50] + "#" + texts[30][50:]]
     docs = spark.createDataFrame([(i if i % 9 else None, t, "clash") for i, t in enumerate(texts)], "doc_id long, text string, spans string").repartition(3)
-    got = rows(suffix_dedup.remove_repeats(docs, length, with_kept=False))
-    assert Counter(r[1:] for r in got) == Counter(brute_repeats(texts, length))
+    got = rows(suffix_dedup.remove_repeats(docs, length, words, short, with_kept=False))
+    assert Counter(r[1:] for r in got) == Counter(brute_repeats(texts, length, words, short))
     assert rows(suffix_dedup.remove_repeats(none, length)) == []
 
 
+def test_a_passage_behind_many_prefixes(spark):
+    """One owner with thousands of contexts has its windows counted, and no index holds them all."""
+    rng = np.random.default_rng(11)
+    passage = " ".join("".join(rng.choice(list("abcdefgh"), 7)) for _ in range(80))
+    texts = [f"{i * 7919 % 10_007} {i} {passage}" for i in range(6000)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = rows(suffix_dedup.remove_repeats(docs, with_kept=False))
+    assert Counter(r[1:] for r in got) == Counter(brute_repeats(texts, 400, 51, 256))
+    assert all(r[2] >= len(passage) and r[5] == 1 for r in got)
+
+
 # --- SimHash
 
 

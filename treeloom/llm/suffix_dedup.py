@@ -1,12 +1,18 @@
 """Removal of repeated passages over run-length indexes.
 
-Every window of LENGTH bytes is owned by its least k-gram hash, so equal
-windows, wherever they are, have the same owner; the windows of neighbouring
-starts with one owner travel as a single super-window.  Only owners with two
-or more different super-windows need their bytes compared: those go by owner
-into shards, and each shard builds a run-compressed Burrows-Wheeler index and
-streams matching statistics against it.  A super-window that occurs twice as a
-whole is repeated without a comparison.
+Every stretch of SHORT bytes is owned by its least k-gram hash, so equal
+stretches, wherever they are, have the same owner; neighbouring starts with one
+owner travel as a single super-window, with the bytes that the windows from
+these starts reach.  Only owners with two or more different super-windows need
+their bytes compared: those go by owner into shards, and each shard builds a
+run-compressed Burrows-Wheeler index and streams matching statistics against
+it.  A super-window that occurs twice as a whole is repeated without a
+comparison, and an owner with more super-windows than a shard may hold has its
+windows counted one by one.
+
+Two kinds of windows are looked for at once.  Those of LENGTH bytes are what is
+removed.  A passage is a window that begins with a word and has at least
+WORDS words and SHORT bytes, or LENGTH bytes where that is less.
 """
 
 from __future__ import annotations
@@ -20,42 +26,63 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpoint, release, text_of
+from .common import checkpoint, drop_written, release, text_of, written
 from .suffixes import RunLengthIndex
 
-LENGTH, GRAM = 400, 24
+#: Bytes of a window that is removed where it is repeated; words and least bytes of a passage.
+LENGTH, WORDS, SHORT = 400, 51, 256
+#: Bytes of the k-grams that own windows: long ones are seldom shared by chance.
+GRAM = 64
 #: Bytes of text that are scanned at a time, and of super-windows in a shard's index.
 SCAN_BYTES, INDEX_BYTES = 1 << 20, 1 << 20
-#: Owners with more different super-windows than this are split by what their windows have in common.
-HOT_OWNER = 20_000
-#: Window starts, counted back from the owner, that a part of a split owner covers.
-HOT_STEP = 16
+#: Owners with more different super-windows than this have their windows counted one by one.
+HOT_OWNER = 4000
 _PLACE = (1 << 24) - 1
+#: No window begins here.
+NEVER = 1 << 40
+_SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+WINDOW, PASSAGE, WHOLE = 0, 1, 2
 
 
-def super_windows(raw: bytes, sizes: list[int], length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _gram_hashes(raw: bytes, n: int, gram: int) -> np.ndarray:
+    """A hash of the ``gram`` bytes from each position."""
+    padded = raw + b"\0" * (gram + 8)
+    eight = np.ndarray((n,), "<u8", buffer=padded, strides=(1,)).copy()
+    m = n - gram + 1
+
+    def mixed(h: np.ndarray) -> np.ndarray:
+        h = h * np.uint64(0x9E3779B97F4A7C15)
+        return h ^ (h >> np.uint64(29))
+
+    if gram & (gram - 1) == 0 and gram >= 8:
+        h, size = mixed(eight), 8
+        while size < gram:
+            h = mixed(h[:-size] * np.uint64(0xD6E8FEB86659FD93) + h[size:])
+            size *= 2
+        return h[:m]
+    h = np.zeros(m, np.uint64)
+    for start in range(0, gram, 8):
+        part = eight[start : start + m]
+        if gram - start < 8:
+            part = part & ((np.uint64(1) << np.uint64(8 * (gram - start))) - np.uint64(1))
+        h = mixed(h + part)
+    return h
+
+
+def super_windows(raw: bytes, sizes: list[int], length: int = SHORT) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Super-windows of texts that stand one behind the other in ``raw``, at most 2**24 bytes.
 
-    Start, number of windows, position of the owning k-gram and its hash.  The
-    leftmost of equal least hashes owns a window; no window crosses texts.
+    Start, number of windows of ``length`` bytes, position of the owning k-gram
+    and its hash.  The leftmost of equal least hashes owns a window; no window
+    crosses texts.
     """
     n = len(raw)
     gram = min(GRAM, length)
     nothing = np.zeros(0, np.int64)
-    if n < length or n < 24:
+    if n < length:
         return nothing, nothing, nothing, nothing.astype(np.uint64)
-    padded = raw + b"\0" * 24
-    eight = np.ndarray((n + 16,), "<u8", buffer=padded, strides=(1,)).copy()
-    m = n - gram + 1
-    h = np.zeros(m, np.uint64)
-    for start in range(0, gram, 8):
-        part = eight[start : start + m]
-        if gram - start < 8:
-            part = part & ((np.uint64(1) << np.uint64(8 * (gram - start))) - np.uint64(1))
-        h += part
-        h *= np.uint64(0x9E3779B97F4A7C15)
-        h ^= h >> np.uint64(29)
-    value = (h & ~np.uint64(_PLACE)) | np.arange(m, dtype=np.uint64)
+    h = _gram_hashes(raw, n, gram)
+    value = (h & ~np.uint64(_PLACE)) | np.arange(len(h), dtype=np.uint64)
     width, size, starts = length - gram + 1, 1, n - length + 1
     while size * 2 <= width:
         value = np.minimum(value[:-size], value[size:])
@@ -79,38 +106,86 @@ def super_windows(raw: bytes, sizes: list[int], length: int = LENGTH) -> tuple[n
     return first, count, owner[first], h[owner[first]]
 
 
-_SW = "owner long, content long, doc_id long, mark long, start long, windows int"
+def word_begins(data: np.ndarray, string: np.ndarray) -> np.ndarray:
+    """Where a byte is no white space and the byte before it is, or is of another string."""
+    space = _SPACE[data]
+    fresh = ~space
+    fresh[1:] &= space[:-1] | (string[1:] != string[:-1])
+    return fresh
+
+
+def passage_needs(data: np.ndarray, string: np.ndarray, words: int, short: int, length: int) -> np.ndarray:
+    """Bytes of the passage from each position, counting the word there from that position on; NEVER on white space.
+
+    ``data`` are bytes, ``string`` says which string each belongs to.  A
+    passage reaches the first byte of its last word, so its own bytes say how
+    long it is.  Where the string has too few words left it is ``length``.
+    """
+    fresh = word_begins(data, string)
+    begins = np.flatnonzero(fresh)
+    out = np.full(len(data), NEVER, np.int64)
+    at = np.flatnonzero(~_SPACE[data])
+    if not len(at):
+        return out
+    last = np.cumsum(fresh)[at] - 1 + words - 1
+    known = last < len(begins)
+    stop = begins[np.minimum(last, len(begins) - 1)]
+    known &= string[stop] == string[at]
+    out[at] = np.where(known, np.clip(stop + 1 - at, short, length), length)
+    return out
+
+
+def unions(string: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Spans of each string, those that touch or overlap as one."""
+    order = np.lexsort((low, string))
+    string, low, high = string[order], low[order], high[order]
+    if not len(low):
+        return string, low, high
+    wide = np.int64(high.max()) + 2
+    reach = np.maximum.accumulate(high + string * wide)
+    fresh = np.ones(len(low), bool)
+    fresh[1:] = low[1:] + string[1:] * wide > reach[:-1]
+    fresh[1:] |= string[1:] != string[:-1]
+    first = np.flatnonzero(fresh)
+    last = np.append(first[1:], len(low)) - 1
+    return string[first], low[first], reach[last] - string[first] * wide
+
+
+def _may_begin(data: bytes, at: int) -> bool:
+    """Whether a word may begin at a position: nothing or white space is before it."""
+    return at == 0 or data[at - 1] in b"\t\n\v\f\r "
+
+
+_SW = "owner long, content long, doc_id long, mark long, start long, windows int, size int"
 
 
-def _scan(batches: Iterable[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+def _scan(batches: Iterable[pa.RecordBatch], short: int, length: int) -> Iterator[pa.RecordBatch]:
     """Super-windows of the texts of a batch; long texts are scanned in parts that overlap by a window."""
 
-    def rows(texts: list[tuple[int | None, int, int, bytes]]) -> Iterator[pa.RecordBatch]:
-        raw, sizes = b"".join(t[3] for t in texts), [len(t[3]) for t in texts]
-        first, count, _, h = super_windows(raw, sizes, length)
+    def rows(held: list[tuple[int | None, int, int, bytes, int]]) -> Iterator[pa.RecordBatch]:
+        sizes = np.array([t[4] for t in held], np.int64)
+        first, count, _, h = super_windows(b"".join(t[3][t[2] : t[2] + t[4]] for t in held), sizes, short)
         if not len(first):
             return
-        digest = xxhash.xxh3_64_intdigest
-        content = np.fromiter((digest(raw[a : a + k + length - 1]) for a, k in zip(first.tolist(), count.tolist(), strict=True)), np.uint64, len(first))
         begins = np.cumsum(sizes) - sizes
         text = np.searchsorted(begins, first, "right") - 1
-        while (back := np.asarray(sizes)[text] == 0).any():  # empty texts share their begin with the next
-            text = text - back
-        ids = pa.array([t[0] for t in texts], pa.int64()).take(pa.array(text))
-        marks = np.array([t[1] for t in texts], np.int64)[text]
-        starts = first - begins[text] + np.array([t[2] for t in texts], np.int64)[text]
-        yield pa.record_batch([pa.array(h.view(np.int64)), pa.array(content.view(np.int64)), ids, pa.array(marks), pa.array(starts), pa.array(count.astype(np.int32))], names=["owner", "content", "doc_id", "mark", "start", "windows"])
+        starts = first - begins[text] + np.array([t[2] for t in held], np.int64)[text]
+        size = np.minimum(count + length - 1, np.array([len(t[3]) for t in held], np.int64)[text] - starts)
+        digest, whole = xxhash.xxh3_64_intdigest, [t[3] for t in held]
+        content = np.fromiter((digest(whole[i][a : a + k], _may_begin(whole[i], a)) for i, a, k in zip(text.tolist(), starts.tolist(), size.tolist(), strict=True)), np.uint64, len(first))
+        ids = pa.array([t[0] for t in held], pa.int64()).take(pa.array(text))
+        marks = np.array([t[1] for t in held], np.int64)[text]
+        columns = [pa.array(h.view(np.int64)), pa.array(content.view(np.int64)), ids, pa.array(marks), pa.array(starts), pa.array(count.astype(np.int32)), pa.array(size.astype(np.int32))]
+        yield pa.record_batch(columns, names=["owner", "content", "doc_id", "mark", "start", "windows", "size"])
 
     for batch in batches:
         held, size = [], 0
         for doc, mark, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             data = text.encode("utf-8", "replace")
-            for at in range(0, max(1, len(data) - length + 1), SCAN_BYTES):
-                part = data[at : at + SCAN_BYTES + length - 1]
-                if len(part) < length:
-                    continue
-                held.append((doc, mark, at, part))
-                size += len(part)
+            for at in range(0, len(data) - short + 1, SCAN_BYTES):
+                part = min(SCAN_BYTES + short - 1, len(data) - at)
+                held.append((doc, mark, at, data, part))
+                size += part
                 if size >= SCAN_BYTES:
                     yield from rows(held)
                     held, size = [], 0
@@ -131,134 +206,198 @@ def _combine(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*first.columns, pa.array(counts.astype(np.int64))], names=[*batch.schema.names, "n"])
 
 
-_PIECES = "shard long, owner long, content long, n long, shift long, piece binary"
-
-
-def _cut_pieces(length: int):  # noqa: ANN202
-    """The bytes of wanted super-windows of a text; hot owners in parts keyed by what all windows of a part contain."""
+def _wanted(batches: Iterable[pa.RecordBatch]) -> Iterator[Iterator[tuple[dict, bytes, bool]]]:
+    """Of each batch: the wanted super-windows of its texts, their bytes, and whether a word may begin with the first of them."""
+    last = None
+    for batch in batches:
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = None
-        for batch in batches:
-            out: list[tuple] = []
-            size = 0
+        def found(batch: pa.RecordBatch = batch) -> Iterator[tuple[dict, bytes, bool]]:
+            nonlocal last
             for doc, mark, text, wanted in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if (doc, mark) == last:  # a repeated row; the join has sorted them together
                     continue
                 last = doc, mark
                 data = text.encode("utf-8", "replace")
                 for w in wanted:
-                    piece = data[w["start"] : w["start"] + w["windows"] + length - 1]
-                    if w["hot"]:
-                        out += _parts(piece, w, length)
-                    else:
-                        out.append((w["owner"], w["owner"], w["content"], w["n"], 0, piece))
-                    size += len(piece)
-                    if size >= 4 << 20:
-                        yield _pieces(out)
-                        out, size = [], 0
-            if out:
-                yield _pieces(out)
+                    at = w["start"]
+                    yield w, data[at : at + w["size"]], _may_begin(data, at)
 
-    return run
+        yield found()
 
 
-def _pieces(rows: list[tuple]) -> pa.RecordBatch:
-    columns = list(zip(*rows, strict=True))
-    return pa.record_batch([*(pa.array(c, pa.int64()) for c in columns[:5]), pa.array(columns[5], pa.binary())], names=["shard", "owner", "content", "n", "shift", "piece"])
+_PIECES = "owner long, content long, n long, windows int, fresh boolean, piece binary"
 
 
-def _parts(piece: bytes, w: dict, length: int) -> Iterator[tuple]:
-    """A hot owner's super-window in parts of HOT_STEP window starts.
+def _cut_pieces(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The bytes of wanted super-windows."""
 
-    Equal windows have their owner at the same offset, so they meet in the
-    part of that offset; the bytes that all windows of a part contain are equal
-    too and key the part.
-    """
-    _, _, owner, _ = super_windows(piece, [len(piece)], length)
-    owner = int(owner[0])
-    step = min(HOT_STEP, length)
-    for part in range((owner - w["windows"] + 1) // step, owner // step + 1):
-        low, high = max(0, owner - (part + 1) * step + 1), min(w["windows"] - 1, owner - part * step)
-        if low > high:
-            continue
-        core = piece[owner - part * step : owner - (part + 1) * step + 1 + length]
-        shard = xxhash.xxh3_64_intdigest(core, w["owner"] & (1 << 64) - 1) ^ part
-        yield np.uint64(shard & (1 << 64) - 1).astype(np.int64).item(), w["owner"], w["content"], w["n"], low, piece[low : high + length]
+    def pieces(rows: list[tuple]) -> pa.RecordBatch:
+        columns = list(zip(*rows, strict=True))
+        types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.binary()]
+        return pa.record_batch([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["owner", "content", "n", "windows", "fresh", "piece"])
 
+    for found in _wanted(batches):
+        out, size = [], 0
+        for w, piece, fresh in found:
+            out.append((w["owner"], w["content"], w["n"], w["windows"], fresh, piece))
+            size += len(piece)
+            if size >= 4 << 20:
+                yield pieces(out)
+                out, size = [], 0
+        if out:
+            yield pieces(out)
 
-_MARKS = "owner long, content long, low long, high long"
 
+_MARKS = "owner long, content long, kind int, low long, high long"
 
-def _index(length: int):  # noqa: ANN202
-    """Index the pieces of a shard and mark the byte ranges that repeated windows cover."""
+
+def _passages(rows: list[tuple], words: int, short: int, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Passages that begin at the windows of super-windows: which one's, from where to where, and a digest of owner and bytes.
+
+    Equal passages have one owner, and it stands at the same place of them.
+    """
+    sizes = np.array([len(r[5]) for r in rows], np.int64)
+    begins = np.cumsum(sizes) - sizes
+    string = np.repeat(np.arange(len(rows)), sizes)
+    data = np.frombuffer(b"".join(r[5] for r in rows), np.uint8)
+    need = passage_needs(data, string, words, short, length)
+    fresh = word_begins(data, string)
+    fresh[begins] &= np.array([r[4] for r in rows])
+    place = np.arange(len(data)) - begins[string]
+    at = np.flatnonzero(fresh & (place < np.array([r[3] for r in rows])[string]) & (place + need <= sizes[string]))
+    string, low, high = string[at], place[at], place[at] + need[at]
+    digest = xxhash.xxh3_64_intdigest
+    key = np.fromiter((digest(rows[i][5][a:b], rows[i][0] & (1 << 64) - 1) for i, a, b in zip(string.tolist(), low.tolist(), high.tolist(), strict=True)), np.uint64, len(at))
+    return string, low, high, key
+
+
+def _index(length: int, words: int, short: int):  # noqa: ANN202
+    """Index the pieces of a shard and mark the byte ranges that repeated windows and passages cover."""
 
     def marks(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
-        index = RunLengthIndex([r[4] for r in rows])
-        once = np.array([i for i, r in enumerate(rows) if r[2] == 1], np.int64)
-        string, at = index.repeated(once, length)
-        if not len(string):
+        times = np.array([r[2] for r in rows])
+        once = np.flatnonzero(times == 1)
+        if not len(once):
             return
-        order = np.lexsort((at, string))
-        string, at = string[order], at[order]
-        fresh = np.ones(len(at), bool)
-        fresh[1:] = (string[1:] != string[:-1]) | (at[1:] != at[:-1] + 1)
-        first = np.flatnonzero(fresh)
-        last = np.append(first[1:], len(at)) - 1
-        who = string[first].tolist()
-        shift = np.array([rows[i][3] for i in who], np.int64)
-        yield pa.record_batch([pa.array([rows[i][0] for i in who], pa.int64()), pa.array([rows[i][1] for i in who], pa.int64()), pa.array(at[first] + shift), pa.array(at[last] + length + shift)], names=["owner", "content", "low", "high"])
+        index = RunLengthIndex([r[5] for r in rows])
+        windows = [(which[hit], place[hit]) for which, place, longest in index.statistics(once) if (hit := longest >= length).any()]
+        if windows:
+            string, low = (np.concatenate(x) for x in zip(*windows, strict=True))
+            yield from spans(rows, WINDOW, string, low, low + length)
+        string, low, high, key = _passages(rows, words, short, length)
+        _, at, counts = np.unique(key, return_inverse=True, return_counts=True)
+        hit = (times[string] == 1) & ((counts[at] > 1) | (np.bincount(at, times[string], len(counts))[at] > 1))
+        if hit.any():
+            yield from spans(rows, PASSAGE, string[hit], low[hit], high[hit])
+
+    def spans(rows: list[tuple], kind: int, string: np.ndarray, low: np.ndarray, high: np.ndarray) -> Iterator[pa.RecordBatch]:
+        string, low, high = unions(string, low, high)
+        of = string.tolist()
+        columns = [pa.array([rows[i][0] for i in of], pa.int64()), pa.array([rows[i][1] for i in of], pa.int64()), pa.array(np.full(len(of), kind, np.int32)), pa.array(low.astype(np.int64)), pa.array(high.astype(np.int64))]
+        yield pa.record_batch(columns, names=["owner", "content", "kind", "low", "high"])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         size, last = 0, None
         for batch in batches:
-            for shard, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if size >= INDEX_BYTES and shard != last:
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if size >= INDEX_BYTES and row[0] != last:
                     yield from marks(held)
                     held, size = [], 0
-                held.append(tuple(row))
-                size += len(row[4])
-                last = shard
+                held.append(row)
+                size += len(row[5])
+                last = row[0]
         if held:
             yield from marks(held)
 
     return run
 
 
+_HOT = "key binary, owner long, content long, n long, kind int, low int, high int"
+
+
+def _hot_windows(length: int, words: int, short: int):  # noqa: ANN202
+    """A row for each window and each passage of hot super-windows, keyed by a digest of its bytes."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        digest = xxhash.xxh3_128_digest
+        for found in _wanted(batches):
+            out: list[tuple] = []
+            for w, piece, fresh in found:
+                data = np.frombuffer(piece, np.uint8)
+                need = passage_needs(data, np.zeros(len(data), np.int64), words, short, length)[: w["windows"]].tolist()
+                for at in range(w["windows"]):
+                    if at + length <= len(piece):
+                        out.append((digest(piece[at : at + length], WINDOW), w["owner"], w["content"], w["n"], WINDOW, at, at + length))
+                    if need[at] <= len(piece) - at and (fresh if at == 0 else _may_begin(piece, at)):
+                        out.append((digest(piece[at : at + need[at]], PASSAGE), w["owner"], w["content"], w["n"], PASSAGE, at, at + need[at]))
+                if len(out) >= 20_000:
+                    yield batch_of(out)
+                    out = []
+            if out:
+                yield batch_of(out)
+
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        types = [pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()]
+        return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=["key", "owner", "content", "n", "kind", "low", "high"])
+
+    return run
+
+
 def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, mark and text; id and mark (a hash of the text) together name a text."""
     text = text_of(text_col)
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("mark"), text.alias("text"))
 
 
-def repeated_spans(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, mark and spans (array of low, high byte offsets) of the texts with repeated windows.
+def repeated_spans(docs: DataFrame, length: int = LENGTH, words: int = WORDS, short: int = SHORT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, mark and spans (array of kind, low, high) of the texts with repeated windows or passages.
 
-    See :func:`keyed` for mark.  Spans may overlap and are in no order.
+    See :func:`keyed` for mark.  ``low`` and ``high`` are byte offsets; spans
+    may overlap and are in no order.  A span of kind WINDOW is covered by
+    repeated windows, one of kind PASSAGE by repeated passages, and one of kind
+    WHOLE occurs elsewhere as it is.  The table is a checkpoint.
     """
+    spark = docs.sparkSession
+    short = min(short, length)
     rows = keyed(docs, id_col, text_col)
-    scanned = checkpoint(rows.mapInArrow(lambda batches: _scan(batches, length), _SW), "windows")
+    scanned, scanned_at = written(rows.mapInArrow(lambda batches: _scan(batches, short, length), _SW), "windows")
 
-    at = F.struct("doc_id", "mark", "start", "windows")
+    at = F.struct("doc_id", "mark", "start", "windows", "size")
     combined = scanned.mapInArrow(_combine, _SW + ", n long").repartition("owner")
     equal = combined.groupBy("owner", "content").agg(F.sum("n").alias("n"), F.min(at).alias("at"))
     counted = equal.withColumn("kinds", F.count("*").over(Window.partitionBy("owner"))).filter("n > 1 or kinds > 1")
-    groups = checkpoint(counted, "owners")
-    release(docs.sparkSession)
-
-    wanted = groups.filter("kinds > 1").select("at.doc_id", "at.mark", F.struct("owner", "content", "n", F.col("at.start").alias("start"), F.col("at.windows").alias("windows"), (F.col("kinds") > HOT_OWNER).alias("hot")).alias("w"))
-    by_text = wanted.groupBy(F.col("doc_id").alias("__d"), F.col("mark").alias("__m")).agg(F.collect_list("w").alias("wanted"))
-    pieces = rows.join(by_text, rows["doc_id"].eqNullSafe(by_text["__d"]) & (rows["mark"] == by_text["__m"])).select("doc_id", "mark", "text", "wanted").mapInArrow(_cut_pieces(length), _PIECES)
-    dealt = pieces.repartition("shard").sortWithinPartitions("shard").select("shard", "owner", "content", "n", "shift", "piece")
-    marks = checkpoint(dealt.mapInArrow(_index(length), _MARKS), "marks")
-    release(docs.sparkSession)
-
-    whole = groups.filter("n > 1").select("owner", "content", F.lit(0).cast("long").alias("low"), (F.col("at.windows") + length - 1).cast("long").alias("high"))
-    every = whole.unionByName(marks)
-    placed = scanned.join(every, ["owner", "content"])
-    span = F.struct((F.col("start") + F.col("low")).alias("low"), (F.col("start") + F.col("high")).alias("high"))
-    return placed.groupBy("doc_id", "mark").agg(F.collect_set(span).alias("spans"))
+    groups, groups_at = written(counted, "owners")
+    release(spark)
+
+    def texts_of(wanted: DataFrame) -> DataFrame:
+        """doc_id, mark, text and wanted super-windows of the texts that a super-window is taken from."""
+        one = wanted.select("at.doc_id", "at.mark", F.struct("owner", "content", "n", "at.start", "at.windows", "at.size").alias("w"))
+        by_text = one.groupBy(F.col("doc_id").alias("__d"), F.col("mark").alias("__m")).agg(F.collect_list("w").alias("wanted"))
+        return rows.join(by_text, rows["doc_id"].eqNullSafe(by_text["__d"]) & (rows["mark"] == by_text["__m"])).select("doc_id", "mark", "text", "wanted")
+
+    pieces = texts_of(groups.filter((F.col("kinds") > 1) & (F.col("kinds") <= HOT_OWNER))).mapInArrow(_cut_pieces, _PIECES)
+    dealt = pieces.repartition("owner").sortWithinPartitions("owner")
+    marks, marks_at = written(dealt.mapInArrow(_index(length, words, short), _MARKS), "marks")
+    tables = [scanned_at, groups_at, marks_at]
+    release(spark)
+
+    hot = groups.filter(F.col("kinds") > HOT_OWNER)
+    if not hot.isEmpty():
+        every, hot_at = written(texts_of(hot).mapInArrow(_hot_windows(length, words, short), _HOT), "hot")
+        often = every.groupBy("key").agg(F.sum("n").alias("times")).filter("times > 1").select("key")
+        found = every.filter("n = 1").join(often, "key").select("owner", "content", "kind", F.col("low").cast("long"), F.col("high").cast("long"))
+        found, found_at = written(found, "hot-marks")
+        marks = marks.unionByName(found)
+        tables += [hot_at, found_at]
+
+    whole = groups.filter("n > 1").select("owner", "content", F.lit(WHOLE).alias("kind"), F.lit(0).cast("long").alias("low"), F.col("at.size").cast("long").alias("high"))
+    placed = scanned.select("owner", "content", "doc_id", "mark", "start").join(whole.unionByName(marks), ["owner", "content"])
+    span = F.struct("kind", (F.col("start") + F.col("low")).alias("low"), (F.col("start") + F.col("high")).alias("high"))
+    spans = checkpoint(placed.groupBy("doc_id", "mark").agg(F.collect_set(span).alias("spans")), "spans")
+    for path in tables:
+        drop_written(spark, path)
+    return spans
 
 
 def merged(spans: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -273,31 +412,59 @@ def merged(spans: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, with_kept: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, if asked for, kept (the remaining bytes) of each row.
+def covered(data: bytes, spans: list[dict], length: int, words: int, short: int) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
+    """What repeated windows cover of a text, and what repeated passages do."""
+    gone = [(s["low"], s["high"]) for s in spans if s["kind"] != PASSAGE and s["high"] - s["low"] >= length]
+    passages = [(s["low"], s["high"]) for s in spans if s["kind"] == PASSAGE]
+    whole = [(s["low"], s["high"]) for s in spans if s["kind"] == WHOLE]
+    if whole:
+        raw = np.frombuffer(data, np.uint8)
+        one = np.zeros(len(raw), np.int8)
+        need = passage_needs(raw, one, words, short, length)
+        begins = np.flatnonzero(word_begins(raw, one))
+        stops = begins + need[begins]
+        reach = np.zeros(len(begins), np.int64)  # how far the repeated stretches that a word begins in go
+        for low, high in whole:
+            a, b = np.searchsorted(begins, (low, high))
+            np.maximum(reach[a:b], high, out=reach[a:b])
+        hit = stops <= reach
+        passages += zip(begins[hit].tolist(), stops[hit].tolist(), strict=True)
+    return merged(gone), merged(passages)
+
+
+def remove_repeats(docs: DataFrame, length: int = LENGTH, words: int = WORDS, short: int = SHORT, with_kept: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_passages, passage_bytes and, if asked for, kept (the remaining bytes) of each row.
 
     Every byte that a window of ``length`` bytes covers goes if the window also
-    starts anywhere else in the texts, judged on the input.  A null text is
-    empty; texts shorter than a window stay.  Rows that repeat id and text are
-    copies of each other, and so all their windows are repeated.  Other columns
-    are not read; no rows give no rows.
+    starts anywhere else in the texts, judged on the input.  ``n_passages`` counts
+    the stretches that repeated passages cover, and ``passage_bytes`` their bytes;
+    a passage goes from a word's first byte to the first byte of the
+    ``words``-th word from there, but over ``short`` bytes at least and
+    ``length`` at most, and it is repeated if it is a passage anywhere else too.
+    Words are separated by ASCII white space.  A null text is empty; texts
+    shorter than a window stay.  Rows that repeat id and text are copies of each
+    other, and so all their windows are repeated.  Other columns are not read;
+    no rows give no rows.
     """
-    rows, width = keyed(docs, id_col, text_col), 4 + with_kept
-    spans = repeated_spans(docs, length, id_col, text_col).select(F.col("doc_id").alias("__d"), F.col("mark").alias("__m"), "spans")
-    joined = rows.join(spans, rows["doc_id"].eqNullSafe(spans["__d"]) & (rows["mark"] == spans["__m"]), "left").select("doc_id", "text", F.col("spans.low").alias("lows"), F.col("spans.high").alias("highs"))
+    short = min(short, length)
+    rows, width = keyed(docs, id_col, text_col), 6 + with_kept
+    spans = repeated_spans(docs, length, words, short, id_col, text_col).select(F.col("doc_id").alias("__d"), F.col("mark").alias("__m"), "spans")
+    joined = rows.join(spans, rows["doc_id"].eqNullSafe(spans["__d"]) & (rows["mark"] == spans["__m"]), "left").select("doc_id", "text", "spans")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for text, lows, highs in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
-                data, gone, at, parts = text.encode("utf-8", "replace"), merged(zip(lows or (), highs or (), strict=True)), 0, []
+            for text, found in zip(*(batch.column(i).to_pylist() for i in (1, 2)), strict=True):
+                data, at, parts = text.encode("utf-8", "replace"), 0, []
+                gone, passages = covered(data, found or [], length, words, short)
                 for low, high in gone:
                     parts.append(data[at:low])
                     at = high
                 left = b"".join([*parts, data[at:]])
-                out.append((len(data), len(data) - len(left), len(gone), hashlib.sha256(left).hexdigest(), left)[:width])
+                out.append((len(data), len(data) - len(left), len(gone), hashlib.sha256(left).hexdigest(), len(passages), sum(b - a for a, b in passages), left)[:width])
             columns = list(zip(*out, strict=True)) or [()] * width
-            types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()][:width]
-            yield pa.record_batch([batch.column(0), *(pa.array(c, t) for c, t in zip(columns, types, strict=True))], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"][: width + 1])
+            types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.binary()][:width]
+            names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_passages", "passage_bytes", "kept"][: width + 1]
+            yield pa.record_batch([batch.column(0), *(pa.array(c, t) for c, t in zip(columns, types, strict=True))], names=names)
 
-    return joined.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_kept)
+    return joined.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_passages long, passage_bytes long" + ", kept binary" * with_kept)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 
 
@@ -187,30 +189,26 @@ class RunLengthIndex:
         out[live] = np.minimum(done, most)
         return out
 
-    def repeated(self, which: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-        """Streamed matching statistics: (string, offset) of suffixes of the strings ``which`` that share
-        ``length`` bytes or more with another suffix of the index."""
+    def statistics(self, which: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Matching statistics of the strings ``which``, from their last suffixes to their first.
+
+        Each step yields strings, an offset in each, and how many bytes the suffix there shares with another suffix of
+        the index.
+        """
         row = self.begin[which]
         run = np.searchsorted(self.run_starts, row, "right") - 1
         offset = row - self.run_starts[run]
         place = self.lengths[which].copy()
         up, down = np.zeros(len(which), np.int64), np.zeros(len(which), np.int64)
-        found_in, found_at = [], []
-        which = which.copy()
-        while len(which):
+        more = place > 0
+        while more.any():
+            if not more.all():
+                which, run, offset, place, up, down = (v[more] for v in (which, run, offset, place, up, down))
             up = np.where(offset == 0, self.above[run], up + 1)
             down = np.where(offset == self.run_lengths[run] - 1, self.below[run], down + 1)
             row = self.to[run] + offset
             run = np.searchsorted(self.run_starts, row, "right") - 1
             offset = row - self.run_starts[run]
-            place -= 1
-            hit = np.maximum(up, down) >= length
-            if hit.any():
-                found_in.append(which[hit])
-                found_at.append(place[hit])
+            place = place - 1
+            yield which, place, np.maximum(up, down)
             more = place > 0
-            if not more.all():
-                which, run, offset, place, up, down = (v[more] for v in (which, run, offset, place, up, down))
-        if not found_in:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        return np.concatenate(found_in), np.concatenate(found_at)
