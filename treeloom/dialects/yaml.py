@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
+from itertools import accumulate, islice, takewhile
 
 from .lines import Line, lines_of
 from .tree import Tree
@@ -10,8 +12,13 @@ from .tree import Tree
 MAX_DEPTH = 900
 _BLANKS = re.compile(r"[ \t]*")
 _SPACES = re.compile(r" *")
-_SINGLE = re.compile(r"'(?:''|[^'])*(?:'|\Z)")
-_DOUBLE = re.compile(r'"(?:\\.|[^"\\])*(?:"|\\?\Z)', re.DOTALL)
+#: Signs of a stretch of a line: quoted text where a scalar can begin, a comment sign, separators and brackets.
+_SIGN = re.compile(
+    r"""(?<![^ \t,\[{:])(?:'(?:''|[^'])*(?:'|\Z)|"(?:\\.|[^"\\])*(?:"|\\?\Z))|(?<![^ \t])\#|[:,\[\]{}]""",
+    re.DOTALL,
+)
+_NESTING = {"[": 1, "{": 1, "]": -1, "}": -1}
+_TRIVIA = re.compile(r"[ \t]*(?:(?<![^ \t\r\n])#.*)?", re.DOTALL)
 _PROPERTIES = re.compile(r"(?:[&!][^ \t,\[\]{}]*[ \t]*)*")
 _BLOCK_SCALAR = re.compile(r"[|>][-+0-9]*\Z")
 _PLAIN_KEY = re.compile(r"[^:#'\"\[\]{}]*:")
@@ -40,96 +47,54 @@ class _Yaml:
     def line(self) -> Line:
         return self.lines[self.i]
 
-    def quoted(self, at: int, since: int, stop: int) -> int:
-        """End of the quoted text that opens at ``at``, or ``at``; a quote opens only where a scalar can begin."""
-        if self.text[at] not in "'\"" or not (at == since or self.text[at - 1] in " \t,[{:"):
-            return at
-        return min((_SINGLE if self.text[at] == "'" else _DOUBLE).match(self.text, at, stop).end(), stop)
+    def signs(self, since: int, stop: int) -> Iterator[tuple[int, str]]:
+        """Signs outside quotes between two positions of a line, which is read as if it began at the first."""
+        part = self.text[since:stop]
+        return ((since + m.start(), m[0]) for m in _SIGN.finditer(part) if m[0][0] not in "'\"")
 
     def comment_at(self, since: int, stop: int) -> int:
-        at = self.text.find("#", since, stop)
-        if at < 0:
+        if self.text.find("#", since, stop) < 0:
             return stop
-        at = since
-        while at < stop:
-            past = self.quoted(at, since, stop)
-            if past > at:
-                at = past
-                continue
-            if self.text[at] == "#" and (at == since or self.text[at - 1] in " \t"):
-                return at
-            at += 1
-        return stop
+        return next((at for at, c in self.signs(since, stop) if c == "#"), stop)
 
     def key_colon(self, since: int, stop: int) -> int:
-        """The colon that makes a key of what stands before it, or -1."""
+        """The colon that makes a key of what stands before it, or -1: outside brackets, and a blank or the end follows."""
         plain = _PLAIN_KEY.match(self.text, since, stop)
-        if plain:  # no quote, bracket or comment sign before a colon that separates
-            return plain.end() - 1 if plain.end() == stop or self.text[plain.end()] in " \t" else self.slow_key_colon(since, stop)
-        return self.slow_key_colon(since, stop) if self.text.find(":", since, stop) >= 0 else -1
-
-    def slow_key_colon(self, since: int, stop: int) -> int:
-        depth, at = 0, since
-        end = self.comment_at(since, stop)
-        while at < end:
-            past = self.quoted(at, since, stop)
-            if past > at:
-                at = past
-                continue
-            c = self.text[at]
-            if c in "[{":
-                depth += 1
-            elif c in "]}":
-                depth = max(0, depth - 1)
-            elif c == ":" and not depth and (at + 1 >= stop or self.text[at + 1] in " \t"):
-                return at
-            at += 1
-        return -1
+        if plain and (plain.end() == stop or self.text[plain.end()] in " \t"):
+            return plain.end() - 1  # no quote, bracket or comment sign before it
+        if self.text.find(":", since, stop) < 0:
+            return -1
+        found = list(takewhile(lambda sign: sign[1] != "#", self.signs(since, stop)))
+        depths = accumulate(found, lambda depth, sign: max(0, depth + _NESTING.get(sign[1], 0)), initial=0)
+        separating = (at for (at, c), depth in zip(found, depths, strict=False) if c == ":" and not depth and self.text[at + 1 : min(at + 2, stop)] in ("", " ", "\t"))
+        return next(separating, -1)
 
     def scalar_end(self, since: int, stop: int) -> int:
         """End of a scalar inside a flow collection, without blanks at its end."""
-        at = since
-        while at < stop:
-            past = self.quoted(at, since, stop)
-            if past > at:
-                at = past
-                continue
-            c = self.text[at]
-            if c in ",[]{}" or (c == "#" and at > since and self.text[at - 1] in " \t"):
-                break
-            if c == ":" and ((at > since and self.text[at - 1] in "'\"") or at + 1 >= stop or self.text[at + 1] in " \t,]}"):
-                break
-            at += 1
-        return since + len(self.text[since:at].rstrip(" \t"))
 
-    def past_trivia(self, at: int, stop: int, start: int) -> int:
-        """Where content goes on after blanks and a comment on the same line."""
-        at = _BLANKS.match(self.text, at, stop).end()
-        if at < stop and self.text[at] == "#" and (at == start or self.text[at - 1] in " \t"):
-            return stop
-        return at
+        def ends(at: int, c: str) -> bool:
+            if c == "#":
+                return at > since
+            if c == ":":
+                return self.text[at + 1 : min(at + 2, stop)] in ("", " ", "\t", ",", "]", "}") or (at > since and self.text[at - 1] in "'\"")
+            return True
+
+        end = next((at for at, c in self.signs(since, stop) if ends(at, c)), stop)
+        return since + len(self.text[since:end].rstrip(" \t"))
 
-    def ahead(self, at: int) -> tuple[int, int]:
-        """Line and position of the next content from ``at`` on; the number of lines where there is none."""
-        for i in range(self.i, len(self.lines)):
-            line = self.lines[i]
-            at = self.past_trivia(at if i == self.i else line.start, line.stop, line.start)
-            if at < line.stop:
-                return i, at
-        return len(self.lines), len(self.text)
+    def beyond(self, at: int, line: Line) -> int:
+        """Where content goes on after blanks and a comment on the same line."""
+        return _TRIVIA.match(self.text, at, line.stop).end()
 
-    def next_char(self, at: int) -> str:
-        i, at = self.ahead(at)
-        return self.text[at] if i < len(self.lines) else ""
+    def following(self, at: int) -> str:
+        """The next character of content from ``at`` on, whichever line it is on."""
+        places = ((self.beyond(max(at, line.start), line), line.stop) for line in islice(self.lines, self.i, None))
+        return next((self.text[to] for to, stop in places if to < stop), "")
 
     def element_is_key(self, at: int) -> bool:
-        for i in range(self.i, len(self.lines)):
-            line = self.lines[i]
-            at = self.scalar_end(at if i == self.i else line.start, line.stop)
-            at = self.past_trivia(at, line.stop, line.start)
-            if at < line.stop:
-                return self.text[at] == ":"
-        return False
+        """Whether a colon ends the element, whose scalar may go on over lines."""
+        ends = ((self.beyond(self.scalar_end(max(at, line.start), line.stop), line), line.stop) for line in islice(self.lines, self.i, None))
+        return next((self.text[to] == ":" for to, stop in ends if to < stop), False)
 
     # --- leaves -------------------------------------------------------------
 
@@ -159,13 +124,10 @@ class _Yaml:
     def flow_trivia(self, at: int) -> int:
         """Emit blanks, comments and line ends up to the next content of the collection."""
         while True:
-            line = self.line
-            at = self.blanks(at)
-            if at < line.stop and self.text[at] == "#" and (at == line.start or self.text[at - 1] in " \t"):
-                self.leaf("comment", at, line.stop)
-                at = line.stop
-            if at < line.stop or self.i + 1 >= len(self.lines):
-                return at
+            past = self.beyond(at, self.line)
+            self.leaf("comment", self.blanks(at), past)
+            if past < self.line.stop or self.i + 1 == len(self.lines):
+                return past
             self.end_line()
             self.i += 1
             at = self.line.start
@@ -225,7 +187,7 @@ class _Yaml:
             stop = self.scalar_end(at, self.line.stop)
             self.leaf(tag, at, stop)
             at = stop
-            if self.past_trivia(at, self.line.stop, self.line.start) < self.line.stop or self.next_char(at) in (",", "]", "}", ""):
+            if self.beyond(at, self.line) < self.line.stop or self.following(at) in (",", "]", "}", ""):
                 return at
             before = at
             at = self.flow_trivia(at)
@@ -233,7 +195,7 @@ class _Yaml:
                 return at
 
     def pair_value(self, at: int, depth: int) -> int:
-        if self.next_char(at) == ":":
+        if self.following(at) == ":":
             at = self.flow_trivia(at)
         colon = _BLANKS.match(self.text, at, self.line.stop).end()
         if colon >= self.line.stop or self.text[colon] != ":":
