@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -88,9 +89,13 @@ class Tree:
     def level(self) -> int:
         return len(self._open)
 
-    def raws(self) -> list[bytes | None]:
-        text = self.text
-        out: list[bytes | None] = [None if s is None else text[s[0] : s[1]].encode("latin-1") for s in self.spans]
-        for number, made in self.made.items():
-            out[number] = made.encode("latin-1")
+    def raws(self, numbers: Iterable[int] | None = None) -> list[bytes | None]:
+        """Texts of all nodes, or of some; none where a node has no text of its own."""
+        text, made = self.text, self.made
+        spans = self.spans if numbers is None else [self.spans[i] for i in numbers]
+        out: list[bytes | None] = [None if s is None else text[s[0] : s[1]].encode("latin-1") for s in spans]
+        if made:
+            for place, number in enumerate(range(len(self.spans)) if numbers is None else numbers):
+                if number in made:
+                    out[place] = made[number].encode("latin-1")
         return out

@@ -8,34 +8,33 @@ from pyspark.sql import functions as F
 
 def in_order(diagnostics: DataFrame) -> DataFrame:
     """By document and place; equal places stay in the order of discovery."""
-    return diagnostics.orderBy("doc_id", "line", "col", "diag_id")
+    return diagnostics.orderBy("doc_id", "doc_key", "line", "col", "diag_id")
 
 
 def as_text(diagnostics: DataFrame, path: Column) -> DataFrame:
-    """doc_id, diag_id, text: ``path:line:col: severity[code]: message`` with note and help lines; columns from 1."""
+    """doc_id, doc_key, diag_id, text: ``path:line:col: severity[code]: message`` with note and help lines; columns from 1."""
     head = F.format_string("%s:%d:%d: %s[%s]: %s", path, "line", F.col("col") + 1, "severity", "code", "message")
     note = F.when(F.col("related").isNotNull(), F.format_string("\n  note: %s:%d:%d: %s", path, "related.line", F.col("related.col") + 1, "related.message")).otherwise("")
     hint = F.when(F.coalesce("fix", F.lit("")) != "", F.concat(F.lit("\n  help: "), "fix")).otherwise("")
-    return diagnostics.select("doc_id", "diag_id", F.concat(head, note, hint).alias("text"))
+    return diagnostics.select("doc_id", "doc_key", "diag_id", F.concat(head, note, hint).alias("text"))
 
 
 def as_json(diagnostics: DataFrame) -> DataFrame:
-    """doc_id and a JSON array of its diagnostics in order; columns from 0, fix and related only where present."""
+    """doc_id, doc_key and a JSON array of a document's diagnostics in order; columns from 0, fix and related only where present."""
     one = F.struct("line", "col", "diag_id", F.struct("severity", "code", "message", "line", "col", F.col("end_col").alias("endCol"), F.when(F.col("fix") != "", F.col("fix")).alias("fix"), "related").alias("d"))
-    rows = diagnostics.groupBy("doc_id").agg(F.array_sort(F.collect_list(one)).alias("all"))
-    return rows.select("doc_id", F.to_json(F.transform("all", lambda x: x["d"])).alias("json"))
+    rows = diagnostics.groupBy("doc_id", "doc_key").agg(F.array_sort(F.collect_list(one)).alias("all"))
+    return rows.select("doc_id", "doc_key", F.to_json(F.transform("all", lambda x: x["d"])).alias("json"))
 
 
 def first_error(diagnostics: DataFrame) -> DataFrame:
-    """doc_id, code, message, line, col of the first error that was met in each document."""
-    errors = diagnostics.filter("severity = 'error'").groupBy("doc_id").agg(F.min_by(F.struct("code", "message", "line", "col"), "diag_id").alias("first"))
-    return errors.select("doc_id", "first.*")
+    """doc_id, doc_key, code, message, line, col of the first error that was met in each document that has one."""
+    errors = diagnostics.filter("severity = 'error'").groupBy("doc_id", "doc_key").agg(F.min_by(F.struct("code", "message", "line", "col"), "diag_id").alias("first"))
+    return errors.select("doc_id", "doc_key", "first.*")
 
 
-def exit_codes(docs: DataFrame, diagnostics: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """doc_id and 1 for a document with an error, else 0."""
-    errors = diagnostics.filter("severity = 'error'").select("doc_id").distinct().withColumn("code", F.lit(1))
-    return docs.select(F.col(id_col).cast("long").alias("doc_id")).join(errors, "doc_id", "left").select("doc_id", F.coalesce("code", F.lit(0)).alias("exit_code"))
+def exit_codes(checked: DataFrame) -> DataFrame:
+    """doc_id and 1 for a document with an error, else 0, of a table of verdicts (doc_id, sound)."""
+    return checked.select("doc_id", F.when(F.col("sound"), 0).otherwise(1).alias("exit_code"))
 
 
 def positions(content: Column, byte: Column) -> tuple[Column, Column]:

@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..dialects.specs import dialect
-from .nodes import parse_nodes, tokenize
-from .tree import count_tag, max_nesting, render, undeclared_tags
+from ..dialects.specs import OPAQUE, PUNCT, dialect, node_spec_rows
+from ..dialects.tree import Tree
+from .nodes import mapped
+from .tree import count_tag, max_nesting
 
 #: Prefixes of a document, and the largest document, of the truncation gate.
 SAMPLES, LARGEST = 128, 262_144
@@ -21,17 +22,50 @@ def _content(docs: DataFrame, id_col: str, content_col: str) -> DataFrame:
 
 
 def identity(docs: DataFrame, which: str, id_col: str = "doc_id", content_col: str = "content") -> DataFrame:
-    """doc_id, same: whether the tokens of a document add up to it."""
-    parts = tokenize(docs, which, id_col, content_col).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("tok_id", F.hex("raw").alias("h")))).alias("parts"))
-    joined = parts.select("doc_id", F.unhex(F.concat_ws("", F.transform("parts", lambda x: x["h"]))).alias("back"))
-    return _content(docs, id_col, content_col).join(joined, "doc_id", "left").select("doc_id", (F.coalesce("back", F.lit(b"")) == F.col("content")).alias("same"))
+    """doc_id, same: whether the tokens of a document, one behind the other, are the document; a row for each row of ``docs``."""
+    tokens = dialect(which).tokens
+    if tokens is None:
+        raise ValueError(f"{which} is read line by line and has no tokens")
+
+    def same(content: bytes) -> bool:
+        text = content.decode("latin-1")
+        return "".join(text[a:b] for _, a, b in tokens(text)) == text
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.record_batch([batch.column(0), pa.array(map(same, batch.column(1).to_pylist()), pa.bool_())], names=["doc_id", "same"])
+
+    return _content(docs, id_col, content_col).mapInArrow(run, "doc_id long, same boolean")
+
+
+def _rendered(which: str) -> Callable[[Tree], bytes]:
+    """The bytes that a tree stands for."""
+    command = dialect(which).command
+    literals = {k: v.encode() for k, v in PUNCT.get(command, {}).items()}
+    opaque = set(OPAQUE.get(command, "").split())
+    return lambda tree: b"".join(raw if raw is not None else literals.get(tag, b"") for tag, raw in zip(tree.tags, tree.raws(), strict=True) if tag not in opaque)
+
+
+def judge(docs: DataFrame, which: str, id_col: str = "doc_id", content_col: str = "content") -> DataFrame:
+    """doc_id, same, first_difference and undeclared of each row of ``docs``, null and repeated ids among them.
+
+    ``same``: rendering the document's tree gives the document;
+    ``first_difference`` is a byte offset, null where there is none; ``undeclared`` are the tags
+    that the dialect does not declare.  Documents are parsed once and do not move.
+    """
+    rendered, declared = _rendered(which), frozenset(tag for name, tag, _, _ in node_spec_rows() if name == dialect(which).name)
+
+    def of(tree: Tree) -> tuple[bool, int | None, list[str]]:
+        back, content = rendered(tree), tree.text.encode("latin-1")
+        differ = None if back == content else next((i for i, (x, y) in enumerate(zip(back, content, strict=False)) if x != y), min(len(back), len(content)))
+        return differ is None, differ, sorted(set(tree.tags) - declared)
+
+    return mapped(docs, which, of, "same boolean, first_difference int, undeclared array<string>", [pa.bool_(), pa.int32(), pa.list_(pa.string())], id_col, content_col)
 
 
 def round_trip(docs: DataFrame, which: str, id_col: str = "doc_id", content_col: str = "content") -> DataFrame:
-    """doc_id, same, first_difference (a byte offset, null where there is none) of rendering a document's tree."""
-    rows = _content(docs, id_col, content_col)
-    back = render(parse_nodes(rows, which), which, rows).withColumnRenamed("content", "back")
-    return rows.join(back, "doc_id").select("doc_id", (F.col("back") == F.col("content")).alias("same"), first_difference(F.col("content"), F.col("back")).alias("first_difference"))
+    """doc_id, same, first_difference of :func:`judge`."""
+    return judge(docs, which, id_col, content_col).drop("undeclared")
 
 
 def first_difference(a: Column, b: Column) -> Column:
@@ -50,15 +84,21 @@ def excerpt(column: Column, at: Column, width: int = 40) -> Column:
     return part
 
 
+def _expected(found: DataFrame, column: str, expected: DataFrame) -> DataFrame:
+    wanted = expected.select("doc_id", F.col("want").cast("long").alias("want"))
+    found = found.select(F.col("doc_id").alias("__id"), F.col(column).alias("n"))
+    rows = wanted.join(found, wanted["doc_id"].eqNullSafe(found["__id"]), "left").select("doc_id", F.coalesce("n", F.lit(0)).cast("long").alias("n"), "want")
+    return rows.withColumn("holds", F.col("n") == F.col("want"))
+
+
 def expect_count(nodes: DataFrame, tag: str, expected: DataFrame) -> DataFrame:
-    """doc_id, n, want, holds for the wanted counts in ``expected`` (doc_id, want)."""
-    return count_tag(nodes, tag, expected).join(expected.select("doc_id", F.col("want").cast("long").alias("want")), "doc_id").withColumn("holds", F.col("n") == F.col("want"))
+    """doc_id, n, want, holds for the wanted counts in ``expected`` (doc_id, want); a row for each document of that id."""
+    return _expected(count_tag(nodes, tag), "n", expected)
 
 
 def expect_nesting(nodes: DataFrame, tag: str, expected: DataFrame) -> DataFrame:
     """As :func:`expect_count`, of how deep ``tag`` stands in itself."""
-    rows = expected.select("doc_id", F.col("want").cast("long").alias("want")).join(max_nesting(nodes, tag), "doc_id", "left")
-    return rows.select("doc_id", F.coalesce("depth", F.lit(0)).cast("long").alias("n"), "want").withColumn("holds", F.col("n") == F.col("want"))
+    return _expected(max_nesting(nodes, tag), "depth", expected)
 
 
 def truncations(docs: DataFrame, which: str, id_col: str = "doc_id", content_col: str = "content") -> DataFrame:
@@ -67,15 +107,10 @@ def truncations(docs: DataFrame, which: str, id_col: str = "doc_id", content_col
     Documents above LARGEST bytes are skipped, and say so.  Prefixes are cut
     and checked where the document is; none crosses a shuffle.
     """
-    from ..dialects.specs import PUNCT
-
-    chosen = dialect(which)
-    literals = {k: v.encode() for k, v in PUNCT.get(chosen.command, {}).items()}
+    parse, rendered = dialect(which).parse, _rendered(which)
 
     def whole(text: str) -> bool:
-        tree = chosen.parse(text)
-        back = b"".join(raw if raw is not None else literals.get(tag, b"") for tag, raw in zip(tree.tags, tree.raws(), strict=True) if tag != "code")
-        return back == text.encode("latin-1")
+        return rendered(parse(text)) == text.encode("latin-1")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -95,10 +130,8 @@ def truncations(docs: DataFrame, which: str, id_col: str = "doc_id", content_col
 
 def report(docs: DataFrame, which: str, id_col: str = "doc_id", content_col: str = "content") -> DataFrame:
     """One row: documents, those that do not round-trip, those with undeclared tags."""
-    rows = _content(docs, id_col, content_col)
-    trip = round_trip(rows, which).agg(F.count("*").alias("checked"), F.count_if(~F.col("same")).alias("broken"))
-    odd = undeclared_tags(parse_nodes(rows, which), which).agg(F.count_distinct("doc_id").alias("undeclared"))
-    return trip.crossJoin(odd).select(F.lit(dialect(which).name).alias("dialect"), "checked", "broken", "undeclared")  # one row each
+    found = judge(docs, which, id_col, content_col)
+    return found.agg(F.lit(dialect(which).name).alias("dialect"), F.count("*").alias("checked"), F.count_if(~F.col("same")).alias("broken"), F.count_if(F.size("undeclared") > 0).alias("undeclared"))
 
 
 def fnv1a(data: bytes, start: int = 0xCBF29CE484222325) -> int:

@@ -15,8 +15,10 @@ from pyspark.sql import functions as F
 
 from ..dialects.tree import Positions
 from ..functions import json_tape as jt
+from .nodes import document_keys
+from .tree import DOC
 
-TAPE = "doc_id long, idx int, kind string, escaped boolean, start int, size int, next int, parent int, depth int, ordinal int, is_key boolean, key string, lexeme string, value string"
+TAPE = "doc_id long, doc_key long, idx int, kind string, escaped boolean, start int, size int, next int, parent int, depth int, ordinal int, is_key boolean, key string, lexeme string, value string"
 _BATCH = 20_000
 
 
@@ -36,20 +38,20 @@ def _utf8(raw: bytes) -> str:
 
 def tape(docs: DataFrame, id_col: str = "doc_id", content_col: str = "content") -> DataFrame:
     """The tape of every valid document; an invalid one, null among them, gives no row (see :func:`lint`)."""
-    types = [pa.int64(), pa.int32(), pa.string(), pa.bool_(), *[pa.int32()] * 6, pa.bool_(), *[pa.string()] * 3]
+    types = [pa.int64(), pa.int64(), pa.int32(), pa.string(), pa.bool_(), *[pa.int32()] * 6, pa.bool_(), *[pa.string()] * 3]
     names = [x.split()[0] for x in TAPE.split(", ")]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
-        for doc, text in _texts(batches):
+        for key, (doc, text) in zip(document_keys(), _texts(batches), strict=False):
             try:
                 found = jt.parse(text)
             except jt.JsonError:
                 continue
             for i, e in enumerate(found):
                 scalar = e.kind not in ("object", "array")
-                key = _utf8(jt.decoded(text, found[e.key])) if e.key >= 0 else None
-                rows.append((doc, i, e.kind, e.escaped, e.start, e.size, e.next, e.parent, e.depth, e.ordinal, e.is_key, key, _utf8(jt.lexeme(text, e)) if scalar else None, _utf8(jt.decoded(text, e)) if e.kind == "string" else None))
+                member = _utf8(jt.decoded(text, found[e.key])) if e.key >= 0 else None
+                rows.append((doc, key, i, e.kind, e.escaped, e.start, e.size, e.next, e.parent, e.depth, e.ordinal, e.is_key, member, _utf8(jt.lexeme(text, e)) if scalar else None, _utf8(jt.decoded(text, e)) if e.kind == "string" else None))
             if len(rows) >= _BATCH:
                 yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
                 rows = []
@@ -101,14 +103,14 @@ def query(docs: DataFrame, path: str, id_col: str = "doc_id", content_col: str =
 
 
 def members(tapes: DataFrame, parent: int = 0) -> DataFrame:
-    """The pairs of the container at ``parent`` in order, repeated keys and all: doc_id, ordinal, key, kind, lexeme, value."""
-    return tapes.filter((F.col("parent") == parent) & ~F.col("is_key")).select("doc_id", "ordinal", "key", "kind", "lexeme", "value")
+    """The pairs of the container at ``parent`` in order, repeated keys and all: doc_id, doc_key, ordinal, key, kind, lexeme, value."""
+    return tapes.filter((F.col("parent") == parent) & ~F.col("is_key")).select(*DOC, "ordinal", "key", "kind", "lexeme", "value")
 
 
 def first_member(tapes: DataFrame, key: str, parent: int = 0) -> DataFrame:
     """The first pair with ``key`` of each document."""
     found = members(tapes, parent).filter(F.col("key") == key)
-    return found.groupBy("doc_id").agg(*(F.min_by(c, "ordinal").alias(c) for c in ("kind", "lexeme", "value")))
+    return found.groupBy(*DOC).agg(*(F.min_by(c, "ordinal").alias(c) for c in ("kind", "lexeme", "value")))
 
 
 def kind_counts(tapes: DataFrame) -> DataFrame:
@@ -117,9 +119,9 @@ def kind_counts(tapes: DataFrame) -> DataFrame:
 
 
 def duplicate_keys(tapes: DataFrame) -> DataFrame:
-    """doc_id, parent, key, n of keys that an object has more than once."""
+    """doc_id, doc_key, parent, key, n of keys that an object has more than once."""
     keys = tapes.filter("not is_key and key is not null")
-    return keys.groupBy("doc_id", "parent", "key").agg(F.count("*").alias("n")).filter("n > 1")
+    return keys.groupBy(*DOC, "parent", "key").agg(F.count("*").alias("n")).filter("n > 1")
 
 
 def get_int(lexeme: str = "lexeme", kind: str = "kind", default: int = 0):  # noqa: ANN201
@@ -128,9 +130,9 @@ def get_int(lexeme: str = "lexeme", kind: str = "kind", default: int = 0):  # no
 
 
 def pairs_json(tapes: DataFrame) -> DataFrame:
-    """doc_id and the document's members as a JSON array of {key, kind, lexeme}, in order and with duplicates."""
-    rows = members(tapes).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("ordinal", "key", "kind", "lexeme"))).alias("m"))
-    return rows.select("doc_id", F.to_json(F.transform("m", lambda x: F.struct(x["key"].alias("key"), x["kind"].alias("kind"), x["lexeme"].alias("lexeme")))).alias("pairs"))
+    """doc_id, doc_key and the document's members as a JSON array of {key, kind, lexeme}, in order and with duplicates."""
+    rows = members(tapes).groupBy(*DOC).agg(F.array_sort(F.collect_list(F.struct("ordinal", "key", "kind", "lexeme"))).alias("m"))
+    return rows.select(*DOC, F.to_json(F.transform("m", lambda x: F.struct(x["key"].alias("key"), x["kind"].alias("kind"), x["lexeme"].alias("lexeme")))).alias("pairs"))
 
 
 KINDS = ("object", "array", "string", "int", "float", "true", "false", "null")

@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 
 from ..dialects import nim, nim_checks, nim_tree
 from ..dialects.tree import Positions
-from .nodes import BATCH_ROWS, DIAGNOSTICS, NODES, diagnostic_batch, node_batch
+from .nodes import BATCH_ROWS, DIAGNOSTICS, NODES, diagnostic_batch, document_keys, node_batch
 
-TOKENS = "doc_id long, tok_id int, kind string, text string, line int, col int, end_col int, indent int, int_value long, float_value double, suffix string, quoted boolean, parts array<string>"
+TOKENS = "doc_id long, doc_key long, tok_id int, kind string, text string, line int, col int, end_col int, indent int, int_value long, float_value double, suffix string, quoted boolean, parts array<string>"
 
 
 def _texts(docs: DataFrame, id_col: str, content_col: str) -> DataFrame:
@@ -26,14 +26,16 @@ def _utf8(text: str) -> str:
 
 def tokenize(docs: DataFrame, options: nim.Options = nim.Options(), id_col: str = "doc_id", content_col: str = "content") -> DataFrame:
     """Tokens of each source, the last an ``eof``; comments that do not lead their line are dropped."""
-    kinds = [pa.int64(), pa.int32(), pa.string(), pa.string(), *[pa.int32()] * 4, pa.int64(), pa.float64(), pa.string(), pa.bool_(), pa.list_(pa.string())]
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.string(), pa.string(), *[pa.int32()] * 4, pa.int64(), pa.float64(), pa.string(), pa.bool_(), pa.list_(pa.string())]
     names = [x.split()[0] for x in TOKENS.split(", ")]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys = document_keys()
         for batch in batches:
             for doc, content in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                key = next(keys)
                 found, _ = nim.tokenize(content.decode("latin-1"), options)
-                rows = [(doc, i, t.kind, _utf8(t.text), t.line, t.col, t.end_col, t.indent, t.int_value, t.float_value, t.suffix, t.quoted, [_utf8(p) for p in t.parts]) for i, t in enumerate(found)]
+                rows = [(doc, key, i, t.kind, _utf8(t.text), t.line, t.col, t.end_col, t.indent, t.int_value, t.float_value, t.suffix, t.quoted, [_utf8(p) for p in t.parts]) for i, t in enumerate(found)]
                 for at in range(0, len(rows), BATCH_ROWS):
                     yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows[at : at + BATCH_ROWS], strict=True), kinds, strict=True)], names=names)
 
@@ -47,17 +49,17 @@ def parse_nodes(docs: DataFrame, id_col: str = "doc_id", content_col: str = "con
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, rows = [], 0
+        held, rows, keys = [], 0, document_keys()
         for batch in batches:
             for doc, content in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 tree = nim_tree.parse(content.decode("latin-1"))
-                held.append((doc, tree))
+                held.append((doc, next(keys), tree))
                 rows += len(tree.tags)
                 if rows >= BATCH_ROWS:
-                    yield node_batch(held)
+                    yield node_batch(held)[0]
                     held, rows = [], 0
         if held:
-            yield node_batch(held)
+            yield node_batch(held)[0]
 
     return _texts(docs, id_col, content_col).mapInArrow(run, NODES)
 
@@ -70,9 +72,11 @@ def diagnose(docs: DataFrame, options: nim.Options = nim.Options(), lints: tuple
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys = document_keys()
         for batch in batches:
             rows: list[tuple] = []
             for doc, content in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                key = next(keys)
                 source = content.decode("latin-1")
                 if source.lstrip(" \t\r\n").startswith("#?"):
                     continue
@@ -85,7 +89,7 @@ def diagnose(docs: DataFrame, options: nim.Options = nim.Options(), lints: tuple
                 for n, i in enumerate(order):
                     d, (line, col) = found[i], at[i]
                     related = {"message": d.related, "line": int(line[1]), "col": int(col[1])} if d.related else None
-                    rows.append((doc, n, d.severity, d.code, d.message, int(line[0]), int(col[0]), int(col[0]) + d.width, d.fix, related))
+                    rows.append((doc, key, n, d.severity, d.code, d.message, int(line[0]), int(col[0]), int(col[0]) + d.width, d.fix, related))
             if rows:
                 yield diagnostic_batch(rows)
 

@@ -2,25 +2,32 @@
 
 A parser keeps no state between documents, so each is a narrow Arrow map over
 whatever partitions the documents come in: no shuffle, and the same code over a
-stream.  Push filters on documents below the map; a filter on tags cannot pass
-through it.
+stream.  Push filters on documents below the map.  A filter on tags cannot pass
+through it, so it is an argument, as is what should be known of the nodes
+around a node: a query then parses once and joins nothing.
+
+Ids may be null or repeated.  ``doc_key`` tells the rows of a document table
+apart: it numbers the documents of a partition, as monotonically_increasing_id does.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..dialects.context import Context
 from ..dialects.specs import dialect, dialect_rows, node_spec_rows
 from ..dialects.tree import Positions, Tree
 
-NODES = "doc_id long, node_id int, parent_id int, end_id int, depth int, tag string, raw binary, line int, col int"
-TOKENS = "doc_id long, tok_id int, kind string, raw binary, line int, col int"
-DIAGNOSTICS = "doc_id long, diag_id int, severity string, code string, message string, line int, col int, end_col int, fix string, related struct<message:string,line:int,col:int>"
+NODES = "doc_id long, doc_key long, node_id int, parent_id int, end_id int, depth int, tag string, raw binary, line int, col int"
+TOKENS = "doc_id long, doc_key long, tok_id int, kind string, raw binary, line int, col int"
+DIAGNOSTICS = "doc_id long, doc_key long, diag_id int, severity string, code string, message string, line int, col int, end_col int, fix string, related struct<message:string,line:int,col:int>"
 #: Rows of an Arrow batch that goes back to the JVM.
 BATCH_ROWS = 20_000
 
@@ -40,39 +47,59 @@ def _inputs(docs: DataFrame, which: str | Column, id_col: str, content_col: str)
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), named.alias("dialect"), F.coalesce(F.col(content_col).cast("binary"), F.lit(b"")).alias("content"))
 
 
-def _documents(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[int | None, str, str]]:
+def document_keys() -> Iterator[int]:
+    """Keys for the documents that a task meets, in order."""
+    context = TaskContext.get()
+    return count((context.partitionId() if context else 0) << 33)
+
+
+def _documents(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[int | None, int, str, str]]:
+    keys = document_keys()
     for batch in batches:
         for doc, name, content in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            key = next(keys)
             if name is not None:
-                yield doc, name, content.decode("latin-1")
+                yield doc, key, name, content.decode("latin-1")
+
 
+Held = list[tuple[int | None, int, Tree]]
 
-def node_batch(held: list[tuple[int | None, Tree]]) -> pa.RecordBatch:
-    counts = [len(t.tags) for _, t in held]
+
+def node_batch(held: Held, tags: frozenset[str] | None = None) -> tuple[pa.RecordBatch, list[np.ndarray | range]]:
+    """Rows of the nodes, or of those with ``tags``, and their numbers in each tree."""
+    use = [range(len(t.tags)) if tags is None else np.flatnonzero([x in tags for x in t.tags]) for _, _, t in held]
+    counts = [len(u) for u in use]
     line, col = [], []
-    for _, tree in held:
-        a, b = Positions(tree.text).of(np.array(tree.offsets))
+    for (_, _, tree), own in zip(held, use, strict=True):
+        a, b = Positions(tree.text).of(np.array(tree.offsets, np.int64)[own])
         line.append(a)
         col.append(b)
-    flat = lambda name, kind: pa.array([x for _, t in held for x in getattr(t, name)], kind)
-    return pa.record_batch(
+    flat = lambda name, kind: pa.array([x for (_, _, t), own in zip(held, use, strict=True) for x in _picked(getattr(t, name), own)], kind)
+    at = pa.array(np.repeat(np.arange(len(held)), counts))
+    batch = pa.record_batch(
         [
-            pa.array([d for d, _ in held], pa.int64()).take(pa.array(np.repeat(np.arange(len(held)), counts))),
-            pa.array(np.concatenate([np.arange(n, dtype=np.int32) for n in counts])),
+            pa.array([d for d, _, _ in held], pa.int64()).take(at), pa.array([k for _, k, _ in held], pa.int64()).take(at),
+            pa.array(np.concatenate([np.asarray(own, np.int32) for own in use])),
             flat("parents", pa.int32()), flat("ends", pa.int32()), flat("depths", pa.int32()), flat("tags", pa.string()),
-            pa.array([x for _, t in held for x in t.raws()], pa.binary()),
+            pa.array([x for (_, _, t), own in zip(held, use, strict=True) for x in t.raws(own)], pa.binary()),
             pa.array(np.concatenate(line).astype(np.int32)), pa.array(np.concatenate(col).astype(np.int32)),
         ],
         names=[x.split()[0] for x in NODES.split(", ")],
     )
+    return batch, use
+
+
+def _picked(values: list, own: np.ndarray | range) -> list:
+    return values if isinstance(own, range) else [values[i] for i in own.tolist()]
 
 
-def _trees(batches: Iterable[pa.RecordBatch]) -> Iterator[list[tuple[int | None, Tree]]]:
+def _trees(batches: Iterable[pa.RecordBatch]) -> Iterator[Held]:
     """Parsed documents, about BATCH_ROWS nodes at a time."""
-    held, rows = [], 0
-    for doc, name, text in _documents(batches):
+    held: Held = []
+    rows = 0
+    for doc, key, name, text in _documents(batches):
         tree = dialect(name).parse(text)
-        held.append((doc, tree))
+        held.append((doc, key, tree))
         rows += len(tree.tags)
         if rows >= BATCH_ROWS:
             yield held
@@ -81,46 +108,42 @@ def _trees(batches: Iterable[pa.RecordBatch]) -> Iterator[list[tuple[int | None,
         yield held
 
 
-def _around(held: list[tuple[int | None, Tree]], tags: tuple[str, ...]) -> pa.Array:
-    """Of each node, itself if it has one of ``tags``, else the innermost such node around it."""
-    out: list[int | None] = []
-    for _, tree in held:
-        own: list[int | None] = []
-        for number, (tag, parent) in enumerate(zip(tree.tags, tree.parents, strict=True)):
-            own.append(number if tag in tags else own[parent] if parent >= 0 else None)
-        out += own
-    return pa.array(out, pa.int32())
-
-
-def parse_nodes(docs: DataFrame, which: str | Column, id_col: str = "doc_id", content_col: str = "content", around: dict[str, tuple[str, ...]] | None = None) -> DataFrame:
+def parse_nodes(
+    docs: DataFrame, which: str | Column, id_col: str = "doc_id", content_col: str = "content", tags: tuple[str, ...] | None = None, carry: dict[str, tuple[str, Context]] | None = None
+) -> DataFrame:
     """The node table of ``docs``; ``which`` is a dialect or a column of dialect names, null for none.
 
     Nodes are numbered in document order; the nodes below n are those from
-    n.node_id + 1 to n.end_id - 1.  ``raw`` is the text of a leaf, null for
-    structure and punctuation.  ``line`` counts from 1 and ``col`` from 0, in
-    bytes.  A null content is an empty document.  Malformed input never fails.
-    Each entry of ``around`` adds a column with the innermost node of some tags
-    around a node, itself included, which spares views a range join.
+    n.node_id + 1 to n.end_id - 1, and node 0, the root, is there even of an empty
+    document.  ``raw`` is the text of a leaf, null for structure and
+    punctuation.  ``line`` counts from 1 and ``col`` from 0, in bytes.  A null
+    content is an empty document.  Malformed input never fails.  With ``tags``
+    only nodes that have one of them are returned.  Each entry of ``carry`` adds
+    a column, by its type and a function of :mod:`treeloom.dialects.context`.
     """
-    around = around or {}
+    carry, wanted = carry or {}, None if tags is None else frozenset(tags)
+    kinds = {name: pa.int32() if kind == "int" else pa.string() for name, (kind, _) in carry.items()}
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for held in _trees(batches):
-            batch = node_batch(held)
-            yield pa.RecordBatch.from_arrays([*batch.columns, *(_around(held, tags) for tags in around.values())], names=[*batch.schema.names, *around])
+            batch, use = node_batch(held, wanted)
+            more = []
+            for name, (_, context) in carry.items():
+                more.append(pa.array([x for (_, _, t), own in zip(held, use, strict=True) for x in map(context(t), own if isinstance(own, range) else own.tolist())], kinds[name]))
+            yield pa.RecordBatch.from_arrays([*batch.columns, *more], names=[*batch.schema.names, *carry])
 
-    return _inputs(docs, which, id_col, content_col).mapInArrow(run, NODES + "".join(f", {name} int" for name in around))
+    return _inputs(docs, which, id_col, content_col).mapInArrow(run, NODES + "".join(f", {name} {kind}" for name, (kind, _) in carry.items()))
 
 
 def _tokens(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = [x.split()[0] for x in TOKENS.split(", ")]
-    for doc, name, text in _documents(batches):
+    for doc, key, name, text in _documents(batches):
         found = dialect(name).tokens(text)
         line, col = Positions(text).of(np.array([t[1] for t in found], np.int64))
         for at in range(0, len(found), BATCH_ROWS):
             part = found[at : at + BATCH_ROWS]
             yield pa.record_batch(
-                [pa.array([doc] * len(part), pa.int64()), pa.array(np.arange(at, at + len(part), dtype=np.int32)), pa.array([t[0] for t in part], pa.string()), pa.array([text[a:b].encode("latin-1") for _, a, b in part], pa.binary()), pa.array(line[at : at + len(part)].astype(np.int32)), pa.array(col[at : at + len(part)].astype(np.int32))],
+                [pa.array([doc] * len(part), pa.int64()), pa.array([key] * len(part), pa.int64()), pa.array(np.arange(at, at + len(part), dtype=np.int32)), pa.array([t[0] for t in part], pa.string()), pa.array([text[a:b].encode("latin-1") for _, a, b in part], pa.binary()), pa.array(line[at : at + len(part)].astype(np.int32)), pa.array(col[at : at + len(part)].astype(np.int32))],
                 names=names,
             )
 
@@ -137,14 +160,14 @@ _RELATED = pa.struct([("message", pa.string()), ("line", pa.int32()), ("col", pa
 
 def diagnostic_batch(rows: list[tuple]) -> pa.RecordBatch:
     columns = list(zip(*rows, strict=True))
-    kinds = [pa.int64(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.string(), _RELATED]
-    names = ["doc_id", "diag_id", "severity", "code", "message", "line", "col", "end_col", "fix", "related"]
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.string(), _RELATED]
+    names = ["doc_id", "doc_key", "diag_id", "severity", "code", "message", "line", "col", "end_col", "fix", "related"]
     return pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
 
 def _diagnostics(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     rows: list[tuple] = []
-    for doc, name, text in _documents(batches):
+    for doc, key, name, text in _documents(batches):
         found = dialect(name).parse(text).diagnostics
         if not found:
             continue
@@ -156,7 +179,7 @@ def _diagnostics(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if d.related and d.related_at != d.at:
                 to = where(d.related_at)
                 related = {"message": d.related, "line": to[0], "col": to[1]}
-            rows.append((doc, i, d.severity, d.code, d.message, line, col, col + d.width, d.fix, related))
+            rows.append((doc, key, i, d.severity, d.code, d.message, line, col, col + d.width, d.fix, related))
         if len(rows) >= BATCH_ROWS:
             yield diagnostic_batch(rows)
             rows = []
@@ -167,3 +190,16 @@ def _diagnostics(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def diagnose(docs: DataFrame, which: str | Column, id_col: str = "doc_id", content_col: str = "content") -> DataFrame:
     """Diagnostics of ``docs``, ``diag_id`` in the order in which the parser met them."""
     return _inputs(docs, which, id_col, content_col).mapInArrow(_diagnostics, DIAGNOSTICS)
+
+
+def mapped(docs: DataFrame, which: str, of: Callable[[Tree], tuple], schema: str, types: list[pa.DataType], id_col: str = "doc_id", content_col: str = "content") -> DataFrame:
+    """doc_id and what ``of`` says of each document's tree: a row for each row of ``docs``, whatever its id, and no shuffle."""
+    parse, names = dialect(which).parse, [x.split()[0] for x in schema.split(", ")]
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [of(parse(content.decode("latin-1"))) for content in batch.column(2).to_pylist()]
+            columns = list(zip(*rows, strict=True)) or [()] * len(types)
+            yield pa.record_batch([batch.column(0), *(pa.array(c, t) for c, t in zip(columns, types, strict=True))], names=["doc_id", *names])
+
+    return _inputs(docs, which, id_col, content_col).mapInArrow(run, f"doc_id long, {schema}")

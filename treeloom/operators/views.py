@@ -1,4 +1,8 @@
-"""Decoded views over node tables: stylesheet declarations, raw element text, configuration entries."""
+"""Decoded views: stylesheet declarations, raw element text, attributes, configuration entries.
+
+Each is one parse.  What a row says of the nodes around it is computed where the document is parsed, so nothing is joined
+or shuffled, and ids may be null or repeated.
+"""
 
 from __future__ import annotations
 
@@ -6,15 +10,14 @@ import re
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..dialects import css
+from ..dialects import context, css
 from ..dialects.tree import Tree
 from .nodes import parse_nodes
 
-#: Columns that the stylesheet views need of :func:`parse_nodes`.
-CSS_AROUND = {"rule_id": ("rule",), "at_id": ("atrule",), "sel_id": ("sel",), "val_id": ("val",), "decl_id": ("decl",)}
+_QUOTED = r"(?s)^([\"'])(.*)\1$"
 
 
 def collapsed(column: Column) -> Column:
@@ -22,33 +25,24 @@ def collapsed(column: Column) -> Column:
     return F.trim(F.regexp_replace(column, "[ \t\n\r\f]+", " "))
 
 
-def _joined(leaves: DataFrame, *keys: str) -> DataFrame:
-    """The text of leaves in document order, comments left out."""
-    parts = leaves.filter("tag <> 'comment'").groupBy("doc_id", *keys).agg(F.array_sort(F.collect_list(F.struct("node_id", F.hex("raw").alias("h")))).alias("parts"))
-    return parts.select("doc_id", *keys, collapsed(F.decode(F.unhex(F.concat_ws("", F.transform("parts", lambda x: x["h"]))), "UTF-8")).alias("text"))
-
-
-def css_nodes(docs: DataFrame, id_col: str = "doc_id", content_col: str = "content") -> DataFrame:
-    return parse_nodes(docs, "css", id_col, content_col, around=CSS_AROUND)
-
-
-def css_selectors(nodes: DataFrame) -> DataFrame:
-    """doc_id, rule_id, selector of every rule that has one, of :func:`css_nodes`."""
-    return _joined(nodes.filter("sel_id is not null and raw is not null"), "rule_id").withColumnRenamed("text", "selector").filter("selector <> ''")
+def css_selectors(docs: DataFrame, id_col: str = "doc_id", content_col: str = "content") -> DataFrame:
+    """doc_id, doc_key, node_id, selector of every rule that has one."""
+    rules = parse_nodes(docs, "css", id_col, content_col, tags=("rule",), carry={"selector": ("string", context.joined("rule", "sel"))})
+    return rules.filter("selector <> ''").select("doc_id", "doc_key", "node_id", "selector")
 
 
-def css_declarations(nodes: DataFrame) -> DataFrame:
-    """doc_id, node_id, selector, at_rule, prop, value, line of every declaration, of :func:`css_nodes`.
+def css_declarations(docs: DataFrame, id_col: str = "doc_id", content_col: str = "content") -> DataFrame:
+    """doc_id, doc_key, node_id, selector, at_rule, prop, value, line of every declaration.
 
     Selector and at-rule are those of the innermost rule and at-rule around the
     declaration, empty without one; at-rules keep their ``@``.
     """
-    decl = nodes.filter("tag = 'decl'").select("doc_id", "node_id", "rule_id", "at_id", "line")
-    prop = nodes.filter("tag = 'prop'").select("doc_id", F.col("parent_id").alias("node_id"), F.trim(F.decode("raw", "UTF-8")).alias("prop"))
-    value = _joined(nodes.filter("val_id is not null and raw is not null"), "decl_id").withColumnRenamed("decl_id", "node_id").withColumnRenamed("text", "value")
-    name = nodes.filter("tag = 'name'").select("doc_id", F.col("parent_id").alias("at_id"), F.decode("raw", "UTF-8").alias("at_rule"))
-    out = decl.join(prop, ["doc_id", "node_id"]).join(value, ["doc_id", "node_id"], "left").join(css_selectors(nodes), ["doc_id", "rule_id"], "left").join(name, ["doc_id", "at_id"], "left")
-    return out.select("doc_id", "node_id", F.coalesce("selector", F.lit("")).alias("selector"), F.coalesce("at_rule", F.lit("")).alias("at_rule"), "prop", F.coalesce("value", F.lit("")).alias("value"), "line")
+    carry = {
+        "selector": ("string", context.joined("rule", "sel")), "at_rule": ("string", context.first_child("atrule", "name")),
+        "prop": ("string", context.first_child("decl", "prop", trim=True)), "value": ("string", context.joined("decl", "val")),
+    }
+    found = parse_nodes(docs, "css", id_col, content_col, tags=("decl",), carry=carry)
+    return found.select("doc_id", "doc_key", "node_id", "selector", F.coalesce("at_rule", F.lit("")).alias("at_rule"), "prop", "value", "line")
 
 
 def _running_declarations(tree: Tree) -> Iterator[tuple[int, str, str, str, str]]:
@@ -92,34 +86,35 @@ def css_declarations_running(docs: DataFrame, id_col: str = "doc_id", content_co
     return rows.mapInArrow(run, "doc_id long, node_id int, selector string, at_rule string, prop string, value string")
 
 
-def raw_text_of(nodes: DataFrame, name: str) -> DataFrame:
-    """doc_id, node_id, content: the text that follows each start tag of ``name`` before any other tag."""
-    named = nodes.filter("tag = 'name'").select("doc_id", F.col("parent_id").alias("before"), F.translate(F.decode("raw", "UTF-8"), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz").alias("named"))
-    order = Window.partitionBy("doc_id").orderBy("node_id")
-    flat = nodes.filter("tag in ('stag', 'etag', 'text')").withColumn("before", F.when(F.lag("tag").over(order) == "stag", F.lag("node_id").over(order)))
-    return flat.filter("tag = 'text'").join(named.filter(F.col("named") == name.lower()), ["doc_id", "before"], "left_semi").select("doc_id", "node_id", F.decode("raw", "UTF-8").alias("content"))
+def raw_text_of(docs: DataFrame, name: str, id_col: str = "doc_id", content_col: str = "content") -> DataFrame:
+    """doc_id, doc_key, node_id, content: the text that follows each start tag of ``name`` before any other tag or text."""
+    texts = parse_nodes(docs, "html", id_col, content_col, tags=("text",), carry={"after": ("string", context.after_start_tag)})
+    return texts.filter(F.col("after") == name.lower()).select("doc_id", "doc_key", "node_id", F.decode("raw", "UTF-8").alias("content"))
 
 
-def html_attributes(nodes: DataFrame) -> DataFrame:
-    """doc_id, element, attribute and value of every attribute; quotes of the value are dropped."""
-    leaf = nodes.filter("tag in ('aname', 'aval', 'name')").groupBy("doc_id", "parent_id").agg(*(F.min(F.when(F.col("tag") == t, F.decode("raw", "UTF-8"))).alias(t) for t in ("aname", "aval", "name")))
-    attr = nodes.filter("tag = 'attr'").select("doc_id", "node_id", F.col("parent_id").alias("stag_id"))
-    names = leaf.filter("name is not null").select("doc_id", F.col("parent_id").alias("stag_id"), F.lower("name").alias("element"))
-    found = attr.join(leaf.withColumnRenamed("parent_id", "node_id"), ["doc_id", "node_id"]).join(names, ["doc_id", "stag_id"])
-    return found.select("doc_id", "node_id", "element", F.lower("aname").alias("attribute"), F.regexp_replace("aval", r"^([\"'])(.*)\1$", "$2").alias("value"))
+def html_elements(docs: DataFrame, id_col: str = "doc_id", content_col: str = "content") -> DataFrame:
+    """The elements of pages as nodes, with their names in lower case as ``element``."""
+    return parse_nodes(docs, "html", id_col, content_col, tags=("elem",), carry={"element": ("string", context.ELEMENT)})
 
 
-def cfg_nodes(docs: DataFrame, id_col: str = "doc_id", content_col: str = "content") -> DataFrame:
-    return parse_nodes(docs, "cfg", id_col, content_col, around={"section_id": ("section",), "entry_id": ("entry",)})
+def html_attributes(docs: DataFrame, id_col: str = "doc_id", content_col: str = "content") -> DataFrame:
+    """doc_id, doc_key, node_id, element, attribute and value of every attribute; quotes of the value are dropped, names are in lower case."""
+    carry = {
+        "element": ("string", context.TAG_NAME), "attribute": ("string", context.first_child("attr", "aname", lower=True)),
+        "value": ("string", context.first_child("attr", "aval")),
+    }
+    found = parse_nodes(docs, "html", id_col, content_col, tags=("attr",), carry=carry)
+    return found.select("doc_id", "doc_key", "node_id", "element", "attribute", F.regexp_replace("value", _QUOTED, "$2").alias("value"))
 
 
-def cfg_entries(nodes: DataFrame) -> DataFrame:
-    """doc_id, node_id, section, key, value of every entry, of :func:`cfg_nodes`; a matched pair of quotes is dropped from the value."""
-    first = lambda tag: F.min_by(F.when(F.col("tag") == tag, F.decode("raw", "UTF-8")), F.when(F.col("tag") == tag, F.col("node_id")))
-    rows = nodes.filter("entry_id is not null").groupBy("doc_id", "entry_id", "section_id").agg(first("key").alias("key"), first("value").alias("value"))
-    names = nodes.filter("tag = 'name'").select("doc_id", F.col("parent_id").alias("section_id"), F.decode("raw", "UTF-8").alias("section"))
-    out = rows.join(names, ["doc_id", "section_id"], "left")
-    return out.select("doc_id", F.col("entry_id").alias("node_id"), "section", "key", F.regexp_replace("value", '^"(.*)"$', "$1").alias("value"))
+def cfg_entries(docs: DataFrame, id_col: str = "doc_id", content_col: str = "content") -> DataFrame:
+    """doc_id, doc_key, node_id, section, key, value of every entry; a matched pair of quotes is dropped from the value."""
+    carry = {
+        "section": ("string", context.first_child("section", "name")), "key": ("string", context.first_child("entry", "key")),
+        "value": ("string", context.first_child("entry", "value")),
+    }
+    found = parse_nodes(docs, "cfg", id_col, content_col, tags=("entry",), carry=carry)
+    return found.select("doc_id", "doc_key", "node_id", "section", "key", F.regexp_replace("value", '(?s)^"(.*)"$', "$1").alias("value"))
 
 
 def identifier_entries(entries: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..dialects import context
 from ..operators import checks, diagnostics, gates, nim, nodes, registry, tree, views
 from ..operators import json as strict
 
@@ -31,13 +32,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Deal out a table that is read in fewer parts than there are cores; parsing is the work, not moving.
+def spread(df: DataFrame, least: int | None = None) -> DataFrame:
+    """Deal out a table that is read in fewer parts than ``least``, the number of cores; parsing is the work, not moving.
 
     A large table has parts enough and stays where it is.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    least = least or df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(least) if df.rdd.getNumPartitions() < least else df
 
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,8 +51,8 @@ def page_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def style_docs(spark: SparkSession, sf_dir: str, name: str = "style") -> DataFrame:
-    found = views.raw_text_of(page_nodes(spark, sf_dir), name)
-    return found.groupBy("doc_id").agg(F.min_by("content", "node_id").alias("content"))
+    """Every style text of every page, a row each."""
+    return views.raw_text_of(pages(spark, sf_dir), name)
 
 
 # What is left of a page without comments and the insides of raw-text elements.
@@ -69,16 +70,13 @@ _BARE = """
     from (select unnest(regexp_extract_all(h, '<([a-zA-Z][a-zA-Z0-9]*)', 1)) t from s) group by 1
 """)
 def html_tag_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    named = page_nodes(spark, sf_dir).filter("tag in ('name', 'stag')")
-    stags = named.filter("tag = 'stag'").select("doc_id", F.col("node_id").alias("parent_id"))
-    names = named.filter("tag = 'name'").join(stags, ["doc_id", "parent_id"], "left_semi")
-    return names.groupBy(F.lower(tree.text()).alias("tag")).agg(F.count("*").alias("n"))
+    starts = nodes.parse_nodes(pages(spark, sf_dir), "html", tags=("stag",), carry={"name": ("string", context.TAG_NAME)})
+    return starts.groupBy(F.col("name").alias("tag")).agg(F.count("*").alias("n"))
 
 
 @query("select page_id as doc_id, md5(html) as digest from pages")
 def html_roundtrip_md5(spark: SparkSession, sf_dir: str) -> DataFrame:
-    back = tree.render(page_nodes(spark, sf_dir), "html", pages(spark, sf_dir))
-    return back.select("doc_id", F.md5("content").alias("digest"))
+    return tree.render(page_nodes(spark, sf_dir), "html").select("doc_id", F.md5("content").alias("digest"))
 
 
 @query(f"""
@@ -87,7 +85,7 @@ def html_roundtrip_md5(spark: SparkSession, sf_dir: str) -> DataFrame:
     from (select unnest(regexp_extract_all(tag, '\\s([a-zA-Z-]+)=', 1)) a from t) group by 1
 """)
 def html_attr_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return views.html_attributes(page_nodes(spark, sf_dir)).groupBy("attribute").agg(F.count("*").alias("n"))
+    return views.html_attributes(pages(spark, sf_dir)).groupBy("attribute").agg(F.count("*").alias("n"))
 
 
 @query(f"""
@@ -95,7 +93,7 @@ def html_attr_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     select page_id as doc_id, regexp_extract(tag, 'href="([^"]*)"', 1) as target, count(*) as n from t group by 1, 2
 """)
 def html_link_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = views.html_attributes(page_nodes(spark, sf_dir)).filter("element = 'a' and attribute = 'href'")
+    found = views.html_attributes(pages(spark, sf_dir)).filter("element = 'a' and attribute = 'href'")
     return found.groupBy("doc_id", F.col("value").alias("target")).agg(F.count("*").alias("n"))
 
 
@@ -107,32 +105,33 @@ def html_link_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
 """)
 def html_text_leaf_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Text leaves of each page, the insides of raw-text elements among them; a comment between two texts parts them."""
-    own = pages(spark, sf_dir)
-    every = nodes.parse_nodes(own, "html").filter("tag in ('text', 'comment')")
-    order = Window.partitionBy("doc_id").orderBy("node_id")
-    apart = every.withColumn("follows", (F.lag("tag").over(order) == "comment") & (F.lag("node_id").over(order) == F.col("node_id") - 1) & (F.lag("tag", 2).over(order) == "text") & (F.lag("node_id", 2).over(order) == F.col("node_id") - 2))
-    texts = apart.filter("tag = 'text' and not coalesce(follows, false)").groupBy("doc_id").agg(F.count("*").alias("n"))
-    return own.select("doc_id").join(texts, "doc_id", "left").select("doc_id", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
+    every = nodes.parse_nodes(pages(spark, sf_dir), "html", tags=("doc", "text", "comment"))
+    order = Window.partitionBy(*tree.DOC).orderBy("node_id")
+    back = lambda n: (F.lag("tag", n).over(order), F.lag("node_id", n).over(order) == F.col("node_id") - n)
+    (one, next_to), (two, next_but_one) = back(1), back(2)
+    apart = every.withColumn("follows", (one == "comment") & next_to & (two == "text") & next_but_one)
+    return apart.groupBy(*tree.DOC).agg(F.count_if((F.col("tag") == "text") & ~F.coalesce("follows", F.lit(False))).alias("n")).drop("doc_key")
 
 
-@query("""select page_id as doc_id, regexp_extract(html, '(?s)<style[^>]*>(.*?)</style>', 1) as content from pages where html like '%<style%'""")
+@query("select page_id as doc_id, unnest(regexp_extract_all(html, '(?s)<style[^>]*>(.*?)</style>', 1)) as content from pages")
 def html_raw_text_style(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return views.raw_text_of(page_nodes(spark, sf_dir), "style").select("doc_id", "content")
+    return views.raw_text_of(pages(spark, sf_dir), "style").select("doc_id", "content")
 
 
-@query("""select page_id as doc_id, regexp_extract(html, '(?s)<script[^>]*>(.*?)</script>', 1) as content from pages where html like '%<script%'""")
+@query("select page_id as doc_id, unnest(regexp_extract_all(html, '(?s)<script[^>]*>(.*?)</script>', 1)) as content from pages")
 def html_raw_text_script(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return views.raw_text_of(page_nodes(spark, sf_dir), "script").select("doc_id", "content")
+    return views.raw_text_of(pages(spark, sf_dir), "script").select("doc_id", "content")
 
 
 @query("""select page_id as doc_id, cast(len(regexp_extract_all(html, '(?s)<!--.*?-->')) as bigint) as n from pages""")
 def html_comment_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tree.count_tag(page_nodes(spark, sf_dir), "comment", pages(spark, sf_dir))
+    return tree.count_tag(nodes.parse_nodes(pages(spark, sf_dir), "html", tags=("doc", "comment")), "comment").drop("doc_key")
 
 
-@query("select cast(0 as bigint) as failed, count(*) as documents from pages")
+@query("select cast(0 as bigint) as failed, count(*) as documents, count(*) filter (octet_length(encode(html)) > 262144) as skipped from pages")
 def html_truncation_fuzz(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return gates.truncations(pages(spark, sf_dir), "html").agg(F.coalesce(F.sum("failed"), F.lit(0)).cast("long").alias("failed"), F.count("*").alias("documents"))
+    found = gates.truncations(pages(spark, sf_dir), "html")
+    return found.agg(F.coalesce(F.sum("failed"), F.lit(0)).cast("long").alias("failed"), F.count("*").alias("documents"), F.count_if("skipped").alias("skipped"))
 
 
 @query("select 'html-parsed' as dialect, count(*) as checked, cast(0 as bigint) as broken, cast(0 as bigint) as undeclared from pages")
@@ -142,7 +141,7 @@ def html_gate_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("select cast(null as bigint) as doc_id, cast(null as varchar) as tag, cast(null as integer) as first_node where false")
 def html_undeclared_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tree.undeclared_tags(page_nodes(spark, sf_dir), "html")
+    return tree.undeclared_tags(page_nodes(spark, sf_dir), "html").drop("doc_key")
 
 
 @query(f"""
@@ -158,23 +157,24 @@ def html_unclosed_diags(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def html_max_nesting_elem(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tree.max_nesting(page_nodes(spark, sf_dir), "elem")
+    return tree.max_nesting(nodes.parse_nodes(pages(spark, sf_dir), "html", tags=("elem",)), "elem").drop("doc_key")
 
 
-@query("""
-    select page_id as doc_id, regexp_extract(s, '([a-z]+)\\{', 1) as selector, regexp_extract(s, '\\{([a-z]+):', 1) as prop, regexp_extract(s, ':([^}]*)\\}', 1) as value
-    from (select page_id, regexp_extract(html, '(?s)<style[^>]*>(.*?)</style>', 1) s from pages where html like '%<style%')
+_STYLES = "select page_id, unnest(regexp_extract_all(html, '(?s)<style[^>]*>(.*?)</style>', 1)) s from pages"
+
+
+@query(f"""
+    select page_id as doc_id, regexp_extract(s, '([a-z]+)\\{{', 1) as selector, regexp_extract(s, '\\{{([a-z]+):', 1) as prop, regexp_extract(s, ':([^}}]*)\\}}', 1) as value
+    from ({_STYLES})
 """)
 def css_decls_from_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two parsers in a chain: pages to style texts to declarations."""
-    return views.css_declarations(views.css_nodes(style_docs(spark, sf_dir))).select("doc_id", "selector", "prop", "value")
+    return views.css_declarations(style_docs(spark, sf_dir)).select("doc_id", "selector", "prop", "value")
 
 
-@query("""
-    select page_id as doc_id, regexp_extract(html, '<style[^>]*>([a-z]+)\\{', 1) as selector from pages where html like '%<style%'
-""")
+@query(f"select page_id as doc_id, regexp_extract(s, '([a-z]+)\\{{', 1) as selector from ({_STYLES})")
 def css_selectors_from_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return views.css_selectors(views.css_nodes(style_docs(spark, sf_dir))).select("doc_id", "selector")
+    return views.css_selectors(style_docs(spark, sf_dir)).select("doc_id", "selector")
 
 
 _PART_CSS = "'.p' || p_partkey || '{width:' || p_size || 'px;color:red /* c */ !important}@media x{a{b:c}}'"
@@ -186,8 +186,7 @@ def part_css(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"select p_partkey as doc_id, md5({_PART_CSS}) as digest from part")
 def css_roundtrip_md5(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = part_css(spark, sf_dir)
-    return tree.render(nodes.parse_nodes(docs, "css"), "css", docs).select("doc_id", F.md5("content").alias("digest"))
+    return tree.render(nodes.parse_nodes(part_css(spark, sf_dir), "css"), "css").select("doc_id", F.md5("content").alias("digest"))
 
 
 @query("""
@@ -196,7 +195,7 @@ def css_roundtrip_md5(spark: SparkSession, sf_dir: str) -> DataFrame:
     union all select p_partkey, 'a', '@media', 'b', 'c' from part
 """)
 def css_declarations_generated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return views.css_declarations(views.css_nodes(part_css(spark, sf_dir))).select("doc_id", "selector", "at_rule", "prop", "value")
+    return views.css_declarations(part_css(spark, sf_dir)).select("doc_id", "selector", "at_rule", "prop", "value")
 
 
 def part_js(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -214,8 +213,7 @@ def js_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("select p_partkey as doc_id, cast(2 as bigint) as n, cast(2 as bigint) as depth from part")
 def js_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = nodes.parse_nodes(part_js(spark, sf_dir), "js")
-    return tree.count_tag(found, "group").join(tree.max_nesting(found, "group"), "doc_id")
+    return tree.nesting(nodes.parse_nodes(part_js(spark, sf_dir), "js", tags=("group",)), "group").drop("doc_key")
 
 
 def event_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -280,7 +278,7 @@ def json_elems_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = dealt.groupBy(F.col("l_orderkey").alias("doc_id")).agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_quantity"))).alias("l"))
     docs = rows.select("doc_id", F.to_json(F.transform("l", lambda x: F.struct(x["l_linenumber"].alias("n"), x["l_quantity"].alias("q")))).alias("content"))
     tape = strict.tape(docs).filter("depth = 2 and not is_key")
-    return tape.groupBy("doc_id", "parent").agg(F.max(F.when(F.col("key") == "n", F.col("lexeme"))).cast("int").alias("line"), F.max(F.when(F.col("key") == "q", F.col("lexeme"))).cast("double").alias("quantity")).drop("parent")
+    return tape.groupBy(*tree.DOC, "parent").agg(F.max(F.when(F.col("key") == "n", F.col("lexeme"))).cast("int").alias("line"), F.max(F.when(F.col("key") == "q", F.col("lexeme"))).cast("double").alias("quantity")).drop("parent", "doc_key")
 
 
 @query("""
@@ -300,9 +298,9 @@ def json_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
 def md_text_lines_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Text leaves of the documents read as Markdown: one for each line that is not blank, but for markers without text."""
     docs = spread(table(spark, sf_dir, "documents")).select("doc_id", F.col("text").alias("content"))
-    leaves = nodes.parse_nodes(docs, "md").filter("tag in ('text', 'marker', 'info')")
-    lines = leaves.groupBy("doc_id", "line").agg(F.count("*").alias("c")).groupBy("doc_id").agg(F.count("*").alias("n"))
-    return docs.select("doc_id").join(lines, "doc_id", "left").select("doc_id", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
+    leaves = nodes.parse_nodes(docs, "md", tags=("doc", "text", "marker", "info"))
+    lines = F.collect_set(F.when(F.col("tag") != "doc", F.col("line")))
+    return leaves.groupBy(*tree.DOC).agg(F.size(lines).cast("long").alias("n")).drop("doc_key")
 
 
 def nation_md(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -316,8 +314,8 @@ def md_block_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("select cast(n_nationkey as bigint) as doc_id, '# fake' || chr(10) || '- fake' || chr(10) as body from nation")
 def md_fence_swallow(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = nodes.parse_nodes(nation_md(spark, sf_dir), "md", around={"fence_id": ("fence",)}).filter("fence_id is not null and tag = 'text'")
-    rows = found.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("node_id", tree.text().alias("t")))).alias("t"))
+    found = nodes.parse_nodes(nation_md(spark, sf_dir), "md", tags=("text",), carry={"fence_id": ("int", context.around("fence"))}).filter("fence_id is not null")
+    rows = found.groupBy(*tree.DOC).agg(F.array_sort(F.collect_list(F.struct("node_id", tree.text().alias("t")))).alias("t"))
     return rows.select("doc_id", F.concat_ws("", F.transform("t", lambda x: x["t"])).alias("body"))
 
 
@@ -328,15 +326,14 @@ def order_yaml(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("select o_orderkey as doc_id, v.tag, cast(v.n as bigint) as n from orders, (values ('doc', 1), ('item', 4), ('entry', 6), ('scalar', 1), ('flow', 2)) v(tag, n)")
 def yaml_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = nodes.parse_nodes(order_yaml(spark, sf_dir), "yaml").filter("tag in ('doc', 'item', 'entry', 'scalar', 'flow')")
+    found = nodes.parse_nodes(order_yaml(spark, sf_dir), "yaml", tags=("doc", "item", "entry", "scalar", "flow"))
     return found.groupBy("doc_id", "tag").agg(F.count("*").alias("n"))
 
 
 @query("select o_orderkey as doc_id, o_orderstatus as status from orders")
 def yaml_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    leaves = nodes.parse_nodes(order_yaml(spark, sf_dir), "yaml").filter("tag in ('key', 'value')")
-    pairs = leaves.groupBy("doc_id", "parent_id").agg(F.min(F.when(F.col("tag") == "key", tree.text())).alias("key"), F.min(F.when(F.col("tag") == "value", tree.text())).alias("status"))
-    return pairs.filter("key = 'status'").select("doc_id", "status")
+    carry = {"key": ("string", context.first_child("entry", "key")), "status": ("string", context.first_child("entry", "value"))}
+    return nodes.parse_nodes(order_yaml(spark, sf_dir), "yaml", tags=("entry",), carry=carry).filter("key = 'status'").select("doc_id", "status")
 
 
 @query("select o_orderkey as doc_id, true as same from orders")
@@ -355,7 +352,7 @@ def region_cfg(spark: SparkSession, sf_dir: str) -> DataFrame:
     from nation join region on r_regionkey = n_regionkey
 """)
 def cfg_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return views.cfg_entries(views.cfg_nodes(region_cfg(spark, sf_dir))).select("doc_id", "section", "key", "value")
+    return views.cfg_entries(region_cfg(spark, sf_dir)).select("doc_id", "section", "key", "value")
 
 
 @query("""
@@ -363,8 +360,8 @@ def cfg_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
         cast(1 as bigint) as switches, cast(1 as bigint) as comments from region
 """)
 def cfg_entries_vs_switches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = nodes.parse_nodes(region_cfg(spark, sf_dir), "cfg")
     kinds = (("section", "sections"), ("entry", "entries"), ("switch", "switches"), ("comment", "comments"))
+    found = nodes.parse_nodes(region_cfg(spark, sf_dir), "cfg", tags=("config", *(tag for tag, _ in kinds)))
     return found.groupBy("doc_id").agg(*(F.count_if(F.col("tag") == tag).alias(name) for tag, name in kinds))
 
 
@@ -374,7 +371,7 @@ def part_py(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("select p_partkey as doc_id, cast(3 as bigint) as stmts, cast(2 as bigint) as blocks from part")
 def py_stmt_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = nodes.parse_nodes(part_py(spark, sf_dir), "py")
+    found = nodes.parse_nodes(part_py(spark, sf_dir), "py", tags=("stmt", "block"))
     return found.groupBy("doc_id").agg(F.count_if(F.col("tag") == "stmt").alias("stmts"), F.count_if(F.col("tag") == "block").alias("blocks"))
 
 
@@ -385,7 +382,7 @@ def part_vds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("select p_partkey as doc_id, v.tag, cast(v.n as bigint) as n from part, (values ('alt', 1), ('any', 1), ('all', 1), ('comp', 2), ('group', 1), ('juxta', 1)) v(tag, n)")
 def vds_precedence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = nodes.parse_nodes(part_vds(spark, sf_dir), "vds").filter("raw is null and tag not in ('vds', 'lbracket', 'rbracket')")
+    found = nodes.parse_nodes(part_vds(spark, sf_dir), "vds", tags=("alt", "any", "all", "juxta", "comp", "group"))
     return found.groupBy("doc_id", "tag").agg(F.count("*").alias("n"))
 
 
@@ -447,13 +444,10 @@ def diag_sorted(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""select page_id as doc_id, cast(len(regexp_extract_all(regexp_extract(html, '(?s)<nav>(.*?)</nav>', 1), '<a ')) as bigint) as links from pages where html like '%<nav>%</nav>%'""")
 def tree_ancestor_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links inside the navigation of each page: an element is below another if its number is within the other's range."""
-    found = page_nodes(spark, sf_dir)
-    names = found.filter("tag = 'name'").select("doc_id", F.col("parent_id").alias("node_id"), F.lower(tree.text()).alias("name"))
-    stags = found.filter("tag = 'stag'").select("doc_id", "node_id", F.col("parent_id").alias("elem_id"))
-    elems = found.filter("tag = 'elem'").select("doc_id", F.col("node_id").alias("elem_id"), "end_id").join(stags.join(names, ["doc_id", "node_id"]).drop("node_id"), ["doc_id", "elem_id"])
-    nav = elems.filter("name = 'nav'").select("doc_id", F.col("elem_id").alias("low"), F.col("end_id").alias("high"))
-    links = elems.filter("name = 'a'").select("doc_id", F.col("elem_id").alias("link"))
-    return nav.join(links, "doc_id", "left").groupBy("doc_id").agg(F.count_if((F.col("link") > F.col("low")) & (F.col("link") < F.col("high"))).alias("links"))
+    name, node = F.col("element"), F.struct("node_id", "end_id")
+    found = views.html_elements(pages(spark, sf_dir)).groupBy(*tree.DOC).agg(F.collect_list(F.when(name == "nav", node)).alias("navs"), F.collect_list(F.when(name == "a", F.col("node_id"))).alias("links"))
+    inside = F.filter("links", lambda link: F.exists("navs", lambda nav: (link > nav["node_id"]) & (link < nav["end_id"])))
+    return found.filter(F.size("navs") > 0).select("doc_id", F.size(inside).cast("long").alias("links"))
 
 
 def part_nim(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -518,7 +512,7 @@ def json_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
         || '"},{"key":"s","kind":"object"},{"key":"l","kind":"array"}]' as pairs from orders
 """)
 def json_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return strict.pairs_json(strict.tape(order_docs(spark, sf_dir)))
+    return strict.pairs_json(strict.tape(order_docs(spark, sf_dir))).select("doc_id", "pairs")
 
 
 @query("""

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..dialects.specs import dialect
+from ..operators.nodes import document_keys
 
 # The header directives and the characters that strings escape.
 MAGIC = "(.aif27)\n"
@@ -57,27 +58,29 @@ def read_events(text: str) -> Iterator[tuple[str, str]]:
 
 
 def artifacts(nodes: DataFrame, which: str, vendor: str = "treeloom") -> DataFrame:
-    """doc_id and artifact (bytes) of each document of a node table."""
+    """doc_id, doc_key and artifact (bytes) of each document of a node table."""
     name = dialect(which).name
-    rows = nodes.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("node_id", "end_id", "tag", "raw", "line", "col"))).alias("nodes"))
+    rows = nodes.groupBy("doc_id", "doc_key").agg(F.array_sort(F.collect_list(F.struct("node_id", "end_id", "tag", "raw", "line", "col"))).alias("nodes"))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [write_tree(name, vendor, ((n["end_id"], n["tag"], n["raw"], n["line"], n["col"]) for n in x)) for x in batch.column(1).to_pylist()]
-            yield pa.record_batch([batch.column(0), pa.array(out, pa.binary())], names=["doc_id", "artifact"])
+            out = [write_tree(name, vendor, ((n["end_id"], n["tag"], n["raw"], n["line"], n["col"]) for n in x)) for x in batch.column(2).to_pylist()]
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(out, pa.binary())], names=["doc_id", "doc_key", "artifact"])
 
-    return rows.mapInArrow(run, "doc_id long, artifact binary")
+    return rows.mapInArrow(run, "doc_id long, doc_key long, artifact binary")
 
 
-_READ = "doc_id long, node_id int, parent_id int, end_id int, depth int, tag string, raw binary"
+_READ = "doc_id long, doc_key long, node_id int, parent_id int, end_id int, depth int, tag string, raw binary"
 
 
 def read_artifacts(artifacts: DataFrame, id_col: str = "doc_id", artifact_col: str = "artifact") -> DataFrame:
     """The node table of artifacts, without positions; directives are left out and of several strings the first counts."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys = document_keys()
         for batch in batches:
             for doc, content in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                key = next(keys)
                 rows: list[list] = []
                 stack: list[int] = []
                 for kind, value in read_events((content or b"").decode("latin-1")):
@@ -85,19 +88,19 @@ def read_artifacts(artifacts: DataFrame, id_col: str = "doc_id", artifact_col: s
                         number = -1
                         if not value.startswith("."):
                             number = len(rows)
-                            rows.append([doc, number, stack[-1] if stack else -1, number + 1, len(stack), value, None])
+                            rows.append([doc, key, number, stack[-1] if stack else -1, number + 1, len(stack), value, None])
                         stack.append(number)
                     elif kind == "close" and stack:
                         number = stack.pop()
                         if number >= 0:
-                            rows[number][3] = len(rows)
-                    elif kind == "text" and stack and stack[-1] >= 0 and rows[stack[-1]][6] is None:
-                        rows[stack[-1]][6] = value.encode("latin-1")
+                            rows[number][4] = len(rows)
+                    elif kind == "text" and stack and stack[-1] >= 0 and rows[stack[-1]][7] is None:
+                        rows[stack[-1]][7] = value.encode("latin-1")
                 for number in stack:
                     if number >= 0:
-                        rows[number][3] = len(rows)
+                        rows[number][4] = len(rows)
                 if rows:
-                    types = [pa.int64(), *[pa.int32()] * 4, pa.string(), pa.binary()]
+                    types = [pa.int64(), pa.int64(), *[pa.int32()] * 4, pa.string(), pa.binary()]
                     yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=[x.split()[0] for x in _READ.split(", ")])
 
     return artifacts.select(F.col(id_col).cast("long"), F.col(artifact_col).cast("binary")).mapInArrow(run, _READ)
