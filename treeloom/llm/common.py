@@ -5,32 +5,49 @@ from __future__ import annotations
 import gc
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Used only where the session names no shared folder, as in tests.
+#: Used only on one machine and where the session names no shared folder, as in tests.
 FALLBACK_CHECKPOINT_DIR = "/tmp/treeloom-checkpoints"
+_open: list[list[str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a default where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or a default where it is unset and all is on one machine."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return f"file://{FALLBACK_CHECKPOINT_DIR}"
 
 
 def shared_path(spark: SparkSession, what: str) -> str:
     """A new path in the shared folder."""
-    return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
+    for held in _open:
+        held.append(path)
+    return path
+
+
+@contextmanager
+def collected() -> Iterator[list[str]]:
+    """The paths that are given out in the shared folder meanwhile, for who can say when none of them is needed any more."""
+    _open.append([])
+    try:
+        yield _open[-1]
+    finally:
+        _open.pop()
 
 
 def checkpoint(df: DataFrame, what: str = "cut") -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back.
 
     The lineage ends at the written table, which survives lost executors, and
-    readers prune its columns.  The table stays until the folder is cleared.
+    readers prune its columns.  The table stays until it is dropped; see :func:`collected`.
     """
     return written(df, what)[0]
 

@@ -1,14 +1,16 @@
 """Removal of repeated passages over run-length indexes.
 
-Every stretch of SHORT bytes is owned by its least k-gram hash, so equal
+Equal texts are brought together first, and from then on a text stands for its
+copies.  Every stretch of SHORT bytes is owned by its least k-gram hash, so equal
 stretches, wherever they are, have the same owner; neighbouring starts with one
 owner travel as a single super-window, with the bytes that the windows from
-these starts reach.  Only owners with two or more different super-windows need
-their bytes compared: those go by owner into shards, and each shard builds a
-run-compressed Burrows-Wheeler index and streams matching statistics against
-it.  A super-window that occurs twice as a whole is repeated without a
-comparison, and an owner with more super-windows than a shard may hold has its
-windows counted one by one.
+these starts reach.  What two super-windows of an owner share, other than by
+chance, reaches half a stretch to one side of the k-gram at least; only those
+that agree there need their bytes compared.  They go by owner into shards, and
+each shard builds a run-compressed Burrows-Wheeler index and streams matching
+statistics against it.  A super-window that occurs twice as a whole is repeated
+without a comparison, and an owner with more super-windows than a shard may
+hold has its windows counted one by one.
 
 Two kinds of windows are looked for at once.  Those of LENGTH bytes are what is
 removed.  A passage is a window that begins with a word and has at least
@@ -18,28 +20,33 @@ WORDS words and SHORT bytes, or LENGTH bytes where that is less.
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpoint, drop_written, release, text_of, written
+from .common import checkpoint, collected, drop_written, release, shared_path, text_of, written
 from .suffixes import RunLengthIndex
 
 #: Bytes of a window that is removed where it is repeated; words and least bytes of a passage.
-LENGTH, WORDS, SHORT = 400, 51, 256
-#: Bytes of the k-grams that own windows: long ones are seldom shared by chance.
-GRAM = 64
+LENGTH, WORDS, SHORT = 400, 51, 272
+#: Bytes of the k-grams that own windows.
+GRAM = 32
 #: Bytes of text that are scanned at a time, and of super-windows in a shard's index.
-SCAN_BYTES, INDEX_BYTES = 1 << 20, 1 << 20
+SCAN_BYTES, INDEX_BYTES = 1 << 20, 2 << 20
 #: Owners with more different super-windows than this have their windows counted one by one.
 HOT_OWNER = 4000
 _PLACE = (1 << 24) - 1
 #: No window begins here.
 NEVER = 1 << 40
+#: No hash: there is nothing that far on that side of an owner.  Where sides are not told apart, all agree.
+NO_SIDE, ANY_SIDE = 0, 1
 _SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 WINDOW, PASSAGE, WHOLE = 0, 1, 2
 
@@ -69,18 +76,18 @@ def _gram_hashes(raw: bytes, n: int, gram: int) -> np.ndarray:
     return h
 
 
-def super_windows(raw: bytes, sizes: list[int], length: int = SHORT) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def super_windows(raw: bytes, sizes: np.ndarray, length: int = SHORT) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Super-windows of texts that stand one behind the other in ``raw``, at most 2**24 bytes.
 
-    Start, number of windows of ``length`` bytes, position of the owning k-gram
-    and its hash.  The leftmost of equal least hashes owns a window; no window
-    crosses texts.
+    Start, number of windows of ``length`` bytes, position of the owning k-gram,
+    its hash, and the hashes of either side of it in one number.  The leftmost
+    of equal least hashes owns a window; no window crosses texts.
     """
     n = len(raw)
     gram = min(GRAM, length)
     nothing = np.zeros(0, np.int64)
     if n < length:
-        return nothing, nothing, nothing, nothing.astype(np.uint64)
+        return nothing, nothing, nothing, nothing.astype(np.uint64), nothing
     h = _gram_hashes(raw, n, gram)
     value = (h & ~np.uint64(_PLACE)) | np.arange(len(h), dtype=np.uint64)
     width, size, starts = length - gram + 1, 1, n - length + 1
@@ -103,7 +110,24 @@ def super_windows(raw: bytes, sizes: list[int], length: int = SHORT) -> tuple[np
     first, count = edges[:-1], np.diff(edges)
     use = inside[first]
     first, count = first[use], count[use]
-    return first, count, owner[first], h[owner[first]]
+    owner = owner[first]
+    end = ends[np.searchsorted(ends, first, "right")]
+    return first, count, owner, h[owner], _sides(h, first, owner, end, gram, (length - gram) // 2)
+
+
+def _sides(h: np.ndarray, first: np.ndarray, owner: np.ndarray, end: np.ndarray, gram: int, side: int) -> np.ndarray:
+    """Hashes of the ``side`` bytes before and after owners, where they are within super-window and text."""
+    if side < gram:
+        return np.full(len(first), ANY_SIDE << 32 | ANY_SIDE, np.int64)
+
+    def hashed(begin: np.ndarray, known: np.ndarray) -> np.ndarray:
+        at, got = np.where(known, begin, 0), np.zeros(len(begin), np.uint64)
+        for step in [*range(0, side - gram, gram), side - gram]:
+            got = got * np.uint64(0x9E3779B97F4A7C15) + h[at + step]
+            got ^= got >> np.uint64(31)
+        return np.where(known, (got >> np.uint64(33)).astype(np.int64) + 2, NO_SIDE)
+
+    return hashed(owner - side, owner - side >= first) << 32 | hashed(owner + gram, owner + gram + side <= end)
 
 
 def word_begins(data: np.ndarray, string: np.ndarray) -> np.ndarray:
@@ -156,35 +180,34 @@ def _may_begin(data: bytes, at: int) -> bool:
     return at == 0 or data[at - 1] in b"\t\n\v\f\r "
 
 
-_SW = "owner long, content long, doc_id long, mark long, start long, windows int, size int"
+_SW = "owner long, content long, sides long, h1 long, h2 long, copies long, start long, windows int, size int, own int"
 
 
 def _scan(batches: Iterable[pa.RecordBatch], short: int, length: int) -> Iterator[pa.RecordBatch]:
     """Super-windows of the texts of a batch; long texts are scanned in parts that overlap by a window."""
 
-    def rows(held: list[tuple[int | None, int, int, bytes, int]]) -> Iterator[pa.RecordBatch]:
-        sizes = np.array([t[4] for t in held], np.int64)
-        first, count, _, h = super_windows(b"".join(t[3][t[2] : t[2] + t[4]] for t in held), sizes, short)
+    def rows(held: list[tuple[int, int, int, bytes, int, int]]) -> Iterator[pa.RecordBatch]:
+        sizes = np.array([t[5] for t in held], np.int64)
+        first, count, owner, h, sides = super_windows(b"".join(t[3][t[4] : t[4] + t[5]] for t in held), sizes, short)
         if not len(first):
             return
         begins = np.cumsum(sizes) - sizes
         text = np.searchsorted(begins, first, "right") - 1
-        starts = first - begins[text] + np.array([t[2] for t in held], np.int64)[text]
+        starts = first - begins[text] + np.array([t[4] for t in held], np.int64)[text]
         size = np.minimum(count + length - 1, np.array([len(t[3]) for t in held], np.int64)[text] - starts)
         digest, whole = xxhash.xxh3_64_intdigest, [t[3] for t in held]
         content = np.fromiter((digest(whole[i][a : a + k], _may_begin(whole[i], a)) for i, a, k in zip(text.tolist(), starts.tolist(), size.tolist(), strict=True)), np.uint64, len(first))
-        ids = pa.array([t[0] for t in held], pa.int64()).take(pa.array(text))
-        marks = np.array([t[1] for t in held], np.int64)[text]
-        columns = [pa.array(h.view(np.int64)), pa.array(content.view(np.int64)), ids, pa.array(marks), pa.array(starts), pa.array(count.astype(np.int32)), pa.array(size.astype(np.int32))]
-        yield pa.record_batch(columns, names=["owner", "content", "doc_id", "mark", "start", "windows", "size"])
+        of_text = [pa.array(np.array([t[i] for t in held], np.int64)[text]) for i in range(3)]
+        narrow = [pa.array(x.astype(np.int32)) for x in (count, size, owner - first)]
+        columns = [pa.array(h.view(np.int64)), pa.array(content.view(np.int64)), pa.array(sides), *of_text, pa.array(starts), *narrow]
+        yield pa.record_batch(columns, names=[x.split()[0] for x in _SW.split(", ")])
 
     for batch in batches:
         held, size = [], 0
-        for doc, mark, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            data = text.encode("utf-8", "replace")
+        for h1, h2, copies, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             for at in range(0, len(data) - short + 1, SCAN_BYTES):
                 part = min(SCAN_BYTES + short - 1, len(data) - at)
-                held.append((doc, mark, at, data, part))
+                held.append((h1, h2, copies, data, at, part))
                 size += part
                 if size >= SCAN_BYTES:
                     yield from rows(held)
@@ -193,53 +216,113 @@ def _scan(batches: Iterable[pa.RecordBatch], short: int, length: int) -> Iterato
             yield from rows(held)
 
 
-def _combine(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Equal super-windows of a batch as one row: how many, and where one of them is."""
+def _combine(keys: int):  # noqa: ANN202
+    """Rows of a batch that have their first ``keys`` columns, longs, in common as one, the last column summed up."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            by = [batch.column(i).to_numpy() for i in range(keys)]
+            order = np.lexsort(by[::-1])
+            fresh = np.ones(len(order), bool)
+            fresh[1:] = np.logical_or.reduce([k[order][1:] != k[order][:-1] for k in by])
+            at = np.flatnonzero(fresh)
+            counts = np.add.reduceat(batch.column(batch.num_columns - 1).to_numpy()[order], at) if len(at) else at
+            one = batch.take(pa.array(order[at]))
+            yield pa.RecordBatch.from_arrays([*one.columns[:-1], pa.array(counts.astype(np.int64))], names=batch.schema.names)
+
+    return run
+
+
+_TEXTS = "h1 long, h2 long, content binary, copies long"
+
+
+def _unite(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row for each text, of rows sorted by its digest."""
+    held, copies = None, 0
     for batch in batches:
-        owner, content = (batch.column(i).to_numpy() for i in (0, 1))
-        order = np.lexsort((content, owner))
-        fresh = np.ones(len(order), bool)
-        fresh[1:] = (owner[order][1:] != owner[order][:-1]) | (content[order][1:] != content[order][:-1])
-        at = np.flatnonzero(fresh)
-        counts = np.diff(np.append(at, len(order)))
-        first = batch.take(pa.array(order[at]))
-        yield pa.RecordBatch.from_arrays([*first.columns, pa.array(counts.astype(np.int64))], names=[*batch.schema.names, "n"])
-
-
-def _wanted(batches: Iterable[pa.RecordBatch]) -> Iterator[Iterator[tuple[dict, bytes, bool]]]:
-    """Of each batch: the wanted super-windows of its texts, their bytes, and whether a word may begin with the first of them."""
-    last = None
+        keys = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
+        counts = batch.column(3).to_pylist()
+        done, sums = [], []
+        for i, key in enumerate(keys):
+            if held is not None and key == held[0]:
+                copies += counts[i]
+                continue
+            if held is not None:
+                done.append(held[1])
+                sums.append(copies)
+            held, copies = (key, batch.slice(i, 1)), counts[i]
+        if done:
+            yield _counted(pa.Table.from_batches(done).combine_chunks().to_batches()[0], sums)
+    if held is not None:
+        yield _counted(held[1], [copies])
+
+
+def _counted(batch: pa.RecordBatch, copies: list[int]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(copies, pa.int64())], names=batch.schema.names)
+
+
+def distinct_texts(docs: DataFrame, text_col: str) -> tuple[DataFrame, list[str]]:
+    """h1, h2 (a digest), content (bytes) and copies of each text, laid out by digest; and the table's name and path.
+
+    Copies are combined in each batch before they move, so a text that a third of all rows share moves a few times.
+    What is joined with this table by digest moves to it; the texts do not move again.
+    """
+    spark = docs.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = docs.select(*digest_of(text_col), text_of(text_col).cast("binary").alias("content"), F.lit(1).cast("long").alias("copies"))
+    sorted_rows = rows.mapInArrow(_combine(2), _TEXTS).repartition(parts, "h1", "h2").sortWithinPartitions("h1", "h2")
+    path = shared_path(spark, "texts")
+    name = "texts_" + path.rpartition("-")[2]
+    sorted_rows.mapInArrow(_unite, _TEXTS).write.format("parquet").option("compression", "zstd").option("path", path).bucketBy(parts, "h1", "h2").sortBy("h1", "h2").saveAsTable(name)
+    return spark.table(name), [name, path]
+
+
+def digest_of(text_col: str) -> tuple[Column, Column]:
+    """128 bits of a text in two columns, a null text as an empty one."""
+    text = text_of(text_col)
+    return F.xxhash64(text).alias("h1"), F.xxhash64(F.lit(1), text, F.lit(2)).alias("h2")
+
+
+def _wanted(batches: Iterable[pa.RecordBatch]) -> Iterator[Iterator[tuple[int, int, dict, bytes, bool]]]:
+    """Of each batch: texts by digest with their wanted super-windows, the bytes of these, and whether a word may begin with the first."""
     for batch in batches:
 
-        def found(batch: pa.RecordBatch = batch) -> Iterator[tuple[dict, bytes, bool]]:
-            nonlocal last
-            for doc, mark, text, wanted in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if (doc, mark) == last:  # a repeated row; the join has sorted them together
-                    continue
-                last = doc, mark
-                data = text.encode("utf-8", "replace")
+        def found(batch: pa.RecordBatch = batch) -> Iterator[tuple[int, int, dict, bytes, bool]]:
+            for h1, h2, data, wanted in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 for w in wanted:
                     at = w["start"]
-                    yield w, data[at : at + w["size"]], _may_begin(data, at)
+                    yield h1, h2, w, data[at : at + w["size"]], _may_begin(data, at)
 
         yield found()
 
 
-_PIECES = "owner long, content long, n long, windows int, fresh boolean, piece binary"
+_PIECES = "owner long, n long, h1 long, h2 long, start long, windows int, own int, fresh boolean, piece binary"
+_PIECE_TYPES = [pa.int64()] * 5 + [pa.int32(), pa.int32(), pa.bool_(), pa.binary()]
+
+
+@dataclass
+class Piece:
+    owner: int
+    n: int
+    h1: int
+    h2: int
+    start: int
+    windows: int
+    own: int  # where the owner is in ``data``
+    fresh: bool
+    data: bytes
 
 
 def _cut_pieces(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The bytes of wanted super-windows."""
 
     def pieces(rows: list[tuple]) -> pa.RecordBatch:
-        columns = list(zip(*rows, strict=True))
-        types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.binary()]
-        return pa.record_batch([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["owner", "content", "n", "windows", "fresh", "piece"])
+        return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _PIECE_TYPES, strict=True)], names=[x.split()[0] for x in _PIECES.split(", ")])
 
     for found in _wanted(batches):
         out, size = [], 0
-        for w, piece, fresh in found:
-            out.append((w["owner"], w["content"], w["n"], w["windows"], fresh, piece))
+        for h1, h2, w, piece, fresh in found:
+            out.append((w["owner"], w["n"], h1, h2, w["start"], w["windows"], w["own"], fresh, piece))
             size += len(piece)
             if size >= 4 << 20:
                 yield pieces(out)
@@ -248,72 +331,91 @@ def _cut_pieces(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pieces(out)
 
 
-_MARKS = "owner long, content long, kind int, low long, high long"
+_MARKS = "h1 long, h2 long, kind int, low long, high long"
 
 
-def _passages(rows: list[tuple], words: int, short: int, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _passages(pieces: list[Piece], words: int, short: int, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Passages that begin at the windows of super-windows: which one's, from where to where, and a digest of owner and bytes.
 
     Equal passages have one owner, and it stands at the same place of them.
     """
-    sizes = np.array([len(r[5]) for r in rows], np.int64)
+    sizes = np.array([len(x.data) for x in pieces], np.int64)
     begins = np.cumsum(sizes) - sizes
-    string = np.repeat(np.arange(len(rows)), sizes)
-    data = np.frombuffer(b"".join(r[5] for r in rows), np.uint8)
+    string = np.repeat(np.arange(len(pieces)), sizes)
+    data = np.frombuffer(b"".join(x.data for x in pieces), np.uint8)
     need = passage_needs(data, string, words, short, length)
     fresh = word_begins(data, string)
-    fresh[begins] &= np.array([r[4] for r in rows])
+    fresh[begins] &= np.array([x.fresh for x in pieces])
     place = np.arange(len(data)) - begins[string]
-    at = np.flatnonzero(fresh & (place < np.array([r[3] for r in rows])[string]) & (place + need <= sizes[string]))
+    at = np.flatnonzero(fresh & (place < np.array([x.windows for x in pieces])[string]) & (place + need <= sizes[string]))
     string, low, high = string[at], place[at], place[at] + need[at]
     digest = xxhash.xxh3_64_intdigest
-    key = np.fromiter((digest(rows[i][5][a:b], rows[i][0] & (1 << 64) - 1) for i, a, b in zip(string.tolist(), low.tolist(), high.tolist(), strict=True)), np.uint64, len(at))
+    key = np.fromiter((digest(pieces[i].data[a:b], pieces[i].owner & (1 << 64) - 1) for i, a, b in zip(string.tolist(), low.tolist(), high.tolist(), strict=True)), np.uint64, len(at))
     return string, low, high, key
 
 
+def _alike(pieces: list[Piece], short: int, length: int) -> list[Piece]:
+    """Pieces that may share a window of ``length`` bytes with another one: they agree on half of it before or after the owner."""
+    gram = min(GRAM, short)
+    side, digest = (length - gram) // 2, xxhash.xxh3_64_intdigest
+    if side < gram:
+        return pieces
+    seen: Counter = Counter()
+    keys = []
+    for x in pieces:
+        held = []
+        if x.own >= side:
+            held.append((x.owner, 0, digest(x.data[x.own - side : x.own])))
+        if x.own + gram + side <= len(x.data):
+            held.append((x.owner, 1, digest(x.data[x.own + gram : x.own + gram + side])))
+        seen.update(held)
+        keys.append(held)
+    return [x for x, held in zip(pieces, keys, strict=True) if any(seen[k] > 1 for k in held)]
+
+
 def _index(length: int, words: int, short: int):  # noqa: ANN202
     """Index the pieces of a shard and mark the byte ranges that repeated windows and passages cover."""
 
-    def marks(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
-        times = np.array([r[2] for r in rows])
-        once = np.flatnonzero(times == 1)
-        if not len(once):
-            return
-        index = RunLengthIndex([r[5] for r in rows])
-        windows = [(which[hit], place[hit]) for which, place, longest in index.statistics(once) if (hit := longest >= length).any()]
-        if windows:
-            string, low = (np.concatenate(x) for x in zip(*windows, strict=True))
-            yield from spans(rows, WINDOW, string, low, low + length)
-        string, low, high, key = _passages(rows, words, short, length)
-        _, at, counts = np.unique(key, return_inverse=True, return_counts=True)
-        hit = (times[string] == 1) & ((counts[at] > 1) | (np.bincount(at, times[string], len(counts))[at] > 1))
+    def marks(pieces: list[Piece]) -> Iterator[pa.RecordBatch]:
+        alike = _alike(pieces, short, length)
+        once = np.array([i for i, x in enumerate(alike) if x.n == 1], np.int64)
+        if len(once):
+            index = RunLengthIndex([x.data for x in alike])
+            windows = [(which[hit], place[hit]) for which, place, longest in index.statistics(once) if (hit := longest >= length).any()]
+            if windows:
+                string, low = (np.concatenate(x) for x in zip(*windows, strict=True))
+                yield spans(alike, WINDOW, string, low, low + length)
+        times = np.array([x.n for x in pieces])
+        string, low, high, key = _passages(pieces, words, short, length)
+        _, at = np.unique(key, return_inverse=True)
+        hit = (times[string] == 1) & (np.bincount(at, times[string])[at] > 1)
         if hit.any():
-            yield from spans(rows, PASSAGE, string[hit], low[hit], high[hit])
+            yield spans(pieces, PASSAGE, string[hit], low[hit], high[hit])
 
-    def spans(rows: list[tuple], kind: int, string: np.ndarray, low: np.ndarray, high: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def spans(pieces: list[Piece], kind: int, string: np.ndarray, low: np.ndarray, high: np.ndarray) -> pa.RecordBatch:
         string, low, high = unions(string, low, high)
-        of = string.tolist()
-        columns = [pa.array([rows[i][0] for i in of], pa.int64()), pa.array([rows[i][1] for i in of], pa.int64()), pa.array(np.full(len(of), kind, np.int32)), pa.array(low.astype(np.int64)), pa.array(high.astype(np.int64))]
-        yield pa.record_batch(columns, names=["owner", "content", "kind", "low", "high"])
+        of = [pieces[i] for i in string.tolist()]
+        start = np.array([x.start for x in of])
+        columns = [pa.array([x.h1 for x in of], pa.int64()), pa.array([x.h2 for x in of], pa.int64()), pa.array(np.full(len(of), kind, np.int32)), pa.array(low + start), pa.array(high + start)]
+        return pa.record_batch(columns, names=["h1", "h2", "kind", "low", "high"])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-        size, last = 0, None
+        held: list[Piece] = []
+        size = 0
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if size >= INDEX_BYTES and row[0] != last:
+                if size >= INDEX_BYTES and row[0] != held[-1].owner:
                     yield from marks(held)
                     held, size = [], 0
-                held.append(row)
-                size += len(row[5])
-                last = row[0]
+                held.append(Piece(*row))
+                size += len(row[-1])
         if held:
             yield from marks(held)
 
     return run
 
 
-_HOT = "key binary, owner long, content long, n long, kind int, low int, high int"
+_HOT = "key binary, n long, h1 long, h2 long, kind int, low long, high long"
 
 
 def _hot_windows(length: int, words: int, short: int):  # noqa: ANN202
@@ -323,14 +425,15 @@ def _hot_windows(length: int, words: int, short: int):  # noqa: ANN202
         digest = xxhash.xxh3_128_digest
         for found in _wanted(batches):
             out: list[tuple] = []
-            for w, piece, fresh in found:
+            for h1, h2, w, piece, fresh in found:
                 data = np.frombuffer(piece, np.uint8)
                 need = passage_needs(data, np.zeros(len(data), np.int64), words, short, length)[: w["windows"]].tolist()
                 for at in range(w["windows"]):
+                    low = w["start"] + at
                     if at + length <= len(piece):
-                        out.append((digest(piece[at : at + length], WINDOW), w["owner"], w["content"], w["n"], WINDOW, at, at + length))
+                        out.append((digest(piece[at : at + length], WINDOW), w["n"], h1, h2, WINDOW, low, low + length))
                     if need[at] <= len(piece) - at and (fresh if at == 0 else _may_begin(piece, at)):
-                        out.append((digest(piece[at : at + need[at]], PASSAGE), w["owner"], w["content"], w["n"], PASSAGE, at, at + need[at]))
+                        out.append((digest(piece[at : at + need[at]], PASSAGE), w["n"], h1, h2, PASSAGE, low, low + need[at]))
                 if len(out) >= 20_000:
                     yield batch_of(out)
                     out = []
@@ -338,98 +441,91 @@ def _hot_windows(length: int, words: int, short: int):  # noqa: ANN202
                 yield batch_of(out)
 
     def batch_of(rows: list[tuple]) -> pa.RecordBatch:
-        types = [pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()]
-        return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=["key", "owner", "content", "n", "kind", "low", "high"])
+        types = [pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64()]
+        return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=[x.split()[0] for x in _HOT.split(", ")])
 
     return run
 
 
-def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, mark and text; id and mark (a hash of the text) together name a text."""
-    text = text_of(text_col)
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("mark"), text.alias("text"))
-
-
-def repeated_spans(docs: DataFrame, length: int = LENGTH, words: int = WORDS, short: int = SHORT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, mark and spans (array of kind, low, high) of the texts with repeated windows or passages.
+def repeated_spans(texts: DataFrame, length: int = LENGTH, words: int = WORDS, short: int = SHORT) -> tuple[DataFrame, str]:
+    """h1, h2 and spans (array of kind, low, high) of the texts, as :func:`distinct_texts` gives them, with repeated windows or passages.
 
-    See :func:`keyed` for mark.  ``low`` and ``high`` are byte offsets; spans
-    may overlap and are in no order.  A span of kind WINDOW is covered by
-    repeated windows, one of kind PASSAGE by repeated passages, and one of kind
-    WHOLE occurs elsewhere as it is.  The table is a checkpoint.
+    ``low`` and ``high`` are byte offsets; spans may overlap and are in no order.
+    A span of kind WINDOW is covered by repeated windows, one of kind PASSAGE by
+    repeated passages, and one of kind WHOLE occurs elsewhere as it is.  Texts
+    that have copies are repeated as a whole and need no span.  The table is a
+    checkpoint, and its path comes with it.
     """
-    spark = docs.sparkSession
+    spark = texts.sparkSession
     short = min(short, length)
-    rows = keyed(docs, id_col, text_col)
-    scanned, scanned_at = written(rows.mapInArrow(lambda batches: _scan(batches, short, length), _SW), "windows")
-
-    at = F.struct("doc_id", "mark", "start", "windows", "size")
-    combined = scanned.mapInArrow(_combine, _SW + ", n long").repartition("owner")
-    equal = combined.groupBy("owner", "content").agg(F.sum("n").alias("n"), F.min(at).alias("at"))
-    counted = equal.withColumn("kinds", F.count("*").over(Window.partitionBy("owner"))).filter("n > 1 or kinds > 1")
-    groups, groups_at = written(counted, "owners")
-    release(spark)
-
-    def texts_of(wanted: DataFrame) -> DataFrame:
-        """doc_id, mark, text and wanted super-windows of the texts that a super-window is taken from."""
-        one = wanted.select("at.doc_id", "at.mark", F.struct("owner", "content", "n", "at.start", "at.windows", "at.size").alias("w"))
-        by_text = one.groupBy(F.col("doc_id").alias("__d"), F.col("mark").alias("__m")).agg(F.collect_list("w").alias("wanted"))
-        return rows.join(by_text, rows["doc_id"].eqNullSafe(by_text["__d"]) & (rows["mark"] == by_text["__m"])).select("doc_id", "mark", "text", "wanted")
-
-    pieces = texts_of(groups.filter((F.col("kinds") > 1) & (F.col("kinds") <= HOT_OWNER))).mapInArrow(_cut_pieces, _PIECES)
-    dealt = pieces.repartition("owner").sortWithinPartitions("owner")
-    marks, marks_at = written(dealt.mapInArrow(_index(length, words, short), _MARKS), "marks")
-    tables = [scanned_at, groups_at, marks_at]
-    release(spark)
-
-    hot = groups.filter(F.col("kinds") > HOT_OWNER)
-    if not hot.isEmpty():
-        every, hot_at = written(texts_of(hot).mapInArrow(_hot_windows(length, words, short), _HOT), "hot")
-        often = every.groupBy("key").agg(F.sum("n").alias("times")).filter("times > 1").select("key")
-        found = every.filter("n = 1").join(often, "key").select("owner", "content", "kind", F.col("low").cast("long"), F.col("high").cast("long"))
-        found, found_at = written(found, "hot-marks")
-        marks = marks.unionByName(found)
-        tables += [hot_at, found_at]
-
-    whole = groups.filter("n > 1").select("owner", "content", F.lit(WHOLE).alias("kind"), F.lit(0).cast("long").alias("low"), F.col("at.size").cast("long").alias("high"))
-    placed = scanned.select("owner", "content", "doc_id", "mark", "start").join(whole.unionByName(marks), ["owner", "content"])
-    span = F.struct("kind", (F.col("start") + F.col("low")).alias("low"), (F.col("start") + F.col("high")).alias("high"))
-    spans = checkpoint(placed.groupBy("doc_id", "mark").agg(F.collect_set(span).alias("spans")), "spans")
-    for path in tables:
-        drop_written(spark, path)
-    return spans
-
-
-def merged(spans: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
-    """Spans in order, those that touch or overlap as one."""
-    out: list[tuple[int, int]] = []
-    for low, high in sorted(spans):
-        if out and low <= out[-1][1]:
-            if high > out[-1][1]:
-                out[-1] = out[-1][0], high
-        else:
-            out.append((low, high))
-    return out
-
-
-def covered(data: bytes, spans: list[dict], length: int, words: int, short: int) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
-    """What repeated windows cover of a text, and what repeated passages do."""
-    gone = [(s["low"], s["high"]) for s in spans if s["kind"] != PASSAGE and s["high"] - s["low"] >= length]
-    passages = [(s["low"], s["high"]) for s in spans if s["kind"] == PASSAGE]
-    whole = [(s["low"], s["high"]) for s in spans if s["kind"] == WHOLE]
-    if whole:
-        raw = np.frombuffer(data, np.uint8)
-        one = np.zeros(len(raw), np.int8)
-        need = passage_needs(raw, one, words, short, length)
-        begins = np.flatnonzero(word_begins(raw, one))
-        stops = begins + need[begins]
-        reach = np.zeros(len(begins), np.int64)  # how far the repeated stretches that a word begins in go
-        for low, high in whole:
-            a, b = np.searchsorted(begins, (low, high))
-            np.maximum(reach[a:b], high, out=reach[a:b])
-        hit = stops <= reach
-        passages += zip(begins[hit].tolist(), stops[hit].tolist(), strict=True)
-    return merged(gone), merged(passages)
+    with collected() as made:
+        scanned = checkpoint(texts.select("h1", "h2", "copies", "content").mapInArrow(lambda batches: _scan(batches, short, length), _SW), "windows")
+
+        # Different super-windows of an owner, and how many of them agree on a side of it.
+        combined = scanned.select("owner", "content", "sides", F.col("copies").alias("n")).mapInArrow(_combine(2), "owner long, content long, sides long, n long").repartition("owner")
+        equal = combined.groupBy("owner", "content").agg(F.sum("n").alias("n"), F.min("sides").alias("sides"))
+        several = equal.withColumn("kinds", F.count("*").over(Window.partitionBy("owner"))).filter("n > 1 or kinds > 1")
+        sided = several.withColumn("left", F.shiftright("sides", 32)).withColumn("right", F.col("sides").bitwiseAND(F.lit((1 << 32) - 1)))
+        for side in ("left", "right"):
+            alike = F.count("*").over(Window.partitionBy("owner", side)) > 1
+            sided = sided.withColumn(f"{side}s", (F.col("kinds") > 1) & (F.col(side) != NO_SIDE) & alike)
+        near = sided.withColumn("near", F.col("lefts") | F.col("rights")).filter("n > 1 or near")
+        near = near.withColumn("hot", F.sum(F.col("near").cast("int")).over(Window.partitionBy("owner")) > HOT_OWNER)
+        groups = checkpoint(near.select("owner", "content", "n", "near", "hot"), "owners")
+        located = checkpoint(scanned.drop("sides").join(groups, ["owner", "content"]).filter("near or copies = 1"), "located")
+        release(spark)
+
+        def wanted(hot: bool) -> DataFrame:
+            """h1, h2, content and wanted super-windows, each from one text."""
+            place = F.struct("h1", "h2", "start", "windows", "size", "own")
+            one = located.filter(F.col("near") & (F.col("hot") == hot)).groupBy("owner", "content").agg(F.min(place).alias("at"), F.max("n").alias("n"))
+            by_text = one.select("at.h1", "at.h2", F.struct("owner", "n", "at.start", "at.windows", "at.size", "at.own").alias("w")).groupBy("h1", "h2").agg(F.collect_list("w").alias("wanted"))
+            return texts.join(by_text, ["h1", "h2"]).select("h1", "h2", texts["content"], "wanted")
+
+        dealt = wanted(hot=False).mapInArrow(_cut_pieces, _PIECES).repartition("owner").sortWithinPartitions("owner")
+        marks = checkpoint(dealt.mapInArrow(_index(length, words, short), _MARKS), "marks")
+        release(spark)
+
+        if not groups.filter("near and hot").isEmpty():
+            every = checkpoint(wanted(hot=True).mapInArrow(_hot_windows(length, words, short), _HOT), "hot")
+            often = every.groupBy("key").agg(F.sum("n").alias("times")).filter("times > 1").select("key")
+            marks = marks.unionByName(every.filter("n = 1").join(often, "key").select(marks.columns))
+
+        low = F.col("start")
+        whole = located.filter("n > 1 and copies = 1").select("h1", "h2", F.lit(WHOLE).alias("kind"), low.alias("low"), (low + F.col("size")).alias("high"))
+        spans = whole.unionByName(marks).groupBy("h1", "h2").agg(F.collect_set(F.struct("kind", "low", "high")).alias("spans"))
+        spans, kept = written(spans, "spans")
+    for path in made:
+        if path != kept:
+            drop_written(spark, path)
+    return spans, kept
+
+
+def covered(data: np.ndarray, ends: np.ndarray, spans: tuple[np.ndarray, ...], length: int, words: int, short: int) -> tuple[tuple, tuple]:
+    """What repeated windows cover of texts, and what repeated passages do: text, low and high of each stretch.
+
+    ``data`` are texts that end at ``ends``; ``spans`` are text, kind, low and high, the latter in ``data``.
+    """
+    of, kind, low, high = spans
+    gone = (kind != PASSAGE) & (high - low >= length)
+    windows = unions(of[gone], low[gone], high[gone])
+    whole = kind == WHOLE
+    string = np.repeat(np.arange(len(ends)), np.diff(ends, prepend=0))
+    begins = np.flatnonzero(word_begins(data, string)) if whole.any() else np.zeros(0, np.int64)
+    if len(begins):
+        # How far the repeated stretch goes that a word begins in: the furthest of those that began before.
+        order = np.argsort(low[whole])
+        from_, reach = low[whole][order], np.maximum.accumulate(high[whole][order])
+        at = np.searchsorted(from_, begins, "right") - 1
+        inside = (at >= 0) & (begins < reach[at])
+        begins, at = begins[inside], at[inside]
+        stops = begins + passage_needs(data, string, words, short, length)[begins]
+        hit = stops <= reach[at]
+        begins, stops = begins[hit], stops[hit]
+    else:
+        stops = begins
+    own = kind == PASSAGE
+    return windows, unions(np.concatenate([of[own], string[begins]]), np.concatenate([low[own], begins]), np.concatenate([high[own], stops]))
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, words: int = WORDS, short: int = SHORT, with_kept: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -446,25 +542,57 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, words: int = WORDS, sh
     other, and so all their windows are repeated.  Other columns are not read;
     no rows give no rows.
     """
-    short = min(short, length)
-    rows, width = keyed(docs, id_col, text_col), 6 + with_kept
-    spans = repeated_spans(docs, length, words, short, id_col, text_col).select(F.col("doc_id").alias("__d"), F.col("mark").alias("__m"), "spans")
-    joined = rows.join(spans, rows["doc_id"].eqNullSafe(spans["__d"]) & (rows["mark"] == spans["__m"]), "left").select("doc_id", "text", "spans")
+    spark, short, width = docs.sparkSession, min(short, length), 5 + with_kept
+    texts, (name, path) = distinct_texts(docs, text_col)
+    release(spark)
+    spans, spans_at = repeated_spans(texts, length, words, short)
+    columns = "n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_passages long, passage_bytes long" + ", kept binary" * with_kept
+    names = [x.split()[0] for x in columns.split(", ")]
+
+    def judged(batch: pa.RecordBatch) -> pa.RecordBatch:
+        texts = batch.column(3).to_pylist()
+        sizes = np.array([len(t) for t in texts], np.int64)
+        ends = np.cumsum(sizes)
+        begins = ends - sizes
+        lists = batch.column(4)
+        fields = lists.flatten()
+        of = np.repeat(np.arange(len(texts)), lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+        kind, low, high = (fields.field(i).to_numpy(zero_copy_only=False) for i in range(3))
+        low, high = low + begins[of], high + begins[of]
+        twice = np.flatnonzero((batch.column(2).to_numpy() > 1) & (sizes > 0))  # texts that have copies
+        of, kind = np.concatenate([of, twice]), np.concatenate([kind, np.full(len(twice), WHOLE)])
+        low, high = np.concatenate([low, begins[twice]]), np.concatenate([high, ends[twice]])
+        gone, passages = covered(np.frombuffer(b"".join(texts), np.uint8), ends, (of, kind, low, high), length, words, short)
+        cuts: dict[int, list[tuple[int, int]]] = {}
+        for i, a, b in zip(gone[0].tolist(), (gone[1] - begins[gone[0]]).tolist(), (gone[2] - begins[gone[0]]).tolist(), strict=True):
+            cuts.setdefault(i, []).append((a, b))
+        left = []
+        for i, text in enumerate(texts):
+            at, parts = 0, []
+            for a, b in cuts.get(i, ()):
+                parts.append(text[at:a])
+                at = b
+            left.append(b"".join([*parts, text[at:]]))
+        count = lambda x: pa.array(np.bincount(x[0], minlength=len(texts)).astype(np.int64))
+        total = lambda x: pa.array(np.bincount(x[0], x[2] - x[1], len(texts)).astype(np.int64))
+        hashes = pa.array([hashlib.sha256(x).hexdigest() for x in left], pa.string())
+        found = [pa.array(sizes), total(gone), count(gone), hashes, count(passages), total(passages), pa.array(left, pa.binary())]
+        return pa.record_batch([batch.column(0), batch.column(1), *found[: width + 1]], names=["h1", "h2", *names])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for text, found in zip(*(batch.column(i).to_pylist() for i in (1, 2)), strict=True):
-                data, at, parts = text.encode("utf-8", "replace"), 0, []
-                gone, passages = covered(data, found or [], length, words, short)
-                for low, high in gone:
-                    parts.append(data[at:low])
-                    at = high
-                left = b"".join([*parts, data[at:]])
-                out.append((len(data), len(data) - len(left), len(gone), hashlib.sha256(left).hexdigest(), len(passages), sum(b - a for a, b in passages), left)[:width])
-            columns = list(zip(*out, strict=True)) or [()] * width
-            types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.binary()][:width]
-            names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_passages", "passage_bytes", "kept"][: width + 1]
-            yield pa.record_batch([batch.column(0), *(pa.array(c, t) for c, t in zip(columns, types, strict=True))], names=names)
-
-    return joined.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_passages long, passage_bytes long" + ", kept binary" * with_kept)
+            sizes = np.cumsum(pc.binary_length(batch.column(3)).to_numpy(zero_copy_only=False).astype(np.int64))
+            at = 0
+            while at < len(batch):  # as many texts as have about SCAN_BYTES, one at least
+                stop = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + 4 * SCAN_BYTES)))
+                yield judged(batch.slice(at, stop - at))
+                at = stop
+
+    of_texts = texts.join(spans, ["h1", "h2"], "left").select("h1", "h2", "copies", "content", "spans").mapInArrow(run, f"h1 long, h2 long, {columns}")
+    found = checkpoint(of_texts, "found")
+    spark.sql(f"drop table {name}")
+    for at in (path, spans_at):
+        drop_written(spark, at)
+    release(spark)
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), *digest_of(text_col))
+    return rows.join(found, ["h1", "h2"]).select("doc_id", *names)
