@@ -60,7 +60,9 @@ def test_exact_dedup(docs, none):
     assert rows(exact_dedup.exact_dedup(none)) == []
     kept = exact_dedup.survivors(docs)
     assert kept.columns == docs.columns
-    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(x[0] for x in want if x[3])
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted({x[0] for x in want if x[3]})
+    again = docs.unionByName(docs).unionByName(docs)
+    assert len(rows(exact_dedup.survivors(again))) == len(rows(kept))
 
 
 def test_cuckoo_index_holds_what_is_live():
@@ -74,7 +76,7 @@ def test_cuckoo_index_holds_what_is_live():
         elif key not in live:
             index.put(key, (step, 1))
             live[key] = (step, 1)
-        assert index.get(key) == live.get(key)
+        assert index.get(key) == live.get(key) and len(index) == len(live)
     assert dict(index.items()) == live
     assert index.resizes and not index.remove(b"\0" * 32)
 
@@ -86,6 +88,22 @@ def test_update_index(spark):
     assert {(r["keep_id"], r["group_size"]) for r in new.collect()} == {(9, 2), (7, 1), (8, 1)}
 
 
+def test_small_indexes_give_the_same_entries(monkeypatch):
+    rng = np.random.default_rng(8)
+    data = sorted((hashlib.sha256(str(rng.integers(0, 500)).encode()).digest(), int(i), 1, int(rng.random() < 0.1)) for i in range(3000))
+    data.sort(key=lambda r: (r[0], r[3]))
+    want = {}
+    for key, keep, size, step in data:
+        old = want.pop(key, None)
+        if step == 0:
+            want[key] = (max(keep, old[0]), size + old[1]) if old else (keep, size)
+    monkeypatch.setattr(exact_dedup, "INDEX_ENTRIES", 20)
+    columns = [exact_dedup.pa.array(c) for c in zip(*data, strict=True)]
+    batch = exact_dedup.pa.record_batch(columns, names=["digest", "keep_id", "group_size", "step"])
+    got = [tuple(r.values()) for b in exact_dedup._index(batch.slice(i, 700) for i in range(0, 3000, 700)) for r in b.to_pylist()]
+    assert sorted(got) == sorted((k, *v) for k, v in want.items())
+
+
 # --- BPE
 
 
@@ -150,6 +168,19 @@ def test_sharding_splits_only_what_is_too_large(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "s")).count() == 400
 
 
+def test_written_shards_keep_every_row_and_the_limit(spark, tmp_path):
+    data = [(1, "a" * 3000), (1, "b" * 3000), (None, "c" * 3000)] + [(7, "same" * 100)] * 55 + [(i, f"{i} " * 50) for i in range(40)]
+    docs = spark.createDataFrame([(i, t, "clash", k) for k, (i, t) in enumerate(data)], "doc_id long, text string, shard_id string, n int").repartition(5)
+    sharding.write_shards(docs, str(tmp_path / "s"), 4000)
+    back = spark.read.parquet(str(tmp_path / "s"))
+    assert dict(back.dtypes)["shard_id_"] == "string" and back.columns[:4] == docs.columns
+    assert sorted(r["n"] for r in back.collect()) == list(range(len(data)))
+    held = Counter()
+    for r in back.collect():
+        held[r["shard_id_"]] += len(r["text"])
+    assert max(held.values()) <= 4000
+
+
 # --- WARC
 
 
@@ -170,6 +201,27 @@ def test_warc_round_trip(spark):
     assert rows(warc.capture_histories(pages.limit(0))) == []
 
 
+def test_warc_takes_any_id_and_payload(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "MERGE_ROWS", 5)
+    ids = [1 << 62, -(10**12), 10**12, -(1 << 63), (1 << 63) - 1, 0]
+    ends = ["", "\r", "\r\n", "\r\n\r", "\r\n\r\n", "\n\r\n\r\n\r\n", "\r\r\n\r\n"]
+    data = [(i, f"http://h{k % 3}/{k}", f"{e}page {k}{e}{e}") for k, (i, e) in enumerate((i, e) for i in ids for e in ends)]
+    data.append((77, "http://big/", "\r\n\r\nWARC/1.1\r\n" * 200_000))
+    pages = spark.createDataFrame(data, "page_id long, url string, html string").repartition(2)
+    got = rows(warc.capture_histories(pages, str(tmp_path / "w")).select("page_id", "payload_digest", "captured_at"))
+    assert Counter(got) == Counter((i, hashlib.sha1(h.encode()).hexdigest(), 946684800 + i % (1 << 32)) for i, _, h in data)
+    ordered = [tuple(r) for r in warc.merge_runs(warc.read_runs(spark, str(tmp_path / "w"))).select("url_key", "captured_at").collect()]
+    assert ordered == sorted(ordered) and len(ordered) == len(data)
+
+
+def test_a_damaged_archive_is_refused():
+    record = b"WARC/1.1\r\nContent-Length: 40\r\n\r\nHTTP/1.1 200 OK\r\nContent-Length: 2\r\n\r\nab\r\n\r\n"
+    assert [r[3] for r in warc.parse_warc([record[i : i + 1] for i in range(len(record))])] == [b"ab"]
+    for broken in (record[:-3], record[4:], record.replace(b"40", b"39"), record.replace(b"40", b"4000")):
+        with pytest.raises(ValueError, match="record"):
+            list(warc.parse_warc([broken]))
+
+
 def test_loser_tree():
     rng = np.random.default_rng(0)
     for k in (0, 1, 2, 3, 7, 16):
@@ -213,6 +265,7 @@ def brute_contamination(texts, items, size=10):
 @pytest.mark.parametrize("block", [8 << 20, 10])
 def test_contamination(spark, docs, none, block, monkeypatch):
     monkeypatch.setattr(decontaminate, "blocks_of", lambda b, w, f=decontaminate.blocks_of: f(b, w, block))
+    monkeypatch.setattr(decontaminate, "BLOCKS_PER_PASS", 3)
     items = [(7, PHRASE), (2, "one"), (3, None), (4, ""), (12, "fox jumps"), (None, "lazy dog"), (7, PHRASE), (10, PHRASE + " more")]
     benchmark = spark.createDataFrame([(*i, 1) for i in items], "item_id long, text string, n_words int")
     got = rows(decontaminate.contamination(docs, benchmark))
@@ -225,6 +278,9 @@ def test_contamination(spark, docs, none, block, monkeypatch):
     assert not any(r[-1] for r in rows(decontaminate.contamination(clean, benchmark)))
     before, after = Counter(t for _, t, _ in ROWS), Counter(r["text"] for r in clean.collect())
     assert after[None] == before[None] and after["x" * 70_000] == 1
+    if block == 10:  # in passes or at once, the same is cut
+        monkeypatch.setattr(decontaminate, "BLOCKS_PER_PASS", 1000)
+        assert Counter(rows(decontaminate.decontaminated(docs, benchmark))) == Counter(rows(clean))
 
 
 def test_search_on_random_texts():
@@ -303,7 +359,7 @@ def brute_repeats(texts, length, words, short):
     return out
 
 
-@pytest.mark.parametrize(("length", "words", "short", "hot"), [(400, 51, 256, 4000), (40, 6, 24, 4000), (40, 6, 24, 1), (30, 3, 9, 0), (30, 4, 30, 4000)])
+@pytest.mark.parametrize(("length", "words", "short", "hot"), [(400, 51, 272, 4000), (300, 20, 120, 4000), (300, 20, 120, 2), (40, 6, 24, 4000), (40, 6, 24, 1), (30, 3, 9, 0), (30, 4, 30, 4000)])
 def test_remove_repeats(spark, none, length, words, short, hot, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "HOT_OWNER", hot)
     monkeypatch.setattr(suffix_dedup, "SCAN_BYTES", 2000)
@@ -327,7 +383,7 @@ def test_a_passage_behind_many_prefixes(spark):
     texts = [f"{i * 7919 % 10_007} {i} {passage}" for i in range(6000)]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = rows(suffix_dedup.remove_repeats(docs, with_kept=False))
-    assert Counter(r[1:] for r in got) == Counter(brute_repeats(texts, 400, 51, 256))
+    assert Counter(r[1:] for r in got) == Counter(brute_repeats(texts, 400, 51, 272))
     assert all(r[2] >= len(passage) and r[5] == 1 for r in got)
 
 
@@ -484,6 +540,13 @@ def test_sample_is_bounded(spark):
     labels = docs.select("doc_id", (F.col("doc_id") % 2).alias("label"))
     assert 150 < len(learning.labelled_sample(docs, labels, 100)) < 260
     assert len(learning.labelled_sample(docs, labels, 100, sample_bytes=5000)) <= 50
+    near = spark.createDataFrame([(i, "t" * 300) for i in range(500)], "doc_id long, text string")
+    got = learning.labelled_sample(near, near.selectExpr("doc_id", "'x' as label"), 400, sample_bytes=5000)
+    assert len(got) == 16  # 300 bytes are below a sixteenth of 5000, and 16 of them fit
+    several = spark.createDataFrame([(i % 40, f"text {i}") for i in range(400)], "doc_id long, text string")
+    known = labels.filter("doc_id < 40")
+    one = sorted(learning.labelled_sample(several, known, 400))
+    assert len(one) == 40 == len({t for t, _ in one}) and one == sorted(learning.labelled_sample(several.repartition(7), known, 400))
     assert learning.labelled_sample(docs, labels.limit(0)) == []
 
 

@@ -13,19 +13,21 @@ import hashlib
 import re
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
-from itertools import repeat
+from itertools import islice, repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import text_of
+from .common import drop_written, text_of, written
 from .suffixes import FmIndex
 
 WINDOW = 10
 #: Bytes of text in a shard, and of benchmark text in a block.
 SHARD_BYTES, BLOCK_BYTES = 6 << 20, 8 << 20
+#: Blocks that are held at a time, by the driver and by a task.
+BLOCKS_PER_PASS = 2
 #: Upper case to lower, what is in no word to spaces.
 WORDS = bytes(ord(chr(i).lower()) if i < 128 and chr(i).isalnum() else 32 if i < 128 else i for i in range(256))
 WORD = re.compile(rb"[^ ]+")
@@ -146,32 +148,50 @@ def _shards(batches: Iterable[pa.RecordBatch], column: int) -> Iterator[tuple[pa
                 start, size = i + 1, 0
 
 
-_FOUND = "n_words long, spans array<struct<start:long,stop:long>>, items array<string>"
-_SPAN = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
+_FOUND_SQL = "struct<n_words:long,spans:array<struct<start:long,stop:long>>,items:array<string>>"
+_FOUND = pa.struct([("n_words", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))), ("items", pa.list_(pa.string()))])
 
 
-def find_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, text, n_words, merged spans of hit words (start, stop) and item ids of each row."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
-    found = rows.select("*", F.lit(0).cast("long").alias("n_words"), F.expr("cast(array() as array<struct<start:long,stop:long>>)").alias("spans"), F.expr("cast(array() as array<string>)").alias("items"))
-    blocks = list(blocks_of(benchmark, window)) or [Block()]
+def passes(benchmark: DataFrame, window: int = WINDOW) -> Iterator[list[Block]]:
+    """The benchmark's blocks, as many at a time as one pass over the documents searches."""
+    blocks = blocks_of(benchmark, window)
+    while some := list(islice(blocks, BLOCKS_PER_PASS)):
+        yield some
+
+
+def _search_step(spark: SparkSession, blocks: list[Block], text_at: int, found_at: int, open_at: int | None = None):  # noqa: ANN202
+    """A map that adds what ``blocks`` find to the column of (n_words, spans, items) of rows, or of rows that are open."""
+    held = [spark.sparkContext.broadcast(b) for b in blocks]  # BLOCKS_PER_PASS times about BLOCK_BYTES of text
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, texts in _shards(batches, text_at):
+            use = range(len(texts)) if open_at is None else np.flatnonzero(part.column(open_at).to_numpy(zero_copy_only=False)).tolist()
+            rows = [x if x else {"n_words": 0, "spans": [], "items": []} for x in part.column(found_at).to_pylist()]
+            for block in held:
+                for i, (n, new, names) in zip(use, search(block.value, [texts[i] for i in use]), strict=True):
+                    spans = merge([(x["start"], x["stop"]) for x in rows[i]["spans"]] + new)
+                    rows[i] = {"n_words": n, "spans": [{"start": a, "stop": b} for a, b in spans], "items": sorted({*rows[i]["items"], *names})}
+            yield part.set_column(found_at, part.schema.names[found_at], pa.array(rows, _FOUND))
 
-    def step(block: Block):  # noqa: ANN202
-        held = docs.sparkSession.sparkContext.broadcast(block)  # at most about BLOCK_BYTES of text
+    return run
 
-        def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for part, texts in _shards(batches, 1):
-                got = search(held.value, texts)
-                spans = [merge([(x["start"], x["stop"]) for x in old] + new) for old, (_, new, _) in zip(part.column(3).to_pylist(), got, strict=True)]
-                items = [sorted(set(old) | new) for old, (_, _, new) in zip(part.column(4).to_pylist(), got, strict=True)]
-                spans = [[{"start": a, "stop": b} for a, b in s] for s in spans]
-                yield pa.record_batch([part.column(0), part.column(1), pa.array([g[0] for g in got], pa.int64()), pa.array(spans, _SPAN), pa.array(items, pa.list_(pa.string()))], names=["doc_id", "text", "n_words", "spans", "items"])
 
-        return run
+def find_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, text, n_words, merged spans of hit words (start, stop) and item ids of each row.
 
-    for block in blocks:
-        found = found.mapInArrow(step(block), f"doc_id long, text string, {_FOUND}")
-    return found
+    A benchmark of more than BLOCKS_PER_PASS blocks goes through in passes, each written before the next.
+    """
+    spark = docs.sparkSession
+    found = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"), F.lit(None).cast(_FOUND_SQL).alias("found"))
+    groups = passes(benchmark, window)
+    found = found.mapInArrow(_search_step(spark, next(groups, [Block()]), 1, 2), found.schema)
+    path = None
+    for blocks in groups:
+        last, (found, path) = path, written(found, "found")
+        if last:
+            drop_written(spark, last)
+        found = found.mapInArrow(_search_step(spark, blocks, 1, 2), found.schema)
+    return found.select("doc_id", "text", "found.n_words", "found.spans", "found.items")
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -203,10 +223,16 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
 
     What a cut brings together is searched again, until no window is left.
     Texts without a hit, nulls among them, stay as they are.
+    A benchmark of more than BLOCKS_PER_PASS blocks goes through in passes.
     """
-    at = docs.columns.index(text_col)
-    out = docs
-    blocks = [docs.sparkSession.sparkContext.broadcast(b) for b in blocks_of(benchmark, window)]
+    spark, at = docs.sparkSession, docs.columns.index(text_col)
+    groups = passes(benchmark, window)
+    first, more = next(groups, None), next(groups, None)
+    if first is None:
+        return docs
+    if more is not None:
+        return _in_passes(docs, benchmark, window, at)
+    blocks = [spark.sparkContext.broadcast(b) for b in first]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in _shards(batches, at):
@@ -225,6 +251,33 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
             if changed:
                 old = column.to_pylist()
                 column = pa.array([texts[i] if i in changed else old[i] for i in range(len(texts))], column.type)
-            yield pa.record_batch([column if i == at else part.column(i) for i in range(part.num_columns)], names=part.schema.names)
-
-    return out.mapInArrow(run, docs.schema)
+            yield part.set_column(at, part.schema.names[at], column)
+
+    return docs.mapInArrow(run, docs.schema)
+
+
+def _in_passes(docs: DataFrame, benchmark: DataFrame, window: int, at: int) -> DataFrame:
+    """Search all blocks in passes and then cut, over again until no text is cut; each pass is written before the next."""
+    spark, n = docs.sparkSession, len(docs.columns)
+    found, still = "found", "open"
+    while found in docs.columns or still in docs.columns:
+        found, still = found + "_", still + "_"
+    rows, path = docs.withColumn(found, F.lit(None).cast(_FOUND_SQL)).withColumn(still, F.lit(True)), None
+
+    def cut_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            spans = [[(s["start"], s["stop"]) for s in x["spans"]] if x else [] for x in batch.column(n).to_pylist()]
+            texts = [cut(t, s) if s else t for t, s in zip(batch.column(at).to_pylist(), spans, strict=True)]
+            batch = batch.set_column(at, batch.schema.names[at], pa.array(texts, batch.column(at).type))
+            batch = batch.set_column(n, found, pa.nulls(len(batch), _FOUND))
+            yield batch.set_column(n + 1, still, pa.array([bool(s) for s in spans]))
+
+    while True:
+        for blocks in passes(benchmark, window):
+            last, (rows, path) = path, written(rows.mapInArrow(_search_step(spark, blocks, at, n, n + 1), rows.schema), "searched")
+            if last:
+                drop_written(spark, last)
+        last, (rows, path) = path, written(rows.mapInArrow(cut_rows, rows.schema), "cut")
+        drop_written(spark, last)
+        if rows.filter(still).isEmpty():
+            return rows.select(docs.columns)

@@ -2,10 +2,10 @@
 
 Each input partition combines its own copies first, so a text that a third of
 all rows share crosses the shuffle a few times, not once a row.  Digests are
-then dealt by value; each task keeps a :class:`CuckooIndex` whose filter
-answers most lookups, whose hits are verified against the stored keys of the
-bucket, and whose entries are deleted and inserted again when a later row
-takes over a group.
+then dealt by value and sorted; each task keeps a :class:`CuckooIndex` of bounded size
+whose filter answers most lookups, whose hits are verified against the stored
+keys of the bucket, and whose entries are deleted and inserted again when a
+later row takes over a group.
 """
 
 from __future__ import annotations
@@ -13,13 +13,15 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import text_of
 
 SLOTS = 4
 MAX_KICKS = 64
+#: Digests that an index holds before it goes on with an empty one; a task sees digests in order, so none comes again.
+INDEX_ENTRIES = 500_000
 
 
 class CuckooIndex:
@@ -115,6 +117,9 @@ class CuckooIndex:
             self.refs = [[] for _ in range(self.mask + 1)]
             full = all(self._place(self._print(k), ref, self._home(k)) for ref, k in enumerate(self.keys) if k is not None)
 
+    def __len__(self) -> int:
+        return len(self.keys) - len(self.free)
+
     def items(self) -> Iterator[tuple[bytes, tuple]]:
         for key, value in zip(self.keys, self.values, strict=True):
             if key is not None:
@@ -132,28 +137,45 @@ def _combine(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from got.combine_chunks().to_batches()
 
 
-def _index(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Feed a task's digests through a cuckoo index and return its live entries."""
-    index = CuckooIndex()
-    for batch in batches:
-        for key, keep, size in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            held = index.get(key)
-            if held is None:
-                index.put(key, (keep, size))
-                continue
-            best = held[0] if keep is None or (held[0] is not None and held[0] >= keep) else keep
-            index.remove(key)
-            index.put(key, (best, held[1] + size))
+def _entries(index: CuckooIndex) -> Iterator[pa.RecordBatch]:
+    """The live entries of an index."""
     rows = list(index.items())
     for at in range(0, len(rows), 20_000):
         part = rows[at : at + 20_000]
         yield pa.record_batch([pa.array([k for k, _ in part], pa.binary()), pa.array([v[0] for _, v in part], pa.int64()), pa.array([v[1] for _, v in part], pa.int64())], names=["digest", "keep_id", "group_size"])
 
 
+def _larger(a: int | None, b: int | None) -> int | None:
+    return max((x for x in (a, b) if x is not None), default=None)
+
+
+def _index(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Feed a task's digests, which come in order, through cuckoo indexes of bounded size and return the live entries.
+
+    Rows may have a step: 1 removes a digest, and what comes after it is inserted anew.
+    """
+    index, last = CuckooIndex(), None
+    for batch in batches:
+        for key, keep, size, *step in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if key != last and len(index) >= INDEX_ENTRIES:
+                yield from _entries(index)
+                index = CuckooIndex()
+            last = key
+            held = index.get(key)
+            if held is not None:
+                index.remove(key)
+            if step == [1]:
+                continue
+            if held is not None:
+                keep, size = _larger(keep, held[0]), size + held[1]
+            index.put(key, (keep, size))
+    yield from _entries(index)
+
+
 def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The live digests of ``docs``: digest, keep_id (largest id of the group), group_size."""
     keyed = docs.select(F.unhex(F.sha2(text_of(text_col), 256)).alias("digest"), F.col(id_col).cast("long").alias("keep_id"))
-    return keyed.mapInArrow(_combine, _PART).repartition("digest").mapInArrow(_index, _PART)
+    return keyed.mapInArrow(_combine, _PART).repartition("digest").sortWithinPartitions("digest").mapInArrow(_index, _PART)
 
 
 def update_index(index: DataFrame, added: DataFrame | None = None, removed: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -171,22 +193,7 @@ def update_index(index: DataFrame, added: DataFrame | None = None, removed: Data
     for part in parts[1:]:
         changes = changes.unionByName(part)
 
-    def apply(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        live = CuckooIndex()
-        for batch in batches:
-            for key, keep, size, step in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                held = live.get(key)
-                if held is not None:
-                    live.remove(key)
-                if step == 1:
-                    continue
-                if held is not None:
-                    keep, size = max((x for x in (keep, held[0]) if x is not None), default=None), size + held[1]
-                live.put(key, (keep, size))
-        rows = list(live.items())
-        yield pa.record_batch([pa.array([k for k, _ in rows], pa.binary()), pa.array([v[0] for _, v in rows], pa.int64()), pa.array([v[1] for _, v in rows], pa.int64())], names=["digest", "keep_id", "group_size"])
-
-    return changes.repartition("digest").sortWithinPartitions("step").mapInArrow(apply, _PART)
+    return changes.repartition("digest").sortWithinPartitions("digest", "step").mapInArrow(_index, _PART)
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -204,7 +211,15 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def survivors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with its own columns, one document of each group of equal texts."""
-    groups = build_index(docs, id_col, text_col).select(F.col("digest").alias("__x_digest"), F.col("keep_id").alias("__x_keep"))
-    keyed = docs.withColumn("__x_digest", F.unhex(F.sha2(text_of(text_col), 256)))
-    return keyed.join(groups, (keyed["__x_digest"] == groups["__x_digest"]) & keyed[id_col].cast("long").eqNullSafe(groups["__x_keep"]), "left_semi").drop("__x_digest")
+    """``docs`` with its own columns, one row of each group of equal texts.
+
+    It is of the largest id; of rows that repeat id and text any one stays.
+    Those are combined before they are shuffled.
+    """
+
+    def key(digest: Column, doc_id: Column) -> Column:
+        return F.concat(digest, F.coalesce(doc_id.cast("string"), F.lit("none")).cast("binary"))
+
+    groups = build_index(docs, id_col, text_col).select(key(F.col("digest"), F.col("keep_id")).alias("__x_key"))
+    keyed = docs.withColumn("__x_key", key(F.unhex(F.sha2(text_of(text_col), 256)), F.col(id_col).cast("long")))
+    return keyed.dropDuplicates(["__x_key"]).join(groups, "__x_key", "left_semi").select(docs.columns)

@@ -12,8 +12,8 @@ from .common import text_of
 
 #: Rows of each class, and bytes of text in all, that a model is fitted on.
 ROWS_PER_CLASS, SAMPLE_BYTES = 2000, 24 << 20
-#: Classes that a label may have.
-MAX_CLASSES = 1000
+#: Rows of all classes together.
+ROWS_IN_ALL = 20_000
 
 
 def held_out(id_col: str = "doc_id") -> Column:
@@ -25,33 +25,35 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, rows_per_class: int = RO
     """(text, label) of a bounded sample of rows.
 
     ``labels`` has doc_id and label.  About ``rows_per_class`` rows of each
-    class are taken by a hash of their id, then in hash order while their texts
-    fit ``sample_bytes`` together; a longer text is passed over.  Texts are
+    class, ``ROWS_IN_ALL`` rows together, are taken by a hash of their id, then in
+    hash order while their texts fit ``sample_bytes``; a text that does not fit,
+    or that has over a sixteenth of these bytes, is passed over.  Texts are
     whole, null labels and texts are passed over.  A row that is repeated counts
-    once; of an id with several texts any one is taken.
+    once; of an id with several texts the one with the least digest is taken.
     """
-    labels = labels.filter("doc_id is not null and label is not null").select(F.col("doc_id").cast("long").alias("__id"), F.col("label").cast("string").alias("__label")).distinct().withColumn("__order", F.xxhash64("__id"))
-    counts = labels.groupBy("__label").count().orderBy(F.desc("count"), "__label").limit(MAX_CLASSES).collect()
+    order = F.xxhash64("__id")
+    labels = labels.filter("doc_id is not null and label is not null").select(F.col("doc_id").cast("long").alias("__id"), F.col("label").cast("string").alias("__label"))
+    counts = labels.groupBy("__label").agg(F.approx_count_distinct("__id", 0.02).alias("n")).collect()  # a row for each class of the model
     if not counts:
         return []
-    rows_per_class = max(1, min(rows_per_class, 20_000 // len(counts)))
+    rows_per_class = max(1, min(rows_per_class, ROWS_IN_ALL // len(counts)))
     share = F.create_map(*[x for r in counts for x in (F.lit(r[0]), F.lit(min(1.0, rows_per_class / r[1])))])
-    taken = labels.filter((F.col("__order") / F.lit(float(1 << 63)) + 1) / 2 < share[F.col("__label")])
+    taken = labels.filter((order / F.lit(float(1 << 63)) + 1) / 2 < share[F.col("__label")]).distinct()
     texts = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).cast("string").alias("__text")).filter("__text is not null")
-    # ``taken`` has about rows_per_class rows of each class, 20 000 in all, by construction.
-    both = texts.join(F.broadcast(taken), "__id")
-    sizes = both.select("__order", "__label", F.octet_length("__text").alias("n")).distinct().collect()
-    total, limit = 0, -(1 << 63)
-    for r in sorted(sizes, key=lambda r: r["__order"]):
-        if total + r["n"] <= sample_bytes:
-            total += r["n"]
-        limit = r["__order"]
-        if total >= sample_bytes * 0.98:
-            break
-    largest = max(1, sample_bytes // 16)
-    rows = both.filter((F.col("__order") <= limit) & (F.octet_length("__text") <= largest)).select("__order", "__text", "__label").dropDuplicates(["__order", "__label"]).collect()
-    rows.sort(key=lambda r: (r[0], r[2], r[1]))
-    return [(r[1], r[2]) for r in rows]
+    # ``taken`` has about ROWS_IN_ALL rows at most, by the shares.
+    found = texts.join(F.broadcast(taken), "__id").select("__id", "__label", F.struct(F.sha2("__text", 256).alias("digest"), F.octet_length("__text").alias("size")).alias("t"))
+    sizes = found.groupBy("__id", "__label").agg(F.min("t").alias("t")).select("__id", "__label", "t.digest", "t.size", order.alias("order")).collect()
+    total, chosen = 0, []
+    for r in sorted(sizes, key=lambda r: (r["order"], r["__id"], r["__label"])):
+        if r["size"] <= sample_bytes // 16 and total + r["size"] <= sample_bytes:
+            total += r["size"]
+            chosen.append((r["__id"], r["digest"], r["__label"]))
+    if not chosen:
+        return []
+    wanted = docs.sparkSession.createDataFrame(sorted({(i, d) for i, d, _ in chosen}), "__id long, __digest string")
+    got = texts.join(F.broadcast(wanted), "__id").filter(F.sha2("__text", 256) == F.col("__digest"))
+    held = dict(got.groupBy("__id").agg(F.first("__text")).collect())  # all of one digest, so any is the first
+    return [(held[i], label) for i, _, label in chosen]
 
 
 def text_sample(docs: DataFrame, rows: int, id_col: str = "doc_id", text_col: str = "text") -> list[str]:

@@ -98,7 +98,7 @@ ORACLES: dict[str, str] = {
         select page_id, cast(n as bigint) payload_bytes, digest payload_digest, case when keep is null or keep = page_id then 'response' else 'revisit' end record_type,
             case when keep <> page_id then keep end refers_to,
             array_to_string(list_reverse(string_split(regexp_replace(regexp_replace(regexp_replace(host, '^.*@', ''), ':.*$', ''), '^www\.', ''), '.')), ',') || ')' || case when path = '' then '/' else path end url_key,
-            946684800 + page_id captured_at
+            946684800 + (page_id % 4294967296 + 4294967296) % 4294967296 captured_at
         from u
     """,
     "op10_sharding": f"""

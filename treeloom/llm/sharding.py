@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import checkpoint, text_of
@@ -81,7 +81,14 @@ def assign_shards(docs: DataFrame, limit: int = SHARD_BYTES, id_col: str = "doc_
     they exceed the limit together they fill pages ``<bits>.0``, ``<bits>.1``
     and so on.  Only id and text are read; no rows give no rows.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), hash_bits(id_col, text_col).alias("__h"), F.octet_length(text_of(text_col)).cast("long").alias("__n"))
+    placed = _placed(docs, [F.col(id_col).cast("long").alias("doc_id")], limit, id_col, text_col)
+    return placed.select("doc_id", F.col("__shard").alias("shard_id"), F.col("__n").alias("n_bytes"), "shard_bytes", (F.col("shard_bytes") > limit).alias("oversize"))
+
+
+def _placed(docs: DataFrame, carried: list[Column], limit: int, id_col: str, text_col: str) -> DataFrame:
+    """The columns ``carried`` of each row with its shard: __shard, __n and shard_bytes."""
+    rows = docs.select(*carried, hash_bits(id_col, text_col).alias("__h"), F.octet_length(text_of(text_col)).cast("long").alias("__n"))
+    names = rows.columns[: len(carried)]
     leaves = directory(rows.select("__h", "__n"), limit)
     depths = sorted(r[0] for r in leaves.select("depth").distinct().collect())  # at most one value a bit
     if not depths:
@@ -89,23 +96,39 @@ def assign_shards(docs: DataFrame, limit: int = SHARD_BYTES, id_col: str = "doc_
     at = rows.withColumn("depth", F.explode(F.array(*[F.lit(d) for d in depths]))).withColumn("prefix", _prefix(F.col("__h"), F.col("depth")))
     placed = at.join(leaves, ["depth", "prefix"])
     bits = F.when(F.col("depth") == 0, F.lit("")).otherwise(F.lpad(F.bin("prefix"), F.col("depth"), F.lit("0")))
-    whole = placed.filter("pages = 1").select("doc_id", bits.alias("shard_id"), F.col("__n").alias("n_bytes"), "shard_bytes")
-    paged = _pages(placed.filter("pages > 1"), bits, limit)
-    return whole.unionByName(paged).withColumn("oversize", F.col("shard_bytes") > limit)
+    whole = placed.filter("pages = 1").select(*names, bits.alias("__shard"), "__n", "shard_bytes")
+    if leaves.filter("pages > 1").isEmpty():
+        return whole
+    return whole.unionByName(_pages(placed.filter("pages > 1"), names, bits, limit))
 
 
-def _pages(placed: DataFrame, bits: Column, limit: int) -> DataFrame:
-    """Equal rows of a leaf, filled into pages; all are of one size."""
-    from pyspark.sql import Window
+def _pages(placed: DataFrame, names: list[str], bits: Column, limit: int) -> DataFrame:
+    """Equal rows of a leaf, filled into pages; all are of one size.
 
+    Rows are ranked within the partition that they come from, which goes on from
+    the numbers of rows of those before it, so no task has all of a leaf.
+    """
+    part = ["depth", "prefix", "__part"]
+    held = checkpoint(placed.withColumn("__part", F.spark_partition_id()), "pages")
+    before = Window.partitionBy("depth", "prefix").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = held.groupBy(part).count().withColumn("__before", F.coalesce(F.sum("count").over(before), F.lit(0))).drop("count")
     each = F.greatest(F.lit(1), F.floor(F.lit(limit) / F.greatest(F.lit(1), F.col("__n"))))
-    page = F.floor((F.row_number().over(Window.partitionBy("depth", "prefix").orderBy("doc_id")) - 1) / each)
-    held = F.least(each, F.col("shard_rows") - F.col("page") * each) * F.col("__n")
-    return placed.withColumn("page", page).select("doc_id", F.concat(bits, F.lit("."), F.col("page").cast("string")).alias("shard_id"), F.col("__n").alias("n_bytes"), held.cast("long").alias("shard_bytes"))
+    rank = F.row_number().over(Window.partitionBy(part).orderBy("__n")) - 1
+    ranked = held.withColumn("__rank", rank).join(counts, part)
+    ranked = ranked.withColumn("__page", F.floor((F.col("__rank") + F.col("__before")) / each))
+    size = F.least(each, F.col("shard_rows") - F.col("__page") * each) * F.col("__n")
+    return ranked.select(*names, F.concat(bits, F.lit("."), F.col("__page").cast("string")).alias("__shard"), "__n", size.cast("long").alias("shard_bytes"))
 
 
-def write_shards(docs: DataFrame, path: str, limit: int = SHARD_BYTES, id_col: str = "doc_id", text_col: str = "text") -> None:
-    """Write ``docs`` with one folder for each shard, each by one task."""
-    shards = assign_shards(docs, limit, id_col, text_col).select(F.col("doc_id").alias("__x_id"), "shard_id").dropDuplicates(["__x_id"])
-    placed = docs.join(shards, docs[id_col].cast("long").eqNullSafe(shards["__x_id"])).drop("__x_id")
-    placed.repartition("shard_id").write.partitionBy("shard_id").parquet(path)
+def write_shards(docs: DataFrame, path: str, limit: int = SHARD_BYTES, id_col: str = "doc_id", text_col: str = "text", shard_col: str = "shard_id") -> None:
+    """Write ``docs`` with one folder for each shard, each by one task.
+
+    Every row is written once, whatever it repeats.  Folders are named by
+    ``shard_col`` and the bits of the shard after a ``b``, so that they are read back as text;
+    where ``docs`` has a column of that name, underscores are added to it.
+    """
+    while shard_col in docs.columns:
+        shard_col += "_"
+    placed = _placed(docs, [F.struct(*docs.columns).alias("__row")], limit, id_col, text_col)
+    named = placed.select("__row.*", F.concat(F.lit("b"), "__shard").alias(shard_col))
+    named.repartition(shard_col).write.partitionBy(shard_col).parquet(path)
