@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from treeloom.operators import checks, diagnostics, gates, nim, nodes, registry, tree, views
 from treeloom.operators import json as strict
-from treeloom.plans import catalog
+from treeloom.plans import cases, catalog  # noqa: F401  cases adds its queries to the catalogue
 from treeloom.sources import artifact, files
 from treeloom.streaming import parse as streaming
 

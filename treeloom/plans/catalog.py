@@ -64,6 +64,9 @@ _BARE = """
 """
 
 
+_VOID = "name in ('area', 'base', 'br', 'col', 'embed', 'hr', 'img', 'input', 'link', 'meta', 'param', 'source', 'track', 'wbr')"
+
+
 @query(f"""
     with s as ({_BARE})
     select lower(t) as tag, count(*) as n
@@ -155,7 +158,20 @@ def html_unclosed_diags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nodes.diagnose(pages(spark, sf_dir), "html").groupBy("code").agg(F.count("*").alias("n"))
 
 
-@query()
+@query(f"""
+    with recursive s as ({_BARE}), t as (
+        select page_id, unnest(toks) tok, generate_subscripts(toks, 1) i from (select page_id, regexp_extract_all(h, '</?[a-zA-Z][^>]*>') toks from s)),
+    n as (select page_id, i, tok like '</%' closes, lower(regexp_extract(tok, '^</?([a-zA-Z][a-zA-Z0-9]*)', 1)) name, tok like '%/>' as done from t),
+    r as (
+        select page_id, cast(0 as bigint) i, cast([] as varchar[]) stack, 0 depth from s
+        union all
+        select r.page_id, n.i,
+            case when closes then case when list_contains(stack, name) then stack[1:len(stack) - list_position(list_reverse(stack), name)] else stack end
+                when done or {_VOID} then stack else list_append(stack, name) end,
+            greatest(depth, len(stack) + case when closes then 0 else 1 end)
+        from r join n on n.page_id = r.page_id and n.i = r.i + 1)
+    select page_id as doc_id, cast(max(depth) as bigint) as depth from r group by 1
+""")
 def html_max_nesting_elem(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tree.max_nesting(nodes.parse_nodes(pages(spark, sf_dir), "html", tags=("elem",)), "elem").drop("doc_key")
 
@@ -177,14 +193,16 @@ def css_selectors_from_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.css_selectors(style_docs(spark, sf_dir)).select("doc_id", "selector")
 
 
-_PART_CSS = "'.p' || p_partkey || '{width:' || p_size || 'px;color:red /* c */ !important}@media x{a{b:c}}'"
+PART_CSS = "repeat('i{}', cast(p_partkey % 3 as int)) || '.p' || p_partkey || '{width:' || p_size || 'px;color:red /* c */ !important}@media x{' || repeat('a{b:c}', cast(p_partkey % 4 as int)) || '}'"
 
 
 def part_css(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spread(table(spark, sf_dir, "part")).select(F.col("p_partkey").alias("doc_id"), F.concat(F.lit(".p"), "p_partkey", F.lit("{width:"), "p_size", F.lit("px;color:red /* c */ !important}@media x{a{b:c}}")).alias("content"))
+    k = F.col("p_partkey")
+    parts = (F.repeat(F.lit("i{}"), (k % 3).cast("int")), F.lit(".p"), k, F.lit("{width:"), "p_size", F.lit("px;color:red /* c */ !important}@media x{"), F.repeat(F.lit("a{b:c}"), (k % 4).cast("int")), F.lit("}"))
+    return spread(table(spark, sf_dir, "part")).select(k.alias("doc_id"), F.concat(*parts).alias("content"))
 
 
-@query(f"select p_partkey as doc_id, md5({_PART_CSS}) as digest from part")
+@query(f"select p_partkey as doc_id, md5({PART_CSS}) as digest from part")
 def css_roundtrip_md5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tree.render(nodes.parse_nodes(part_css(spark, sf_dir), "css"), "css").select("doc_id", F.md5("content").alias("digest"))
 
@@ -192,26 +210,28 @@ def css_roundtrip_md5(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""
     select p_partkey as doc_id, '.p' || p_partkey as selector, '' as at_rule, 'width' as prop, p_size || 'px' as value from part
     union all select p_partkey, '.p' || p_partkey, '', 'color', 'red !important' from part
-    union all select p_partkey, 'a', '@media', 'b', 'c' from part
+    union all select p_partkey, 'a', '@media', 'b', 'c' from part, range(3) r(i) where i < p_partkey % 4
 """)
 def css_declarations_generated(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.css_declarations(part_css(spark, sf_dir)).select("doc_id", "selector", "at_rule", "prop", "value")
 
 
 def part_js(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = F.col("p_partkey").cast("string")
-    return spread(table(spark, sf_dir, "part")).select(F.col("p_partkey").alias("doc_id"), F.concat(F.lit("var x = "), n, F.lit(" / 2; var r = /a{"), n, F.lit("}/g; f(["), n, F.lit("]);")).alias("content"))
+    """A division and a regular expression for each row, and one bracket in another for up to four levels."""
+    n, deep = F.col("p_partkey").cast("string"), (F.col("p_partkey") % 5).cast("int")
+    parts = (F.lit("var x = "), n, F.lit(" / 2; var r = /a{"), n, F.lit("}/g; "), F.repeat(F.lit("f(["), deep), n, F.repeat(F.lit("])"), deep), F.lit(";"))
+    return spread(table(spark, sf_dir, "part")).select(F.col("p_partkey").alias("doc_id"), F.concat(*parts).alias("content"))
 
 
 @query("""
-    select kind, cast(n * (select count(*) from part) as bigint) as n
-    from (values ('kw', 2), ('name', 3), ('num', 3), ('regex', 1), ('op', 10), ('ws', 10)) v(kind, n)
+    select kind, cast(a * count(*) + b * sum(p_partkey % 5) as bigint) as n
+    from part, (values ('kw', 2, 0), ('name', 2, 1), ('num', 3, 0), ('regex', 1, 0), ('op', 6, 4), ('ws', 10, 0)) v(kind, a, b) group by kind, a, b
 """)
 def js_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nodes.tokenize(part_js(spark, sf_dir), "js").groupBy("kind").agg(F.count("*").alias("n"))
 
 
-@query("select p_partkey as doc_id, cast(2 as bigint) as n, cast(2 as bigint) as depth from part")
+@query("select p_partkey as doc_id, cast(2 * (p_partkey % 5) as bigint) as n, cast(2 * (p_partkey % 5) as bigint) as depth from part where p_partkey % 5 > 0")
 def js_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tree.nesting(nodes.parse_nodes(part_js(spark, sf_dir), "js", tags=("group",)), "group").drop("doc_key")
 
@@ -238,13 +258,14 @@ def json_tape_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def order_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Order as JSON with a repeated key, a number spelt as an exponent and its status nested."""
-    k = F.col("o_orderkey").cast("string")
-    return spread(table(spark, sf_dir, "orders")).select(F.col("o_orderkey").alias("doc_id"), F.concat(F.lit('{"o":'), k, F.lit(',"p":1.50e1,"p":'), k, F.lit(',"s":{"v":"'), "o_orderstatus", F.lit('"},"l":[1,[2]]}')).alias("content"))
+    """Order as JSON with a repeated key, a number spelt as an exponent, its status nested, and arrays of up to five levels."""
+    k, deep = F.col("o_orderkey").cast("string"), (F.col("o_orderkey") % 5).cast("int")
+    parts = (F.lit('{"o":'), k, F.lit(',"p":1.50e'), deep.cast("string"), F.lit(',"p":'), k, F.lit(',"s":{"v":"'), "o_orderstatus", F.lit('"},"l":[1'), F.repeat(F.lit(",[2"), deep), F.repeat(F.lit("]"), deep), F.lit("]}"))
+    return spread(table(spark, sf_dir, "orders")).select(F.col("o_orderkey").alias("doc_id"), F.concat(*parts).alias("content"))
 
 
 @query("""
-    select o_orderkey as doc_id, v.ordinal, v.key, v.kind, case v.ordinal when 0 then cast(o_orderkey as varchar) when 1 then '1.50e1' when 2 then cast(o_orderkey as varchar) end as lexeme
+    select o_orderkey as doc_id, v.ordinal, v.key, v.kind, case v.ordinal when 0 then cast(o_orderkey as varchar) when 1 then '1.50e' || o_orderkey % 5 when 2 then cast(o_orderkey as varchar) end as lexeme
     from orders, (values (0, 'o', 'int'), (1, 'p', 'float'), (2, 'p', 'int'), (3, 's', 'object'), (4, 'l', 'array')) v(ordinal, key, kind)
 """)
 def json_members_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -256,12 +277,12 @@ def json_duplicate_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return strict.duplicate_keys(strict.tape(order_docs(spark, sf_dir))).select("doc_id", "key", "n")
 
 
-@query("select o_orderkey as doc_id, cast(3 as bigint) as depth from orders")
+@query("select o_orderkey as doc_id, cast(2 + o_orderkey % 5 as bigint) as depth from orders")
 def json_max_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
     return strict.tape(order_docs(spark, sf_dir)).groupBy("doc_id").agg(F.max(F.col("depth")).cast("long").alias("depth"))
 
 
-@query("select o_orderkey as doc_id, '1.50e1' as lexeme from orders")
+@query("select o_orderkey as doc_id, '1.50e' || o_orderkey % 5 as lexeme from orders")
 def json_number_lexemes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return strict.first_member(strict.tape(order_docs(spark, sf_dir)), "p").select("doc_id", "lexeme")
 
@@ -304,10 +325,13 @@ def md_text_lines_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def nation_md(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("doc_id"), F.concat(F.lit("# "), "n_name", F.lit("\n\n- a\n- b\n  more\n\n```\n# fake\n- fake\n```\ntext\ntext\n> q\n")).alias("content"))
+    return table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("doc_id"), F.concat(F.lit("# "), "n_name", F.lit("\n\n- a\n- b\n  more\n"), F.repeat(F.lit("- c\n"), (F.col("n_nationkey") % 4).cast("int")), F.lit("\n```\n# fake\n- fake\n```\ntext\ntext\n> q\n")).alias("content"))
 
 
-@query("select v.tag, cast(v.n * (select count(*) from nation) as bigint) as n from (values ('heading', 1), ('list', 1), ('item', 2), ('fence', 1), ('para', 1), ('quote', 1)) v(tag, n)")
+@query("""
+    select v.tag, cast(v.a * count(*) + v.b * sum(n_nationkey % 4) as bigint) as n
+    from nation, (values ('heading', 1, 0), ('list', 1, 0), ('item', 2, 1), ('fence', 1, 0), ('para', 1, 0), ('quote', 1, 0)) v(tag, a, b) group by v.tag, v.a, v.b
+""")
 def md_block_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tree.tag_counts(nodes.parse_nodes(nation_md(spark, sf_dir), "md").filter("raw is null and tag <> 'doc'"))
 
@@ -320,11 +344,17 @@ def md_fence_swallow(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def order_yaml(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as YAML, with up to three flow collections and a block scalar that looks like entries."""
     k = F.col("o_orderkey").cast("string")
-    return spread(table(spark, sf_dir, "orders")).select(F.col("o_orderkey").alias("doc_id"), F.concat(F.lit("---\norders:\n  - key: "), k, F.lit("\n    status: "), "o_orderstatus", F.lit("\n    note: |\n      - not an item\n      k: v\n  - {a: 1, b: [2, 3]}\n...\n")).alias("content"))
+    flows = F.repeat(F.lit("  - {a: 1, b: [2, 3]}\n"), (F.col("o_orderkey") % 4).cast("int"))
+    parts = (F.lit("---\norders:\n  - key: "), k, F.lit("\n    status: "), "o_orderstatus", F.lit("\n    note: |\n      - not an item\n      k: v\n"), flows, F.lit("...\n"))
+    return spread(table(spark, sf_dir, "orders")).select(F.col("o_orderkey").alias("doc_id"), F.concat(*parts).alias("content"))
 
 
-@query("select o_orderkey as doc_id, v.tag, cast(v.n as bigint) as n from orders, (values ('doc', 1), ('item', 4), ('entry', 6), ('scalar', 1), ('flow', 2)) v(tag, n)")
+@query("""
+    select o_orderkey as doc_id, v.tag, cast(v.a + v.b * (o_orderkey % 4) as bigint) as n
+    from orders, (values ('doc', 1, 0), ('item', 1, 3), ('entry', 4, 2), ('scalar', 1, 0), ('flow', 0, 2)) v(tag, a, b) where v.a + v.b * (o_orderkey % 4) > 0
+""")
 def yaml_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = nodes.parse_nodes(order_yaml(spark, sf_dir), "yaml", tags=("doc", "item", "entry", "scalar", "flow"))
     return found.groupBy("doc_id", "tag").agg(F.count("*").alias("n"))
@@ -366,10 +396,12 @@ def cfg_entries_vs_switches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def part_py(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spread(table(spark, sf_dir, "part")).select(F.col("p_partkey").alias("doc_id"), F.concat(F.lit("def f():\n\n    if x:\n        return "), "p_partkey", F.lit("\n")).alias("content"))
+    k = F.col("p_partkey")
+    parts = (F.lit("def f():\n\n    if x:\n        return "), k, F.lit("\n"), F.repeat(F.lit("    y = (1,\n  2)\n"), (k % 4).cast("int")))
+    return spread(table(spark, sf_dir, "part")).select(k.alias("doc_id"), F.concat(*parts).alias("content"))
 
 
-@query("select p_partkey as doc_id, cast(3 as bigint) as stmts, cast(2 as bigint) as blocks from part")
+@query("select p_partkey as doc_id, cast(3 + p_partkey % 4 as bigint) as stmts, cast(2 as bigint) as blocks from part")
 def py_stmt_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = nodes.parse_nodes(part_py(spark, sf_dir), "py", tags=("stmt", "block"))
     return found.groupBy("doc_id").agg(F.count_if(F.col("tag") == "stmt").alias("stmts"), F.count_if(F.col("tag") == "block").alias("blocks"))
@@ -377,10 +409,12 @@ def py_stmt_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def part_vds(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.col("p_size").cast("string")
-    return spread(table(spark, sf_dir, "part")).select(F.col("p_partkey").alias("doc_id"), F.concat(F.lit("<a> | <b> && <c>{1,"), n, F.lit("} || [ x y ]#")).alias("content"))
+    return spread(table(spark, sf_dir, "part")).select(F.col("p_partkey").alias("doc_id"), F.concat(F.lit("<a> | <b> && <c>{1,"), n, F.lit("} || [ x y ]#"), F.repeat(F.lit(" || [ z w ]"), (F.col("p_partkey") % 3).cast("int"))).alias("content"))
 
 
-@query("select p_partkey as doc_id, v.tag, cast(v.n as bigint) as n from part, (values ('alt', 1), ('any', 1), ('all', 1), ('comp', 2), ('group', 1), ('juxta', 1)) v(tag, n)")
+@query("""
+    select p_partkey as doc_id, v.tag, cast(v.a + v.b * (p_partkey % 3) as bigint) as n from part, (values ('alt', 1, 0), ('any', 1, 0), ('all', 1, 0), ('comp', 2, 0), ('group', 1, 1), ('juxta', 1, 1)) v(tag, a, b)
+""")
 def vds_precedence(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = nodes.parse_nodes(part_vds(spark, sf_dir), "vds", tags=("alt", "any", "all", "juxta", "comp", "group"))
     return found.groupBy("doc_id", "tag").agg(F.count("*").alias("n"))
@@ -478,10 +512,11 @@ def nim_bracket_diags(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-    select p_partkey as doc_id, v.tag, cast(v.n as bigint) as n from part, (values ('proc', 1), ('param', 2), ('if', 1), ('infix', 2), ('call', 1), ('ret', 1)) v(tag, n)
+    select p_partkey as doc_id, v.tag, cast(v.a + v.b * (p_partkey % 3) as bigint) as n from part, (values ('proc', 1, 0), ('param', 2, 0), ('if', 1, 0), ('infix', 2, 0), ('call', 1, 1), ('ret', 1, 0)) v(tag, a, b)
 """)
 def nim_tree_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    source = F.concat(F.lit("proc f(a: int, b = "), F.col("p_partkey").cast("string"), F.lit("): int =\n  if a > b:\n    return g(a - 1, b)\n"))
+    key = F.col("p_partkey")
+    source = F.concat(F.lit("proc f(a: int, b = "), key.cast("string"), F.lit("): int =\n  if a > b:\n    return g(a - 1, b)\n"), F.repeat(F.lit("  h(a)\n"), (key % 3).cast("int")))
     docs = spread(table(spark, sf_dir, "part")).select(F.col("p_partkey").alias("doc_id"), source.alias("content"))
     wanted = nim.parse_nodes(docs).filter("tag in ('proc', 'param', 'if', 'infix', 'call', 'ret')")
     return wanted.groupBy("doc_id", "tag").agg(F.count("*").alias("n"))
@@ -508,7 +543,7 @@ def json_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-    select o_orderkey as doc_id, '[{"key":"o","kind":"int","lexeme":"' || o_orderkey || '"},{"key":"p","kind":"float","lexeme":"1.50e1"},{"key":"p","kind":"int","lexeme":"' || o_orderkey
+    select o_orderkey as doc_id, '[{"key":"o","kind":"int","lexeme":"' || o_orderkey || '"},{"key":"p","kind":"float","lexeme":"1.50e' || o_orderkey % 5 || '"},{"key":"p","kind":"int","lexeme":"' || o_orderkey
         || '"},{"key":"s","kind":"object"},{"key":"l","kind":"array"}]' as pairs from orders
 """)
 def json_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
