@@ -39,12 +39,10 @@ LENGTH, WORDS, SHORT = 400, 51, 272
 #: Bytes of the k-grams that own windows.
 GRAM = 32
 #: Bytes of text that are scanned at a time, and of super-windows in a shard's index.
-SCAN_BYTES, INDEX_BYTES = 1 << 20, 2 << 20
+SCAN_BYTES, INDEX_BYTES = 1 << 20, 1 << 19
 #: Owners with more different super-windows than this have their windows counted one by one.
 HOT_OWNER = 4000
 _PLACE = (1 << 24) - 1
-#: No window begins here.
-NEVER = 1 << 40
 #: No hash: there is nothing that far on that side of an owner.  Where sides are not told apart, all agree.
 NO_SIDE, ANY_SIDE = 0, 1
 _SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
@@ -130,33 +128,24 @@ def _sides(h: np.ndarray, first: np.ndarray, owner: np.ndarray, end: np.ndarray,
     return hashed(owner - side, owner - side >= first) << 32 | hashed(owner + gram, owner + gram + side <= end)
 
 
-def word_begins(data: np.ndarray, string: np.ndarray) -> np.ndarray:
-    """Where a byte is no white space and the byte before it is, or is of another string."""
-    space = _SPACE[data]
-    fresh = ~space
-    fresh[1:] &= space[:-1] | (string[1:] != string[:-1])
-    return fresh
-
+def word_passages(data: np.ndarray, starts: np.ndarray, words: int, short: int, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where words begin in strings that begin at ``starts``, which string each is of, and the bytes of the passage from there.
 
-def passage_needs(data: np.ndarray, string: np.ndarray, words: int, short: int, length: int) -> np.ndarray:
-    """Bytes of the passage from each position, counting the word there from that position on; NEVER on white space.
-
-    ``data`` are bytes, ``string`` says which string each belongs to.  A
-    passage reaches the first byte of its last word, so its own bytes say how
+    A passage reaches the first byte of its last word, so its own bytes say how
     long it is.  Where the string has too few words left it is ``length``.
     """
-    fresh = word_begins(data, string)
+    space = _SPACE[data]
+    fresh = ~space
+    fresh[1:] &= space[:-1]
+    some = starts[starts < len(data)]
+    fresh[some] = ~space[some]
     begins = np.flatnonzero(fresh)
-    out = np.full(len(data), NEVER, np.int64)
-    at = np.flatnonzero(~_SPACE[data])
-    if not len(at):
-        return out
-    last = np.cumsum(fresh)[at] - 1 + words - 1
+    string = np.searchsorted(starts, begins, "right") - 1
+    last = np.arange(len(begins)) + words - 1
     known = last < len(begins)
-    stop = begins[np.minimum(last, len(begins) - 1)]
-    known &= string[stop] == string[at]
-    out[at] = np.where(known, np.clip(stop + 1 - at, short, length), length)
-    return out
+    last = np.minimum(last, len(begins) - 1)
+    known &= string[last] == string
+    return begins, string, np.where(known, np.clip(begins[last] + 1 - begins, short, length), length)
 
 
 def unions(string: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -341,16 +330,13 @@ def _passages(pieces: list[Piece], words: int, short: int, length: int) -> tuple
     """
     sizes = np.array([len(x.data) for x in pieces], np.int64)
     begins = np.cumsum(sizes) - sizes
-    string = np.repeat(np.arange(len(pieces)), sizes)
     data = np.frombuffer(b"".join(x.data for x in pieces), np.uint8)
-    need = passage_needs(data, string, words, short, length)
-    fresh = word_begins(data, string)
-    fresh[begins] &= np.array([x.fresh for x in pieces])
-    place = np.arange(len(data)) - begins[string]
-    at = np.flatnonzero(fresh & (place < np.array([x.windows for x in pieces])[string]) & (place + need <= sizes[string]))
-    string, low, high = string[at], place[at], place[at] + need[at]
+    at, string, need = word_passages(data, begins, words, short, length)
+    place = at - begins[string]
+    use = ((place > 0) | np.array([x.fresh for x in pieces])[string]) & (place < np.array([x.windows for x in pieces])[string]) & (place + need <= sizes[string])
+    string, low, high = string[use], place[use], place[use] + need[use]
     digest = xxhash.xxh3_64_intdigest
-    key = np.fromiter((digest(pieces[i].data[a:b], pieces[i].owner & (1 << 64) - 1) for i, a, b in zip(string.tolist(), low.tolist(), high.tolist(), strict=True)), np.uint64, len(at))
+    key = np.fromiter((digest(pieces[i].data[a:b], pieces[i].owner & (1 << 64) - 1) for i, a, b in zip(string.tolist(), low.tolist(), high.tolist(), strict=True)), np.uint64, len(string))
     return string, low, high, key
 
 
@@ -427,13 +413,12 @@ def _hot_windows(length: int, words: int, short: int):  # noqa: ANN202
             out: list[tuple] = []
             for h1, h2, w, piece, fresh in found:
                 data = np.frombuffer(piece, np.uint8)
-                need = passage_needs(data, np.zeros(len(data), np.int64), words, short, length)[: w["windows"]].tolist()
-                for at in range(w["windows"]):
-                    low = w["start"] + at
-                    if at + length <= len(piece):
-                        out.append((digest(piece[at : at + length], WINDOW), w["n"], h1, h2, WINDOW, low, low + length))
-                    if need[at] <= len(piece) - at and (fresh if at == 0 else _may_begin(piece, at)):
-                        out.append((digest(piece[at : at + need[at]], PASSAGE), w["n"], h1, h2, PASSAGE, low, low + need[at]))
+                start, begins, _, need = w["start"], *word_passages(data, np.zeros(1, np.int64), words, short, length)
+                for at in range(min(w["windows"], len(piece) - length + 1)):
+                    out.append((digest(piece[at : at + length], WINDOW), w["n"], h1, h2, WINDOW, start + at, start + at + length))
+                for at, size in zip(begins.tolist(), need.tolist(), strict=True):
+                    if at < w["windows"] and at + size <= len(piece) and (at or fresh):
+                        out.append((digest(piece[at : at + size], PASSAGE), w["n"], h1, h2, PASSAGE, start + at, start + at + size))
                 if len(out) >= 20_000:
                     yield batch_of(out)
                     out = []
@@ -470,7 +455,9 @@ def repeated_spans(texts: DataFrame, length: int = LENGTH, words: int = WORDS, s
             alike = F.count("*").over(Window.partitionBy("owner", side)) > 1
             sided = sided.withColumn(f"{side}s", (F.col("kinds") > 1) & (F.col(side) != NO_SIDE) & alike)
         near = sided.withColumn("near", F.col("lefts") | F.col("rights")).filter("n > 1 or near")
-        near = near.withColumn("hot", F.sum(F.col("near").cast("int")).over(Window.partitionBy("owner")) > HOT_OWNER)
+        of_owner = Window.partitionBy("owner")
+        near = near.withColumn("hot", F.sum(F.col("near").cast("int")).over(of_owner) > HOT_OWNER).withColumn("new", F.min(F.when(F.col("near"), F.col("n"))).over(of_owner) == 1)
+        near = near.withColumn("near", F.col("near") & F.col("new")).filter("n > 1 or near")  # where all are repeated there is nothing to compare
         groups = checkpoint(near.select("owner", "content", "n", "near", "hot"), "owners")
         located = checkpoint(scanned.drop("sides").join(groups, ["owner", "content"]).filter("near or copies = 1"), "located")
         release(spark)
@@ -510,22 +497,18 @@ def covered(data: np.ndarray, ends: np.ndarray, spans: tuple[np.ndarray, ...], l
     gone = (kind != PASSAGE) & (high - low >= length)
     windows = unions(of[gone], low[gone], high[gone])
     whole = kind == WHOLE
-    string = np.repeat(np.arange(len(ends)), np.diff(ends, prepend=0))
-    begins = np.flatnonzero(word_begins(data, string)) if whole.any() else np.zeros(0, np.int64)
-    if len(begins):
+    begins = stops = string = np.zeros(0, np.int64)
+    if whole.any():
+        begins, string, need = word_passages(data, np.append(0, ends[:-1]), words, short, length)
+        stops = begins + need
         # How far the repeated stretch goes that a word begins in: the furthest of those that began before.
         order = np.argsort(low[whole])
         from_, reach = low[whole][order], np.maximum.accumulate(high[whole][order])
         at = np.searchsorted(from_, begins, "right") - 1
-        inside = (at >= 0) & (begins < reach[at])
-        begins, at = begins[inside], at[inside]
-        stops = begins + passage_needs(data, string, words, short, length)[begins]
-        hit = stops <= reach[at]
-        begins, stops = begins[hit], stops[hit]
-    else:
-        stops = begins
+        hit = (at >= 0) & (stops <= reach[at])
+        begins, stops, string = begins[hit], stops[hit], string[hit]
     own = kind == PASSAGE
-    return windows, unions(np.concatenate([of[own], string[begins]]), np.concatenate([low[own], begins]), np.concatenate([high[own], stops]))
+    return windows, unions(np.concatenate([of[own], string]), np.concatenate([low[own], begins]), np.concatenate([high[own], stops]))
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, words: int = WORDS, short: int = SHORT, with_kept: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
