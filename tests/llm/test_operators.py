@@ -427,7 +427,7 @@ def test_simhash(docs, none):
 
 
 @pytest.mark.parametrize("block", [20_000, 7])
-@pytest.mark.parametrize("partitions", [4, 5, 6])
+@pytest.mark.parametrize("partitions", [2, 3, 4, 6])
 def test_links_connect_all_within_distance(spark, block, partitions):
     rng = np.random.default_rng(partitions)
     centres = rng.integers(0, 1 << 63, 6, dtype=np.int64)
@@ -461,6 +461,26 @@ def test_allocation_covers_the_distance():
     assert pairs.round().tolist() == [14, 10, 12]
 
 
+def test_partitions_follow_the_number_of_fingerprints():
+    """Fewer and wider partitions the more there are, by the estimate for evenly spread bits."""
+
+    def cheapest(total):
+        def cost(n):
+            widths = [64 // n + (i < 64 % n) for i in range(n)]
+            parts = [[np.full(1 << len(p), total / (1 << len(p))) for p in simhash.pieces_of(list(range(w)))] for w in widths]
+            costs = [simhash.costs_of(p, w, total, 4) for p, w in zip(parts, widths, strict=True)]
+            return sum(c[t] for c, t in zip(costs, simhash.allocate(costs, 4), strict=True) if t >= 0)
+
+        return min(simhash.PARTITIONS, key=cost)
+
+    assert [cheapest(n) for n in (10**5, 10**9, 10**11)] == [4, 3, 2]
+
+
+def test_blocks_count_members_and_probes():
+    blocks = simhash.blocks_of(np.array([5, 4]), np.array([30, 25]), simhash.masks(4, 1), 20)
+    assert blocks[np.array([5, 4, 7, 0, 6, 9])].tolist() == [3, 3, 2, 2, 2, 1]
+
+
 # --- learned operators
 
 

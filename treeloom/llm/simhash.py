@@ -3,15 +3,18 @@
 The 64 bits are grouped into partitions of correlated bits.  Two fingerprints
 within distance T agree in some partition i up to its threshold T_i whenever
 the T_i + 1 add up to T + 1; a dynamic programme picks the thresholds with the
-fewest candidates, counted from the histograms of the partitions.  Distinct
-fingerprints are probed by partition value, candidates are verified on all
-bits, and each bucket gives a spanning forest of its links, never all pairs.
+fewest candidates and probes, estimated from the histograms of the partitions.
+The more fingerprints there are, the fewer and wider partitions are worth their
+probes, so their number follows from the same estimate.  Distinct fingerprints
+are probed by partition value, candidates are verified on all bits, and each
+bucket gives a spanning forest of its links, never all pairs.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +25,13 @@ from pyspark.sql import functions as F
 from .common import checkpoint, text_of
 from .components import components
 
-WORDS, SEED, DISTANCE, PARTITIONS = 4, 42, 4, 4
+WORDS, SEED, DISTANCE = 4, 42, 4
+#: Numbers of partitions that are weighed against each other; fewer than 4 where there are so many fingerprints.
+PARTITIONS, MANY = (4, 3, 2), 1 << 22
+#: Bits of a histogram, which is counted exactly; wider partitions are estimated from parts of such a width.
+HISTOGRAM_BITS = 16
+#: Candidates that cost as much as one probe.
+PROBE_COST = 250.0
 #: Members of a bucket that one task compares; larger buckets are dealt out block by block.
 BLOCK = 20_000
 LOWER = bytes(i + 32 if 65 <= i <= 90 else i for i in range(256))
@@ -118,6 +127,25 @@ def _histograms(groups: list[list[int]]):  # noqa: ANN202
     return run
 
 
+def pieces_of(group: list[int]) -> list[list[int]]:
+    """A partition's bits in parts that have a histogram."""
+    parts = -(-len(group) // HISTOGRAM_BITS)
+    return [group[i::parts] for i in range(parts)]
+
+
+def costs_of(histograms: list[np.ndarray], width: int, total: int, distance: int) -> np.ndarray:
+    """Candidates and probes of a partition for each threshold up to ``distance``.
+
+    Of a partition in several parts, distances are taken to be independent from one part to another.
+    """
+    pairs = np.ones(1)
+    for held in histograms:
+        pairs = np.convolve(pairs, pairs_by_distance(held) / max(1, total) ** 2)
+    pairs = np.pad(pairs, (0, distance + 1))[: distance + 1]
+    probes = np.array([comb(width, t) for t in range(distance + 1)], float)
+    return np.cumsum(pairs) * total**2 + np.cumsum(probes) * total * PROBE_COST
+
+
 def pairs_by_distance(histogram: np.ndarray) -> np.ndarray:
     """How many ordered pairs of members differ in 0, 1, 2, ... bits, by the Walsh-Hadamard transform."""
     x = histogram.astype(np.float64)
@@ -154,26 +182,54 @@ def allocate(costs: list[np.ndarray], distance: int) -> list[int]:
     return best[need][1]
 
 
+class Blocks:
+    """Into how many blocks the members and probes of each bucket are dealt out: one, unless they are more than a block."""
+
+    def __init__(self, values: np.ndarray, parts: np.ndarray) -> None:
+        order = np.argsort(values)
+        self.values, self.parts = values[order], parts[order]
+
+    def __getitem__(self, value: np.ndarray) -> np.ndarray:
+        if not len(self.values):
+            return np.ones(len(value), np.int64)
+        at = np.minimum(np.searchsorted(self.values, value), len(self.values) - 1)
+        return np.where(self.values[at] == value, self.parts[at], 1)
+
+
+def blocks_of(values: np.ndarray, counts: np.ndarray, around: np.ndarray, block: int) -> Blocks:
+    """The blocks of buckets, of the values that have more than their share of a block of members.
+
+    ``around`` are the masks of the probes: a bucket is probed by the members of
+    the buckets around it.  Values left out add less than a block in all.
+    """
+    buckets = np.concatenate([values, *(values ^ mask for mask in around)]) if len(values) else values
+    members = np.tile(counts, len(around) + 1) if len(values) else counts
+    own, at = np.unique(buckets, return_inverse=True)
+    held = np.bincount(at, members, len(own)) if len(own) else np.zeros(0)
+    parts = np.ceil(held / block).astype(np.int64)
+    return Blocks(own[parts > 1], parts[parts > 1])
+
+
 def masks(width: int, threshold: int) -> np.ndarray:
     """Values with 1 to ``threshold`` of ``width`` bits set."""
     return np.array([sum(1 << b for b in c) for t in range(1, threshold + 1) for c in combinations(range(width), t)], np.int64)
 
 
-def _probes(groups: list[list[int]], thresholds: list[int], blocks: list[np.ndarray]):  # noqa: ANN202
-    """Rows (task, role, fp): role 0 is in the index of a bucket, role 1 probes it."""
+def _probes(groups: list[list[int]], thresholds: list[int], blocks: list[Blocks]):  # noqa: ANN202
+    """Rows (bucket, task, role, fp): role 0 is in the index of a bucket, role 1 probes it; a task is a pair of its blocks."""
 
     def deal(i: int, value: np.ndarray, fp: np.ndarray, role: int) -> Iterator[pa.RecordBatch]:
-        parts = blocks[i][value].astype(np.int64)
+        parts = blocks[i][value]
         own = (fp.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64) % parts
         for k in range(int(parts.max(initial=0))):
             now = parts > k
-            base = (np.int64(i) << 48) | (value[now] << 32)
-            yield row(base | (k << 16) | own[now], np.full(now.sum(), 1), fp[now])
+            yield row(i, value[now], (np.int64(k) << 24) | own[now], 1, fp[now])
             if role == 0:
-                yield row(base | (own[now] << 16) | k, np.zeros(now.sum(), np.int64), fp[now])
+                yield row(i, value[now], (own[now] << 24) | k, 0, fp[now])
 
-    def row(task: np.ndarray, role: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
-        return pa.record_batch([pa.array(task), pa.array(role.astype(np.int32)), pa.array(fp)], names=["task", "role", "fp"])
+    def row(i: int, value: np.ndarray, pair: np.ndarray, role: int, fp: np.ndarray) -> pa.RecordBatch:
+        # Role in the lowest bit, so that a bucket's index comes before its probes.
+        return pa.record_batch([pa.array((np.int64(i) << 32) | value), pa.array((pair << 1) | role), pa.array(fp)], names=["bucket", "task", "fp"])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -183,7 +239,7 @@ def _probes(groups: list[list[int]], thresholds: list[int], blocks: list[np.ndar
                     continue
                 value = project(fp, group)
                 single = blocks[i][value] == 1  # all of a small bucket are together: its members are in its index only
-                yield row((np.int64(i) << 48) | (value[single] << 32), np.zeros(single.sum(), np.int64), fp[single])
+                yield row(i, value[single], np.zeros(single.sum(), np.int64), 0, fp[single])
                 yield from deal(i, value[~single], fp[~single], 0)
                 for mask in masks(len(group), t):
                     yield from deal(i, value ^ mask, fp, 1)
@@ -215,12 +271,12 @@ def forest(index: np.ndarray, probes: np.ndarray, distance: int) -> Iterator[tup
 
 
 def _verify(distance: int):  # noqa: ANN202
-    """Links of the buckets in rows sorted by task and role."""
+    """Links of the buckets in rows sorted by bucket and task."""
 
-    def links(task: np.ndarray, role: np.ndarray, fp: np.ndarray) -> Iterator[pa.RecordBatch]:
-        cuts = np.flatnonzero(np.diff(task)) + 1
+    def links(bucket: np.ndarray, task: np.ndarray, fp: np.ndarray) -> Iterator[pa.RecordBatch]:
+        cuts = np.flatnonzero((np.diff(bucket) != 0) | (np.diff(task >> 1) != 0)) + 1
         starts, stops = np.concatenate([[0], cuts]), np.concatenate([cuts, [len(task)]])
-        some = np.concatenate([[0], np.cumsum(role == 0)])
+        some = np.concatenate([[0], np.cumsum(task & 1 == 0)])
         firsts = some[stops] - some[starts]
         use = (firsts > 0) & (stops - starts > 1)
         out: list[tuple[np.ndarray, np.ndarray]] = []
@@ -235,8 +291,9 @@ def _verify(distance: int):  # noqa: ANN202
             now = tuple(c.to_numpy(zero_copy_only=False) for c in batch.columns)
             if not len(now[0]):
                 continue
-            cut = int(np.searchsorted(now[0], now[0][-1]))
-            if cut or (held and held[-1][0][-1] != now[0][0]):
+            same = (now[0] == now[0][-1]) & (now[1] >> 1 == now[1][-1] >> 1)  # rows of the last task, which may go on
+            cut = int(np.argmax(same))
+            if cut or (held and (held[-1][0][-1], held[-1][1][-1] >> 1) != (now[0][0], now[1][0] >> 1)):
                 whole = [np.concatenate(c) for c in zip(*held, tuple(c[:cut] for c in now), strict=True)]
                 yield from links(*whole)
                 held = []
@@ -247,31 +304,55 @@ def _verify(distance: int):  # noqa: ANN202
     return run
 
 
-def link(distinct: DataFrame, distance: int = DISTANCE, partitions: int = PARTITIONS, block: int = BLOCK) -> DataFrame:
-    """Links (a, b) between the fingerprints of ``distinct`` (fp) that connect all within ``distance``."""
-    fps = distinct.select("fp")
+def plan(fps: DataFrame, distance: int, numbers: tuple[int, ...]) -> tuple[list[list[int]], list[int], list[list[np.ndarray]]]:
+    """Partitions, thresholds and histograms for fingerprints, of the cheapest of some numbers of partitions."""
+    total = fps.count()
     cells = fps.mapInArrow(_joint_counts, "cell long, n double").groupBy("cell").agg(F.sum("n")).collect()  # 64 x 64
     joint = np.zeros(64 * 64)
     for cell, n in cells:
         joint[cell] = n
-    groups = group_bits(joint.reshape(64, 64), distinct.count(), partitions)
-    counts = [np.zeros(1 << len(g), np.int64) for g in groups]
-    # At most 2**16 values of each partition.
-    for part, value, n in fps.mapInArrow(_histograms(groups), "part long, value long, n long").groupBy("part", "value").agg(F.sum("n")).collect():
+    if total < MANY and max(numbers) >= 4:
+        numbers = tuple(n for n in numbers if n >= 4)
+    choices = [group_bits(joint.reshape(64, 64), total, n) for n in numbers]
+    parts = [part for groups in choices for group in groups for part in pieces_of(group)]
+    counts = [np.zeros(1 << len(p), np.int64) for p in parts]
+    # At most 2**HISTOGRAM_BITS values of each part.
+    for part, value, n in fps.mapInArrow(_histograms(parts), "part long, value long, n long").groupBy("part", "value").agg(F.sum("n")).collect():
         counts[part][value] = n
-    costs = [np.cumsum(pairs_by_distance(c))[: distance + 1] for c in counts]
-    thresholds = allocate(costs, distance)
+    left, best = iter(counts), (np.inf, [], [], [])
+    for groups in choices:
+        held = [[next(left) for _ in pieces_of(group)] for group in groups]
+        costs = [costs_of(h, len(group), total, distance) for h, group in zip(held, groups, strict=True)]
+        thresholds = allocate(costs, distance)
+        cost = sum(c[t] for c, t in zip(costs, thresholds, strict=True) if t >= 0)
+        if cost < best[0]:
+            best = (cost, groups, thresholds, held)
+    return best[1:]
+
+
+def link(distinct: DataFrame, distance: int = DISTANCE, partitions: int | None = None, block: int = BLOCK) -> DataFrame:
+    """Links (a, b) between the fingerprints of ``distinct`` (fp) that connect all within ``distance``."""
+    fps = distinct.select("fp")
+    groups, thresholds, histograms = plan(fps, distance, (partitions,) if partitions else PARTITIONS)
+    if not groups:
+        return fps.select(F.col("fp").alias("a"), F.col("fp").alias("b")).limit(0)
+    around = [masks(len(g), max(0, t)) for g, t in zip(groups, thresholds, strict=True)]
     blocks = []
-    for held, group, t in zip(counts, groups, thresholds, strict=True):
-        members = held.copy()
-        for mask in masks(len(group), max(0, t)):
-            members += held[np.arange(len(held)) ^ mask]
-        blocks.append(np.maximum(1, -(-members // block)).astype(np.int32))
-    rows = fps.mapInArrow(_probes(groups, thresholds, blocks), "task long, role int, fp long")
-    return rows.repartition("task").sortWithinPartitions("task", "role").mapInArrow(_verify(distance), "a long, b long")
-
-
-def near_duplicates(docs: DataFrame, distance: int = DISTANCE, partitions: int = PARTITIONS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    for group, t, mask, held in zip(groups, thresholds, around, histograms, strict=True):
+        least = block // (len(mask) + 1)
+        if t < 0 or len(held) == 1:
+            values = np.flatnonzero(held[0] > least) if t >= 0 else np.zeros(0, np.int64)
+            blocks.append(blocks_of(values, held[0][values], mask, block))
+            continue
+        # Not more values than fingerprints over a block's share of them.
+        value = sum((F.shiftright("fp", bit).bitwiseAND(F.lit(1)) * F.lit(1 << i) for i, bit in enumerate(group)), F.lit(0).cast("long"))
+        heavy = fps.groupBy(value.alias("v")).count().filter(F.col("count") > least).collect()
+        blocks.append(blocks_of(np.array([r[0] for r in heavy], np.int64), np.array([r[1] for r in heavy], np.int64), mask, block))
+    rows = fps.mapInArrow(_probes(groups, thresholds, blocks), "bucket long, task long, fp long")
+    return rows.repartition("bucket", F.shiftright("task", 1)).sortWithinPartitions("bucket", "task").mapInArrow(_verify(distance), "a long, b long")
+
+
+def near_duplicates(docs: DataFrame, distance: int = DISTANCE, partitions: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id of each row.
 
     ``component_id`` is the smallest doc_id that links of ``distance`` or fewer
