@@ -30,8 +30,8 @@ ORDERS, BITS = (1, 2, 3), 11
 #: Rows that the scorer is fitted on.
 FIT_ROWS = 4000
 KEEP_SCORE = 0.5
-#: Least log-odds that a vote for bad says.
-SURE = 1.5
+#: What is believed of a labeller beforehand: so often its votes are right, with the weight of such a share of its votes.
+BELIEF, BELIEF_SHARE = 0.98, 0.01
 SYMBOLS = re.compile(r"[%*&$#@^~|<>{}\[\]\\_=+!]")
 #: Share of a proportion's range, in parts of a hundred, at which its hashed token changes.
 CUTS = (0.02, 0.05, 0.1, 0.2, 0.3, 0.5, 0.7, 0.9)
@@ -98,9 +98,10 @@ def fit_labels(patterns: list[tuple[str, int]], rounds: int = 200) -> LabelModel
     """Expectation maximisation over (vote pattern, number of texts).
 
     A labeller has a distribution of good and bad votes for either class of
-    text; a vote for nothing says nothing.  It starts as right
-    nine times out of ten and is never taken to be wrong more often than right,
-    which says which class is which even where faults do not occur together.
+    text; a vote for nothing says nothing.  The estimates are maxima of the
+    posterior: a belief that labellers are right counts as a small share of their
+    own votes, which says which class is which.  At first each vote for bad is
+    taken to be right nine times out of ten.
     """
     if not patterns:
         return LabelModel(0.5, np.zeros((LABELLERS, 3)), np.full(LABELLERS, 0.5))
@@ -108,17 +109,16 @@ def fit_labels(patterns: list[tuple[str, int]], rounds: int = 200) -> LabelModel
     n = np.array([c for _, c in patterns], float)
     onehot = (v[:, :, None] == np.arange(3)).astype(float)
     given = np.ones((2, v.shape[1], 3))
-    # At first each vote for bad is right nine times out of ten.
     good = np.clip(0.1 ** (v == BAD).sum(axis=1), 1e-6, 0.98)
     prior, log_odds = 0.5, np.zeros((v.shape[1], 3))
+    voted = np.einsum("p,pjv->j", n, onehot[:, :, :NONE])[:, None]
+    belief = np.array([[BELIEF, 1 - BELIEF], [1 - BELIEF, BELIEF]])  # of classes bad and good, votes bad and good
     for _ in range(rounds):
         prior = float(np.clip((good * n).sum() / n.sum(), 0.01, 0.99))
         for y, q in ((0, 1 - good), (1, good)):
-            mass = np.einsum("p,pjv->jv", q * n, onehot) + 0.1
-            given[y, :, :NONE] = mass[:, :NONE] / mass[:, :NONE].sum(axis=1, keepdims=True)
+            mass = np.einsum("p,pjv->jv", q * n, onehot)[:, :NONE] + BELIEF_SHARE * voted * (prior if y else 1 - prior) * belief[y] + 0.1
+            given[y, :, :NONE] = mass / mass.sum(axis=1, keepdims=True)
         log_odds = np.log(given[1]) - np.log(given[0])
-        log_odds[:, BAD] = np.minimum(log_odds[:, BAD], -SURE)
-        log_odds[:, GOOD] = np.maximum(log_odds[:, GOOD], 0)
         odds = np.log(prior / (1 - prior)) + (onehot * log_odds).sum(axis=(1, 2))
         good = 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
     right = prior * given[1][:, GOOD] + (1 - prior) * given[0][:, BAD]

@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from . import bpe, decontaminate, exact_dedup, langid, quality, sharding, simhash, suffix_dedup, toxicity, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
+#: Bytes of a shard in the query that is to split.
+SPLIT_BYTES = 64 << 10
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,6 +59,21 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(table(spark, sf_dir, "documents"))
 
 
+def sharding_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shards of so few bytes that the directory splits many times at every scale."""
+    return sharding.assign_shards(table(spark, sf_dir, "documents"), SPLIT_BYTES)
+
+
+def shard_sql(limit: int) -> str:
+    return f"""
+        with r as (select doc_id, octet_length(encode(coalesce(text, ''))) n, cast('0x' || substr(md5(coalesce(cast(doc_id as varchar), '') || '|' || coalesce(text, '')), 1, 15) as bigint) h from documents),
+        nodes as (select d, h >> (60 - d) p, sum(n) size, count(*) c, min(h) < max(h) apart from r, range(0, 61) t(d) group by 1, 2),
+        leaf as (select r.doc_id, r.n, r.h, min(d) d from r, nodes where h >> (60 - d) = p and not (size > {limit} and c > 1 and apart) group by 1, 2, 3)
+        select doc_id, case when leaf.d = 0 then '' else lpad(bin(p), cast(leaf.d as int), '0') end shard_id, cast(n as bigint) n_bytes, cast(size as bigint) shard_bytes, size > {limit} oversize
+        from leaf join nodes on nodes.d = leaf.d and nodes.p = h >> (60 - leaf.d)
+    """
+
+
 QUERIES: dict[str, Query] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_simhash": op2_simhash,
@@ -68,6 +85,7 @@ QUERIES: dict[str, Query] = {
     "op8_bpe": op8_bpe,
     "op9_toxicity": op9_toxicity,
     "op10_sharding": op10_sharding,
+    "sharding_splits": sharding_splits,
 }
 
 ORACLES: dict[str, str] = {
@@ -101,11 +119,6 @@ ORACLES: dict[str, str] = {
             946684800 + (page_id % 4294967296 + 4294967296) % 4294967296 captured_at
         from u
     """,
-    "op10_sharding": f"""
-        with r as (select doc_id, octet_length(encode(coalesce(text, ''))) n, cast('0x' || substr(md5(coalesce(cast(doc_id as varchar), '') || '|' || coalesce(text, '')), 1, 15) as bigint) h from documents),
-        nodes as (select d, h >> (60 - d) p, sum(n) size, count(*) c, min(h) < max(h) apart from r, range(0, 61) t(d) group by 1, 2),
-        leaf as (select r.doc_id, r.n, r.h, min(d) d from r, nodes where h >> (60 - d) = p and not (size > {sharding.SHARD_BYTES} and c > 1 and apart) group by 1, 2, 3)
-        select doc_id, case when leaf.d = 0 then '' else lpad(bin(p), cast(leaf.d as int), '0') end shard_id, cast(n as bigint) n_bytes, cast(size as bigint) shard_bytes, size > {sharding.SHARD_BYTES} oversize
-        from leaf join nodes on nodes.d = leaf.d and nodes.p = h >> (60 - leaf.d)
-    """,
+    "op10_sharding": shard_sql(sharding.SHARD_BYTES),
+    "sharding_splits": shard_sql(SPLIT_BYTES),
 }

@@ -41,7 +41,7 @@ GRAM = 32
 #: Bytes of text that are scanned at a time, and of super-windows in a shard's index.
 SCAN_BYTES, INDEX_BYTES = 1 << 20, 1 << 19
 #: Owners with more different super-windows than this have their windows counted one by one.
-HOT_OWNER = 4000
+HOT_OWNER = 2000
 _PLACE = (1 << 24) - 1
 #: No hash: there is nothing that far on that side of an owner.  Where sides are not told apart, all agree.
 NO_SIDE, ANY_SIDE = 0, 1
