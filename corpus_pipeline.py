@@ -50,12 +50,23 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of ``sf_dir``; each is written to the shared folder before the next one reads it."""
-    from treeloom.llm.common import checkpoint
+    """All stages over the documents of ``sf_dir``.
 
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    Each stage is written to the shared folder before the next one reads it;
+    what it took to get there is deleted, and the stage's own rows when the next
+    one is written.
+    """
+    from treeloom.llm.common import collected, drop_written, written
+
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
     for i, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i < len(STAGES) - 1:
-            docs = checkpoint(docs, "stage")
+        with collected() as made:
+            docs = stage(spark, docs, sf_dir)
+            if i == len(STAGES) - 1:
+                break
+            docs, path = written(docs, "stage")
+        for old in before + made:
+            if old != path:
+                drop_written(spark, old)
+        before = [path]
     return docs
