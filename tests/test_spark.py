@@ -45,7 +45,7 @@ def test_query(spark, duck, name):
 
 
 #: Queries that read documents with more than one parser, or one parser's output with another.
-PARSERS = {"css_decls_from_pages": 2, "css_selectors_from_pages": 2, "web_check_generated": 2}
+PARSERS = {"css_decls_from_pages": 2, "css_selectors_from_pages": 2, "web_check_generated": 2, "artifact_round_trip": 3, "truncation_fuzz_documents": 5}
 
 
 @needs_data
@@ -192,6 +192,9 @@ def test_json_operators(spark):
     tape = strict.tape(frame)
     assert [(r["key"], r["lexeme"]) for r in strict.members(tape).filter("doc_id = 0").orderBy("ordinal").collect()] == [("a", "1"), ("a", "é"), ("n", "1.50e1"), ("big", "99999999999999999999")]
     assert strict.first_member(tape, "a").first()["lexeme"] == "1"
+    some = strict.tape(frame, columns=("idx", "key", "lexeme"), depth=1, values=True)
+    assert some.columns == ["doc_id", "doc_key", "idx", "key", "lexeme"]
+    assert sorted(map(str, some.collect())) == sorted(map(str, tape.filter("depth = 1 and not is_key").select(some.columns).collect()))
     assert [tuple(r) for r in strict.duplicate_keys(tape).drop("doc_key").collect()] == [(0, 0, "a", 2)]
     ints = strict.members(tape).filter("doc_id = 0").orderBy("ordinal").select(strict.get_int(default=-1).alias("v")).collect()
     assert [r["v"] for r in ints] == [1, -1, -1, -1]

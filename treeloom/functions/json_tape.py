@@ -14,7 +14,13 @@ MAX_DEPTH = 512
 _SPACE = re.compile(r"[ \t\r\n]*")
 _NUMBER = re.compile(r"-?(?:0|[1-9][0-9]*)(?:(\.)([0-9]+)?)?(?:([eE][+-]?)([0-9]+)?)?")
 _PLAIN = re.compile(r'[^"\\\x00-\x1f]*')
-_WORDS = {"t": ("true", "true"), "f": ("false", "false"), "n": ("null", "null")}
+_PLAIN_KEY = re.compile(r'[ \t\r\n]*"([^"\\\x00-\x1f]*)"[ \t\r\n]*:')
+_VALUE = re.compile(r'[ \t\r\n]*(?:"(?P<plain>[^"\\\x00-\x1f]*)"|(?P<whole>-?(?:0|[1-9][0-9]*))|(?P<word>true|false|null)|(?P<open>[\[{]))')
+_AFTER = re.compile(r"[ \t\r\n]*([,\]}])")
+_CLOSE = {"object": "}", "array": "]"}
+_EMPTY = {kind: re.compile(rf"[ \t\r\n]*\{close}") for kind, close in _CLOSE.items()}
+#: After the digits of an integer these make it another number, or a fault.
+_GOES_ON = (".", "e", "E")
 _ESCAPES = {"b": "\b", "f": "\f", "n": "\n", "r": "\r", "t": "\t"}
 _ESCAPE = re.compile(rb"\\u[dD][89abAB][0-9a-fA-F]{2}\\u[dD][c-fC-F][0-9a-fA-F]{2}|\\u[0-9a-fA-F]{4}|\\.", re.DOTALL)
 
@@ -77,94 +83,97 @@ def _number(text: str, at: int) -> tuple[int, str]:
     return m.end(), "float" if m[1] or m[3] else "int"
 
 
+def _key(text: str, at: int) -> tuple[int, int, bool, int]:
+    """Start, end and escapes of a key, and where its value may begin; or the fault, where there is no key and colon."""
+    at = _SPACE.match(text, at).end()
+    found = text[at : at + 1]
+    if found != '"':
+        raise JsonError({"": "unexpected end of input", "}": "trailing comma"}.get(found, "a key string expected"), at)
+    end, escaped = _string(text, at)
+    colon = _SPACE.match(text, end).end()
+    if text[colon : colon + 1] != ":":
+        raise JsonError("':' expected" if colon < len(text) else "unexpected end of input", colon)
+    return at + 1, end - 1, escaped, colon + 1
+
+
+def _unusual(text: str, at: int) -> tuple[str, int, int, bool, int]:
+    """Kind, start, end, escapes and what follows of a value that is not plain; or its fault."""
+    at = _SPACE.match(text, at).end()
+    if text.startswith('"', at):
+        end, escaped = _string(text, at)
+        return "string", at + 1, end - 1, escaped, end
+    if at >= len(text):
+        raise JsonError("unexpected end of input", at)
+    if text[at] in "-0123456789":
+        end, kind = _number(text, at)
+        return kind, at, end, False, end
+    raise JsonError("invalid literal" if text[at] in "tfn" else "a value expected", at)
+
+
 def parse(text: str) -> list[Entry]:
-    """The tape of a document given one character a byte; raises :class:`JsonError` at the first fault."""
+    """The tape of a document given one character a byte; raises :class:`JsonError` at the first fault.
+
+    A pattern takes a whole key with its colon, or a whole value; what follows a
+    value closes containers until a comma asks for the next one.
+    """
     rows: list[list] = []
-    stack: list[int] = []
-    key = -1
-
-    def add(kind: str, start: int, size: int, escaped: bool = False, is_key: bool = False) -> int:
-        parent = stack[-1] if stack else -1
-        ordinal = rows[parent][3] if parent >= 0 else -1
-        rows.append([kind, escaped, start, size, len(rows) + 1, parent, len(stack), ordinal, is_key, -1 if is_key else key])
-        if parent >= 0 and not is_key:
-            rows[parent][3] += 1
-        return len(rows) - 1
-
-    i = _SPACE.match(text).end()
-    if i >= len(text):
+    open_at: list[int] = []
+    at = _SPACE.match(text).end()
+    if at == len(text):
         raise JsonError("empty document", 0)
-    state = "value"
+    holder: list | None = None  # the innermost open container
     while True:
-        i = _SPACE.match(text, i).end()
-        if i >= len(text):
-            if state != "end":
-                raise JsonError("unexpected end of input", i)
-            break
-        c = text[i]
-        if state == "end":
-            raise JsonError("trailing content after the document", i)
-        if state == "colon":
-            if c != ":":
-                raise JsonError("':' expected", i)
-            i, state = i + 1, "value"
-            continue
-        inside = rows[stack[-1]][0] if stack else ""
-        closing = False
-        if state == "after":
-            if c == ",":
-                i, state = i + 1, "key" if inside == "object" else "value"
-                continue
-            if c not in "]}":
-                raise JsonError("',' or a close expected", i)
-            if c != ("}" if inside == "object" else "]"):
-                raise JsonError("mismatched close", i)
-            closing = True
-        elif state == "key":
-            if c == "}":
-                if rows[stack[-1]][3] > 0:
-                    raise JsonError("trailing comma", i)
-                closing = True
-            elif c != '"':
-                raise JsonError("a key string expected", i)
+        key, parent, depth = -1, open_at[-1] if open_at else -1, len(open_at)
+        if holder is not None and holder[0] == "object":
+            m = _PLAIN_KEY.match(text, at)
+            start, end, escaped, at = (*m.span(1), False, m.end()) if m else _key(text, at)
+            key = len(rows)
+            rows.append(["string", escaped, start, end - start, key + 1, parent, depth, holder[3], True, -1])
+        ordinal = -1
+        if holder is not None:
+            ordinal = holder[3]
+        m = _VALUE.match(text, at)
+        which = m.lastgroup if m else ""
+        if which == "open":
+            if depth >= MAX_DEPTH:
+                raise JsonError(f"nesting deeper than {MAX_DEPTH}", m.start("open"))
+            row = ["object" if m["open"] == "{" else "array", False, m.start("open"), 0, 0, parent, depth, ordinal, False, key]
+            at = m.end()
+            open_at.append(len(rows))
+        else:
+            if which == "plain":
+                kind, (start, end), escaped, at = "string", m.span("plain"), False, m.end()
+            elif which == "word":
+                kind, (start, end), escaped, at = m["word"], m.span("word"), False, m.end()
+            elif which == "whole" and text[m.end() : m.end() + 1] not in _GOES_ON:
+                kind, (start, end), escaped, at = "int", m.span("whole"), False, m.end()
             else:
-                end, escaped = _string(text, i)
-                key = add("string", i + 1, end - i - 2, escaped, True)
-                i, state = end, "colon"
+                kind, start, end, escaped, at = _unusual(text, at)
+            row = [kind, escaped, start, end - start, len(rows) + 1, parent, depth, ordinal, False, key]
+        if holder is not None:
+            holder[3] += 1
+        rows.append(row)
+        if which == "open":
+            holder = row
+            if not _EMPTY[row[0]].match(text, at):
                 continue
-        if closing:
-            rows[stack.pop()][4] = len(rows)
-            i, state = i + 1, "after" if stack else "end"
-            continue
-        if c in "{[":
-            if len(stack) >= MAX_DEPTH:
-                raise JsonError(f"nesting deeper than {MAX_DEPTH}", i)
-            stack.append(add("object" if c == "{" else "array", i, 0))
-            key = -1
-            i = _SPACE.match(text, i + 1).end()
-            if i < len(text) and text[i] == ("}" if c == "{" else "]"):
-                rows[stack.pop()][4] = len(rows)
-                i, state = i + 1, "after" if stack else "end"
-            else:
-                state = "key" if c == "{" else "value"
-            continue
-        if c == '"':
-            end, escaped = _string(text, i)
-            add("string", i + 1, end - i - 2, escaped)
-        elif c in _WORDS:
-            word, kind = _WORDS[c]
-            end = i + len(word)
-            if text[i:end] != word:
-                raise JsonError("invalid literal", i)
-            add(kind, i, len(word))
-        elif c == "-" or c in "0123456789":
-            end, kind = _number(text, i)
-            add(kind, i, end - i)
+        while open_at:
+            m = _AFTER.match(text, at)
+            if not m:
+                at = _SPACE.match(text, at).end()
+                raise JsonError("',' or a close expected" if at < len(text) else "unexpected end of input", at)
+            at = m.end()
+            if m[1] == ",":
+                break
+            if m[1] != _CLOSE[holder[0]]:
+                raise JsonError("mismatched close", at - 1)
+            rows[open_at.pop()][4] = len(rows)
+            holder = rows[open_at[-1]] if open_at else None
         else:
-            raise JsonError("a value expected", i)
-        key = -1
-        i, state = end, "after" if stack else "end"
-    return [Entry(*r) for r in rows]
+            at = _SPACE.match(text, at).end()
+            if at < len(text):
+                raise JsonError("trailing content after the document", at)
+            return list(map(Entry._make, rows))
 
 
 def _unescape(m: re.Match) -> bytes:

@@ -6,7 +6,8 @@ Where spelling, duplicate keys and strictness do not matter, Spark's own
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
+from operator import attrgetter
 
 import numpy as np
 import pyarrow as pa
@@ -36,29 +37,60 @@ def _utf8(raw: bytes) -> str:
     return raw.decode("utf-8", "replace")
 
 
-def tape(docs: DataFrame, id_col: str = "doc_id", content_col: str = "content") -> DataFrame:
-    """The tape of every valid document; an invalid one, null among them, gives no row (see :func:`lint`)."""
-    types = [pa.int64(), pa.int64(), pa.int32(), pa.string(), pa.bool_(), *[pa.int32()] * 6, pa.bool_(), *[pa.string()] * 3]
-    names = [x.split()[0] for x in TAPE.split(", ")]
+def _shown(text: str, found: list[jt.Entry], entry: jt.Entry) -> str | None:
+    return None if entry.kind in ("object", "array") else _utf8(jt.lexeme(text, entry))
+
+
+#: What a column of the tape says of an entry.
+_COLUMNS = {
+    "key": lambda text, found, e: _utf8(jt.decoded(text, found[e.key])) if e.key >= 0 else None,
+    "lexeme": _shown,
+    "value": lambda text, found, e: _utf8(jt.decoded(text, e)) if e.kind == "string" else None,
+}
+
+
+def tape(docs: DataFrame, id_col: str = "doc_id", content_col: str = "content", columns: tuple[str, ...] | None = None, depth: int | None = None, values: bool = False) -> DataFrame:
+    """The tape of every valid document; an invalid one, null among them, gives no row (see :func:`lint`).
+
+    A projection or a filter cannot pass through the parser's map, so they are
+    arguments: ``columns`` besides doc_id and doc_key, entries of one ``depth``,
+    and ``values`` for entries that are no keys.
+    """
+    kinds = dict(x.split() for x in TAPE.split(", "))
+    chosen = [n for n in kinds if columns is None or n in columns or n in DOC]
+    arrow = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "boolean": pa.bool_()}
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows: list[tuple] = []
+        held: dict[str, list] = {n: [] for n in chosen}
+
+        def batch() -> pa.RecordBatch:
+            made = pa.record_batch([pa.array(held[n], arrow[kinds[n]]) for n in chosen], names=chosen)
+            for column in held.values():
+                column.clear()
+            return made
+
         for key, (doc, text) in zip(document_keys(), _texts(batches), strict=False):
             try:
                 found = jt.parse(text)
             except jt.JsonError:
                 continue
-            for i, e in enumerate(found):
-                scalar = e.kind not in ("object", "array")
-                member = _utf8(jt.decoded(text, found[e.key])) if e.key >= 0 else None
-                rows.append((doc, key, i, e.kind, e.escaped, e.start, e.size, e.next, e.parent, e.depth, e.ordinal, e.is_key, member, _utf8(jt.lexeme(text, e)) if scalar else None, _utf8(jt.decoded(text, e)) if e.kind == "string" else None))
-            if len(rows) >= _BATCH:
-                yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
-                rows = []
-        if rows:
-            yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
-
-    return _content(docs, id_col, content_col).mapInArrow(run, TAPE)
+            use = found if depth is None and not values else [e for e in found if (depth is None or e.depth == depth) and not (values and e.is_key)]
+            for name, column in held.items():
+                if name in DOC:
+                    column += [doc if name == "doc_id" else key] * len(use)
+                elif name == "idx":
+                    column += range(len(found)) if use is found else [i for i, e in enumerate(found) if (depth is None or e.depth == depth) and not (values and e.is_key)]
+                elif name in _COLUMNS:
+                    of = _COLUMNS[name]
+                    column += [of(text, found, e) for e in use]
+                else:
+                    column += map(attrgetter(name), use)
+            if len(held["doc_key"]) >= _BATCH:
+                yield batch()
+        if held["doc_key"]:
+            yield batch()
+
+    return _content(docs, id_col, content_col).mapInArrow(run, ", ".join(f"{n} {kinds[n]}" for n in chosen))
 
 
 def lint(docs: DataFrame, id_col: str = "doc_id", content_col: str = "content") -> DataFrame:
@@ -81,9 +113,9 @@ def lint(docs: DataFrame, id_col: str = "doc_id", content_col: str = "content")
     return _content(docs, id_col, content_col).mapInArrow(run, "doc_id long, valid boolean, error string, byte int, line int, col int")
 
 
-def query(docs: DataFrame, path: str, id_col: str = "doc_id", content_col: str = "content") -> DataFrame:
-    """doc_id, status (ok, absent, invalid), kind and value of what ``path`` leads to in each document."""
-    steps = jt.path_steps(path)
+def query_all(docs: DataFrame, paths: Sequence[str], id_col: str = "doc_id", content_col: str = "content") -> DataFrame:
+    """doc_id, path, status (ok, absent, invalid), kind and value of what each path leads to in each document, from one parse."""
+    steps = [(path, jt.path_steps(path)) for path in paths]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -92,14 +124,20 @@ def query(docs: DataFrame, path: str, id_col: str = "doc_id", content_col: str =
                 try:
                     found = jt.parse(text)
                 except jt.JsonError:
-                    rows.append((doc, "invalid", None, None))
+                    rows += [(doc, path, "invalid", None, None) for path in paths]
                     continue
-                at = jt.find(text, found, steps)
-                rows.append((doc, "absent", None, None) if at < 0 else (doc, "ok", found[at].kind, _utf8(jt.shown(text, found[at]))))
-            columns = list(zip(*rows, strict=True)) or [()] * 4
-            yield pa.record_batch([pa.array(columns[0], pa.int64()), *(pa.array(c, pa.string()) for c in columns[1:])], names=["doc_id", "status", "kind", "value"])
+                for path, way in steps:
+                    at = jt.find(text, found, way)
+                    rows.append((doc, path, "absent", None, None) if at < 0 else (doc, path, "ok", found[at].kind, _utf8(jt.shown(text, found[at]))))
+            columns = list(zip(*rows, strict=True)) or [()] * 5
+            yield pa.record_batch([pa.array(columns[0], pa.int64()), *(pa.array(c, pa.string()) for c in columns[1:])], names=["doc_id", "path", "status", "kind", "value"])
+
+    return _content(docs, id_col, content_col).mapInArrow(run, "doc_id long, path string, status string, kind string, value string")
 
-    return _content(docs, id_col, content_col).mapInArrow(run, "doc_id long, status string, kind string, value string")
+
+def query(docs: DataFrame, path: str, id_col: str = "doc_id", content_col: str = "content") -> DataFrame:
+    """doc_id, status (ok, absent, invalid), kind and value of what ``path`` leads to in each document."""
+    return query_all(docs, [path], id_col, content_col).drop("path")
 
 
 def members(tapes: DataFrame, parent: int = 0) -> DataFrame:

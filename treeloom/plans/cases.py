@@ -400,12 +400,7 @@ def _paths_sql() -> str:
 @query(_paths_sql())
 def json_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Members, elements, decoded strings with surrogates, and what is absent, by path."""
-    docs = deal(spark, sf_dir, [JSON_DOC])
-    out = None
-    for path, *_ in JSON_PATHS:
-        found = strict.query(docs, path).withColumn("path", F.lit(path))
-        out = found if out is None else out.unionByName(found)
-    return out.select("doc_id", "path", "status", "kind", "value")
+    return strict.query_all(deal(spark, sf_dir, [JSON_DOC]), [path for path, *_ in JSON_PATHS])
 
 
 @query("""

@@ -254,7 +254,7 @@ def json_path_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     select kind, cast(n * (select count(*) from events) as bigint) as n from (values ('object', 1), ('string', 1), ('int', 1)) v(kind, n)
 """)
 def json_tape_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return strict.kind_counts(strict.tape(event_docs(spark, sf_dir)))
+    return strict.kind_counts(strict.tape(event_docs(spark, sf_dir), columns=("kind",)))
 
 
 def order_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -269,17 +269,17 @@ def order_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     from orders, (values (0, 'o', 'int'), (1, 'p', 'float'), (2, 'p', 'int'), (3, 's', 'object'), (4, 'l', 'array')) v(ordinal, key, kind)
 """)
 def json_members_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return strict.members(strict.tape(order_docs(spark, sf_dir))).select("doc_id", "ordinal", "key", "kind", "lexeme")
+    return strict.members(strict.tape(order_docs(spark, sf_dir), depth=1, values=True)).select("doc_id", "ordinal", "key", "kind", "lexeme")
 
 
 @query("select cast(o_orderkey as bigint) as doc_id, 'p' as key, cast(2 as bigint) as n from orders")
 def json_duplicate_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return strict.duplicate_keys(strict.tape(order_docs(spark, sf_dir))).select("doc_id", "key", "n")
+    return strict.duplicate_keys(strict.tape(order_docs(spark, sf_dir), columns=("key", "is_key", "parent"), values=True)).select("doc_id", "key", "n")
 
 
 @query("select o_orderkey as doc_id, cast(2 + o_orderkey % 5 as bigint) as depth from orders")
 def json_max_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return strict.tape(order_docs(spark, sf_dir)).groupBy("doc_id").agg(F.max(F.col("depth")).cast("long").alias("depth"))
+    return strict.tape(order_docs(spark, sf_dir), columns=("depth",)).groupBy("doc_id").agg(F.max(F.col("depth")).cast("long").alias("depth"))
 
 
 @query("select o_orderkey as doc_id, '1.50e' || o_orderkey % 5 as lexeme from orders")
@@ -298,7 +298,7 @@ def json_elems_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
     dealt = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity").repartition(spark.sparkContext.defaultParallelism, "l_orderkey")
     rows = dealt.groupBy(F.col("l_orderkey").alias("doc_id")).agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_quantity"))).alias("l"))
     docs = rows.select("doc_id", F.to_json(F.transform("l", lambda x: F.struct(x["l_linenumber"].alias("n"), x["l_quantity"].alias("q")))).alias("content"))
-    tape = strict.tape(docs).filter("depth = 2 and not is_key")
+    tape = strict.tape(docs, columns=("parent", "key", "lexeme"), depth=2, values=True)
     return tape.groupBy(*tree.DOC, "parent").agg(F.max(F.when(F.col("key") == "n", F.col("lexeme"))).cast("int").alias("line"), F.max(F.when(F.col("key") == "q", F.col("lexeme"))).cast("double").alias("quantity")).drop("parent", "doc_key")
 
 
