@@ -62,3 +62,18 @@ def test_json_and_completeness(tmp_path, capsysbinary):
 def test_module_reads_standard_input():
     done = subprocess.run([sys.executable, "-m", "treeloom", "css", "-"], input=b"a{}", capture_output=True, cwd=ROOT, timeout=60)
     assert done.returncode == 0 and b'(.dialect "css-parsed")' in done.stdout
+
+
+def test_depth_and_paths(tmp_path, capsys, monkeypatch):
+    (tmp_path / "sub").mkdir()
+    source = tmp_path / "sub" / "a.css"
+    source.write_text("a{}\n@x{@y{b{c}}}")
+    monkeypatch.chdir(tmp_path)
+    assert main(["check", "sub/../sub/a.css", "--max-depth", "3"]) == 1
+    assert capsys.readouterr().err == "sub/a.css: nesting is deeper than --max-depth 3 at line 2\n"
+    assert main(["check", str(source)]) == 1 and capsys.readouterr().out.startswith("sub/a.css:2:")
+    assert main(["check", str(source), "--portable-paths", "off"]) == 1 and capsys.readouterr().out.startswith(str(source))
+    monkeypatch.chdir(tmp_path / "sub")
+    other = tmp_path / "b.css"
+    other.write_text("}")
+    assert main(["check", str(other)]) == 1 and capsys.readouterr().out.startswith(str(other))

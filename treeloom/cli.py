@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import argparse
 import json
+import os
 import sys
 from pathlib import Path
 
@@ -49,6 +50,8 @@ def _parser() -> argparse.ArgumentParser:
     p.add_argument("--trailing-whitespace", action="store_true")
     p.add_argument("--bom", choices=["default", "strip", "reject"], default="default")
     p.add_argument("--no-doc-comments", action="store_true")
+    p.add_argument("--max-depth", type=int, default=0, help="fail where nodes stand in each other deeper than so many levels; 0 for any depth")
+    p.add_argument("--portable-paths", choices=["on", "off"], default="on", help="show paths from the working directory on, with forward slashes")
     return p
 
 
@@ -56,6 +59,18 @@ def _options(a: argparse.Namespace) -> nim.Options:
     return nim.Options(a.tabs, a.tab_width, a.tab_stops, a.indent_width, a.indent_consistency, a.final_newline, a.newline, a.trailing_whitespace, a.bom, not a.no_doc_comments)
 
 
+def portable(path: str) -> str:
+    """A path from the working directory on, where it is below it, with forward slashes."""
+    below = os.path.relpath(path)
+    return (path if below.startswith("..") else below).replace(os.sep, "/")
+
+
+def too_deep(tree: Tree, limit: int) -> int | None:
+    """Line of the first node that is deeper than ``limit`` levels below the root; None without one or without a limit."""
+    at = next((offset for offset, depth in zip(tree.offsets, tree.depths, strict=True) if depth > limit), None) if limit > 0 else None
+    return None if at is None else int(Positions(tree.text).of(np.array([at]))[0][0])
+
+
 def extension(path: str) -> str:
     name = path.rpartition("/")[2]
     return "." + name.rpartition(".")[2].lower() if "." in name else ""
@@ -168,7 +183,8 @@ def main(argv: list[str] | None = None) -> int:
     except OSError as e:
         sys.stderr.write(f"{a.file}: {e.strerror}\n")
         return 1
-    path, text = a.filename or ("stdin" if piped else a.file), content.decode("latin-1")
+    named = a.file if a.portable_paths == "off" else portable(a.file)
+    path, text = a.filename or ("stdin" if piped else named), content.decode("latin-1")
     if a.verb == "jsonlint":
         try:
             jt.parse(text)
@@ -197,6 +213,10 @@ def main(argv: list[str] | None = None) -> int:
             return 1
     is_nim = command in ("nim", "p", "parse")
     tree = nim_tree.parse(text) if is_nim else BY_COMMAND[command].parse(text)
+    deep = too_deep(tree, a.max_depth)
+    if deep is not None:
+        sys.stderr.write(f"{path}: nesting is deeper than --max-depth {a.max_depth} at line {deep}\n")
+        return 1
     found = nim_diagnostics(text, _options(a), tuple(a.lint), a.curly) if is_nim else tree.diagnostics
     failed = any(d.severity == "error" for d in found)
     if a.verb == "check":
