@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterable
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 
@@ -35,46 +35,75 @@ class Positions:
         return line, offsets - self.starts[line - 1]
 
 
-@dataclass
 class Tree:
-    """A tree under construction; a node's number is its place in document order."""
-
-    text: str
-    tags: list[str] = field(default_factory=list)
-    spans: list[tuple[int, int] | None] = field(default_factory=list)  # of the text, for leaves that have one
-    offsets: list[int] = field(default_factory=list)
-    parents: list[int] = field(default_factory=list)
-    ends: list[int] = field(default_factory=list)
-    depths: list[int] = field(default_factory=list)
-    diagnostics: list[Diagnostic] = field(default_factory=list)
-    made: dict[int, str] = field(default_factory=dict)  # text of leaves that is not of the document
-    _open: list[int] = field(default_factory=list)
+    """A tree under construction; a node's number is its place in document order.
+
+    Nodes are kept as rows while they are added, and read as columns.
+    """
+
+    def __init__(self, text: str) -> None:
+        self.text = text
+        self.diagnostics: list[Diagnostic] = []
+        self.made: dict[int, str] = {}  # text of leaves that is not of the document
+        self.ends: list[int] = []
+        self._rows: list[tuple[str, int, tuple[int, int] | None, int, int]] = []
+        self._open: list[int] = []
+        self._top = -1
+        self._columns: tuple[tuple, ...] = ((),) * 5
+        self._read = 0
 
     def _add(self, tag: str, at: int, span: tuple[int, int] | None) -> int:
-        number = len(self.tags)
-        self.tags.append(tag)
-        self.spans.append(span)
-        self.offsets.append(at)
-        self.parents.append(self._open[-1] if self._open else -1)
+        rows = self._rows
+        number = len(rows)
+        rows.append((tag, at, span, self._top, len(self._open)))
         self.ends.append(number + 1)
-        self.depths.append(len(self._open))
         return number
 
     def open(self, tag: str, at: int) -> int:
-        number = self._add(tag, at, None)
+        self._top = number = self._add(tag, at, None)
         self._open.append(number)
         return number
 
     def close(self) -> None:
-        self.ends[self._open.pop()] = len(self.tags)
+        opened = self._open
+        self.ends[opened.pop()] = len(self._rows)
+        self._top = opened[-1] if opened else -1
 
     def leaf(self, tag: str, start: int, end: int) -> None:
-        self._add(tag, start, (start, end))
+        rows = self._rows
+        rows.append((tag, start, (start, end), self._top, len(self._open)))
+        self.ends.append(len(rows))
 
     def mark(self, tag: str, at: int) -> None:
         """A node that stands for fixed text."""
         self._add(tag, at, None)
 
+    def _column(self, number: int) -> tuple:
+        if self._read != len(self._rows):
+            self._columns, self._read = tuple(zip(*self._rows, strict=True)), len(self._rows)
+        return self._columns[number]
+
+    @property
+    def tags(self) -> tuple[str, ...]:
+        return self._column(0)
+
+    @property
+    def offsets(self) -> tuple[int, ...]:
+        return self._column(1)
+
+    @property
+    def spans(self) -> tuple[tuple[int, int] | None, ...]:
+        """Of the text, for leaves that have one."""
+        return self._column(2)
+
+    @property
+    def parents(self) -> tuple[int, ...]:
+        return self._column(3)
+
+    @property
+    def depths(self) -> tuple[int, ...]:
+        return self._column(4)
+
     def error(self, code: str, message: str, at: int, **more: object) -> None:
         self.diagnostics.append(Diagnostic(code, message, at, **more))  # type: ignore[arg-type]
 

@@ -12,7 +12,7 @@ apart: it numbers the documents of a partition, as monotonically_increasing_id d
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from itertools import count
 
 import numpy as np
@@ -89,7 +89,7 @@ def node_batch(held: Held, tags: frozenset[str] | None = None) -> tuple[pa.Recor
     return batch, use
 
 
-def _picked(values: list, own: np.ndarray | range) -> list:
+def _picked(values: Sequence, own: np.ndarray | range) -> Sequence:
     return values if isinstance(own, range) else [values[i] for i in own.tolist()]
 
 
