@@ -359,9 +359,11 @@ def brute_repeats(texts, length, words, short):
     return out
 
 
-@pytest.mark.parametrize(("length", "words", "short", "hot"), [(400, 51, 272, 2000), (300, 20, 120, 2000), (300, 20, 120, 2), (40, 6, 24, 2000), (40, 6, 24, 1), (30, 3, 9, 0), (30, 4, 30, 2000)])
-def test_remove_repeats(spark, none, length, words, short, hot, monkeypatch):
+@pytest.mark.parametrize(("length", "words", "short", "hot", "large"), [(400, 51, 272, 2000, 200_000), (300, 20, 120, 2000, 200_000), (300, 20, 120, 2, 5), (40, 6, 24, 2000, 200_000), (40, 6, 24, 1, 1), (30, 3, 9, 0, 200_000), (30, 4, 30, 2000, 200_000)])
+def test_remove_repeats(spark, none, length, words, short, hot, large, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "HOT_OWNER", hot)
+    monkeypatch.setattr(suffix_dedup, "LARGE_OWNER", large)
+    monkeypatch.setattr(suffix_dedup, "LARGE_SHARE", 64 if large > 1000 else 1)
     monkeypatch.setattr(suffix_dedup, "SCAN_BYTES", 2000)
     rng = np.random.default_rng(length + hot + words)
     say = lambda n: "".join(rng.choice(list("abcdé   \n"), n))

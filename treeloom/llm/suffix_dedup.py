@@ -42,6 +42,8 @@ GRAM = 32
 SCAN_BYTES, INDEX_BYTES = 1 << 20, 1 << 19
 #: Owners with more different super-windows than this have their windows counted one by one.
 HOT_OWNER = 2000
+#: Owners with about so many are not brought together at all; they are found on one of so many super-windows.
+LARGE_OWNER, LARGE_SHARE = 200_000, 64
 _PLACE = (1 << 24) - 1
 #: No hash: there is nothing that far on that side of an owner.  Where sides are not told apart, all agree.
 NO_SIDE, ANY_SIDE = 0, 1
@@ -432,6 +434,40 @@ def _hot_windows(length: int, words: int, short: int):  # noqa: ANN202
     return run
 
 
+def _equal(narrow: DataFrame) -> DataFrame:
+    """owner, content, sides, n of different super-windows; equal ones of a batch are combined before they move."""
+    return narrow.mapInArrow(_combine(2), "owner long, content long, sides long, n long")
+
+
+def _sided(equal: DataFrame) -> DataFrame:
+    return equal.withColumn("left", F.shiftright("sides", 32)).withColumn("right", F.col("sides").bitwiseAND(F.lit((1 << 32) - 1)))
+
+
+def _near(narrow: DataFrame) -> DataFrame:
+    """owner, content, n, near and hot of super-windows that are repeated or may share something with another one of their owner."""
+    equal = _equal(narrow).repartition("owner").groupBy("owner", "content").agg(F.sum("n").alias("n"), F.min("sides").alias("sides"))
+    of_owner = Window.partitionBy("owner")
+    sided = _sided(equal.withColumn("kinds", F.count("*").over(of_owner)).filter("n > 1 or kinds > 1"))
+    for side in ("left", "right"):
+        alike = F.count("*").over(Window.partitionBy("owner", side)) > 1
+        sided = sided.withColumn(f"{side}s", (F.col("kinds") > 1) & (F.col(side) != NO_SIDE) & alike)
+    near = sided.withColumn("near", F.col("lefts") | F.col("rights")).filter("n > 1 or near")
+    near = near.withColumn("hot", F.sum(F.col("near").cast("int")).over(of_owner) > HOT_OWNER).withColumn("new", F.min(F.when(F.col("near"), F.col("n"))).over(of_owner) == 1)
+    near = near.withColumn("near", F.col("near") & F.col("new")).filter("n > 1 or near")  # where all are repeated there is nothing to compare
+    return near.select("owner", "content", "n", "near", "hot")
+
+
+def _near_of_large(narrow: DataFrame) -> DataFrame:
+    """The same for owners of any number of super-windows, which spread over tasks by content and by side; all count as hot."""
+    equal = _sided(_equal(narrow).groupBy("owner", "content").agg(F.sum("n").alias("n"), F.min("sides").alias("sides")))
+    near = equal
+    for side in ("left", "right"):
+        alike = equal.filter(F.col(side) != NO_SIDE).groupBy("owner", side).count().filter("count > 1").select("owner", side, F.lit(True).alias(f"{side}s"))
+        near = near.join(alike, ["owner", side], "left")
+    near = near.withColumn("near", F.coalesce("lefts", "rights", F.lit(False))).filter("n > 1 or near")
+    return near.select("owner", "content", "n", "near", F.col("near").alias("hot"))
+
+
 def repeated_spans(texts: DataFrame, length: int = LENGTH, words: int = WORDS, short: int = SHORT) -> tuple[DataFrame, str]:
     """h1, h2 and spans (array of kind, low, high) of the texts, as :func:`distinct_texts` gives them, with repeated windows or passages.
 
@@ -446,19 +482,14 @@ def repeated_spans(texts: DataFrame, length: int = LENGTH, words: int = WORDS, s
     with collected() as made:
         scanned = checkpoint(texts.select("h1", "h2", "copies", "content").mapInArrow(lambda batches: _scan(batches, short, length), _SW), "windows")
 
-        # Different super-windows of an owner, and how many of them agree on a side of it.
-        combined = scanned.select("owner", "content", "sides", F.col("copies").alias("n")).mapInArrow(_combine(2), "owner long, content long, sides long, n long").repartition("owner")
-        equal = combined.groupBy("owner", "content").agg(F.sum("n").alias("n"), F.min("sides").alias("sides"))
-        several = equal.withColumn("kinds", F.count("*").over(Window.partitionBy("owner"))).filter("n > 1 or kinds > 1")
-        sided = several.withColumn("left", F.shiftright("sides", 32)).withColumn("right", F.col("sides").bitwiseAND(F.lit((1 << 32) - 1)))
-        for side in ("left", "right"):
-            alike = F.count("*").over(Window.partitionBy("owner", side)) > 1
-            sided = sided.withColumn(f"{side}s", (F.col("kinds") > 1) & (F.col(side) != NO_SIDE) & alike)
-        near = sided.withColumn("near", F.col("lefts") | F.col("rights")).filter("n > 1 or near")
-        of_owner = Window.partitionBy("owner")
-        near = near.withColumn("hot", F.sum(F.col("near").cast("int")).over(of_owner) > HOT_OWNER).withColumn("new", F.min(F.when(F.col("near"), F.col("n"))).over(of_owner) == 1)
-        near = near.withColumn("near", F.col("near") & F.col("new")).filter("n > 1 or near")  # where all are repeated there is nothing to compare
-        groups = checkpoint(near.select("owner", "content", "n", "near", "hot"), "owners")
+        # Owners with very many super-windows, found on a share of these, are kept out of what one task does for an owner.
+        counted = scanned.filter(F.pmod("content", F.lit(LARGE_SHARE)) == 0).groupBy("owner").count().filter(F.col("count") * LARGE_SHARE > LARGE_OWNER)
+        large = [r[0] for r in counted.select("owner").collect()]  # not more than all super-windows over LARGE_OWNER
+        narrow = scanned.select("owner", "content", "sides", F.col("copies").alias("n"))
+        near = _near(narrow.filter(~F.col("owner").isin(large)) if large else narrow)
+        if large:
+            near = near.unionByName(_near_of_large(narrow.filter(F.col("owner").isin(large))))
+        groups = checkpoint(near, "owners")
         located = checkpoint(scanned.drop("sides").join(groups, ["owner", "content"]).filter("near or copies = 1"), "located")
         release(spark)
 
