@@ -21,8 +21,8 @@ _NESTING = {"[": 1, "{": 1, "]": -1, "}": -1}
 _TRIVIA = re.compile(r"[ \t]*(?:(?<![^ \t\r\n])#.*)?", re.DOTALL)
 _PROPERTIES = re.compile(r"(?:[&!][^ \t,\[\]{}]*[ \t]*)*")
 _BLOCK_SCALAR = re.compile(r"[|>][-+0-9]*\Z")
+_PLAIN_REST = re.compile(r"((?:[^ \t#'\"\[\]{}&!|>]++(?:[ \t]++(?=[^ \t]))?)*+)[ \t]*\Z")
 _PLAIN_KEY = re.compile(r"[^:#'\"\[\]{}]*:")
-_SEQUENCE = re.compile(r"-(?:[ \t]|\Z)")
 _MARKER = re.compile(r"(---|\.\.\.)(?:[ \t]|\Z)")
 
 
@@ -217,36 +217,44 @@ class _Yaml:
 
     def rest(self, at: int) -> bool:
         """The value at the end of a line; whether it announces a block scalar."""
-        past = _PROPERTIES.match(self.text, at, self.line.stop).end()
-        if past < self.line.stop and self.text[past] in "[{":
-            at = self.blanks(self.flow(self.properties(at), 0))
-            comment = self.comment_at(at, self.line.stop)
-            self.leaf("value", at, comment)
-            self.leaf("comment", comment, self.line.stop)
+        text, line = self.text, self.line
+        plain = _PLAIN_REST.match(text, at, line.stop)
+        if plain:  # nothing in it opens, quotes or comments
+            core = plain.end(1)
+            self.leaf("value", at, core)
+            self.leaf("ws", core, line.stop)
             self.end_line()
             return False
-        comment = self.comment_at(at, self.line.stop)
-        core = at + len(self.text[at:comment].rstrip(" \t"))
+        past = _PROPERTIES.match(text, at, line.stop).end()
+        collection = past < line.stop and text[past] in "[{"
+        if collection:
+            at = self.blanks(self.flow(self.properties(at), 0))
+        stop = self.line.stop
+        comment = self.comment_at(at, stop)
+        core = comment if collection else at + len(text[at:comment].rstrip(" \t"))
         self.leaf("value", at, core)
         self.leaf("ws", core, comment)
-        self.leaf("comment", comment, self.line.stop)
+        self.leaf("comment", comment, stop)
         self.end_line()
-        return bool(_BLOCK_SCALAR.match(self.text[at:core]))
-
-    def tag_at(self, at: int) -> str:
-        if _SEQUENCE.match(self.text[at : min(at + 2, self.line.stop)]):
-            return "item"
-        return "entry" if self.key_colon(at, self.line.stop) >= 0 else "line"
-
-    def inner(self, at: int, wrapped: bool) -> bool:
-        """A line's content: items inside items, then an entry or a plain line.  ``wrapped``: the first one's node is open."""
+        return not collection and bool(_BLOCK_SCALAR.match(text[at:core]))
+
+    def head(self, at: int) -> tuple[str, int]:
+        """What kind of node begins at a place of a line, and where an entry's colon is."""
+        stop = self.line.stop
+        if self.text[at] == "-" and (at + 1 == stop or self.text[at + 1] in " \t"):
+            return "item", -1
+        colon = self.key_colon(at, stop)
+        return ("entry" if colon >= 0 else "line"), colon
+
+    def inner(self, at: int, head: tuple[str, int] | None = None) -> bool:
+        """A line's content: items inside items, then an entry or a plain line.  ``head``: that of the first one, whose node is open."""
         opened = 0
         while True:
-            tag = self.tag_at(at)
-            if not wrapped:
+            tag, colon = head or self.head(at)
+            if head is None:
                 self.tree.open(tag, at)
                 opened += 1
-            wrapped = False
+            head = None
             if tag == "item":
                 self.leaf("marker", at, at + 1)
                 at = self.blanks(at + 1)
@@ -255,7 +263,6 @@ class _Yaml:
                 self.end_line()
                 scalar = False
             elif tag == "entry":
-                colon = self.key_colon(at, self.line.stop)
                 self.leaf("key", at, colon)
                 self.leaf("colon", colon, colon + 1)
                 scalar = self.rest(self.blanks(colon + 1))
@@ -302,8 +309,9 @@ class _Yaml:
             while indent < least[-1]:
                 leave()
             at = self.blanks(self.line.start)
-            self.tree.open(self.tag_at(at), at)
-            scalar = self.inner(at, True)
+            head = self.head(at)
+            self.tree.open(head[0], at)
+            scalar = self.inner(at, head)
             self.i += 1
             if scalar:
                 self.block_scalar(indent)
@@ -326,7 +334,7 @@ class _Yaml:
         self.leaf("marker", start, start + 3)
         at = self.blanks(start + 3)
         if at < self.line.stop:
-            self.inner(at, False)
+            self.inner(at)
         else:
             self.end_line()
         self.i += 1
