@@ -419,7 +419,9 @@ def brute_components(fps, ids, distance):
     return [min((i for i in least[find(f)] if i is not None), default=None) for f in fps]
 
 
-def test_simhash(docs, none):
+@pytest.mark.parametrize("least", [1000, 2])
+def test_simhash(docs, none, least, monkeypatch):
+    monkeypatch.setattr(simhash, "COMMON_LEAST", least)
     got = Counter(rows(simhash.near_duplicates(docs)))
     fps = [brute_fingerprint(t) for _, t, _ in ROWS]
     roots = brute_components(fps, [i for i, _, _ in ROWS], 4)
