@@ -45,7 +45,7 @@ def test_query(spark, duck, name):
 
 
 #: Queries that read documents with more than one parser, or one parser's output with another.
-PARSERS = {"css_decls_from_pages": 2, "css_selectors_from_pages": 2, "web_check_generated": 2, "artifact_round_trip": 3, "truncation_fuzz_documents": 5}
+PARSERS = {"css_decls_from_pages": 2, "css_selectors_from_pages": 2, "web_check_generated": 2, "artifact_round_trip": 3, "truncation_fuzz": 9}
 
 
 @needs_data

@@ -206,17 +206,15 @@ for _which in ("css", "html", "js", "py"):
     _prose_identity(_which)
 
 
-@query("""
-    with c as (select octet_length(encode(text)) n from documents), s as (select n, greatest(1, n // 128) step from c)
-    select v.dialect, cast(sum(case when n <= 262144 then n // step + 1 else 0 end) as bigint) as prefixes, cast(0 as bigint) as failed, count(*) filter (n > 262144) as skipped
-    from s, (values ('css'), ('json'), ('md'), ('yaml'), ('cfg')) v(dialect) group by 1
+@query(f"""
+    with c as ({known([(d + "-parsed", text) for d, text, *_ in SHAPES], "dialect", "content")}), s as (select dialect, octet_length(encode(content)) n from c)
+    select dialect, cast(sum(n // greatest(1, n // 128) + 1) as bigint) as prefixes, cast(0 as bigint) as failed, cast(0 as bigint) as skipped from s group by 1
 """)
-def truncation_fuzz_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Prefixes of the documents survive parsing and rendering in these dialects."""
-    docs = spread(table(spark, sf_dir, "documents")).select("doc_id", F.coalesce("text", F.lit("")).alias("content"))
-    out = None
-    for which in ("css", "json", "md", "yaml", "cfg"):
-        found = gates.truncations(docs, which).agg(F.lit(which).alias("dialect"), *(F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(c) for c in ("prefixes", "failed")), F.count_if("skipped").alias("skipped"))
+def truncation_fuzz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prefixes of the sources of every dialect survive parsing and rendering."""
+    docs, out = deal(spark, sf_dir, [s[1] for s in SHAPES], [s[0] for s in SHAPES]), None
+    for which in dict.fromkeys(s[0] for s in SHAPES):
+        found = gates.truncations(docs.filter(F.col("dialect") == f"{which}-parsed"), which).agg(F.lit(f"{which}-parsed").alias("dialect"), F.sum("prefixes").alias("prefixes"), F.sum("failed").alias("failed"), F.count_if("skipped").alias("skipped"))
         out = found if out is None else out.unionByName(found)
     return out
 
