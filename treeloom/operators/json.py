@@ -7,6 +7,7 @@ Where spelling, duplicate keys and strictness do not matter, Spark's own
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator, Sequence
+from json import dumps
 from operator import attrgetter
 
 import numpy as np
@@ -113,6 +114,27 @@ def lint(docs: DataFrame, id_col: str = "doc_id", content_col: str = "content")
     return _content(docs, id_col, content_col).mapInArrow(run, "doc_id long, valid boolean, error string, byte int, line int, col int")
 
 
+def value_or_error(docs: DataFrame, id_col: str = "doc_id", content_col: str = "content") -> DataFrame:
+    """doc_id, value and error: members, elements or scalar of each valid document as a JSON array of {key, kind, lexeme}, else ``<message> at offset <byte>``."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for doc, text in _texts([batch]):
+                try:
+                    found = jt.parse(text)
+                except jt.JsonError as e:
+                    rows.append((doc, None, f"{e.message} at offset {e.at}"))
+                    continue
+                root = [e for e in found if e.depth == 1 and not e.is_key] if found[0].kind in ("object", "array") else found
+                parts = [{"key": _COLUMNS["key"](text, found, e), "kind": e.kind, "lexeme": _shown(text, found, e)} for e in root]
+                rows.append((doc, dumps([{k: v for k, v in part.items() if v is not None} for part in parts], ensure_ascii=False, separators=(",", ":")), None))
+            columns = list(zip(*rows, strict=True)) or [()] * 3
+            yield pa.record_batch([pa.array(columns[0], pa.int64()), *(pa.array(c, pa.string()) for c in columns[1:])], names=["doc_id", "value", "error"])
+
+    return _content(docs, id_col, content_col).mapInArrow(run, "doc_id long, value string, error string")
+
+
 def query_all(docs: DataFrame, paths: Sequence[str], id_col: str = "doc_id", content_col: str = "content") -> DataFrame:
     """doc_id, path, status (ok, absent, invalid), kind and value of what each path leads to in each document, from one parse."""
     steps = [(path, jt.path_steps(path)) for path in paths]

@@ -367,8 +367,33 @@ def artifact_reading(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id").join(rows, "doc_id", "left").select("doc_id", F.coalesce(F.array_join(F.transform("d", lambda x: x["t"]), " "), F.lit("")).alias("nodes"))
 
 
+CANONICAL = [
+    ('(.aif27)\n(.vendor "a")\n(.dialect "css-parsed")\n(stylesheet@0,1 (rule@0,1 (ident "x\\28¤")))', '(.tree) (.vendor "") (.dialect "css-parsed") (stylesheet (rule (ident "x\\28¤")))'),
+    ('(.aif28)\n(.vendor "b")\n(.dialect "css-parsed")\n(stylesheet (rule~3 (ident#c "x\\28¤")))', '(.tree) (.vendor "") (.dialect "css-parsed") (stylesheet (rule (ident "x\\28¤")))'),
+    ("", ""),
+]
+
+
+@query(known([(w,) for _, w in CANONICAL], "canonical"))
+def artifact_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two writers' artifacts of one tree are one text."""
+    return deal(spark, sf_dir, [c for c, _ in CANONICAL]).select("doc_id", artifact.canonical(F.col("content")).alias("canonical"))
+
+
 # --- strict JSON
 
+VALUES = [
+    ('{"a":¤,"b":[1],"a":"x\\u0041"}', '[{"key":"a","kind":"int","lexeme":"¤"},{"key":"b","kind":"array"},{"key":"a","kind":"string","lexeme":"x\\\\u0041"}]', None),
+    ("[1.50, null]", '[{"kind":"float","lexeme":"1.50"},{"kind":"null","lexeme":"null"}]', None), ("¤", '[{"kind":"int","lexeme":"¤"}]', None),
+    ("[1,]", None, "a value expected at offset 3"), ('{"a" 1}', None, "':' expected at offset 5"), ("", None, "empty document at offset 0"),
+]
+
+
+@query(known([(v, e) for _, v, e in VALUES], "value", "error"))
+def json_values_or_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return strict.value_or_error(deal(spark, sf_dir, [c for c, *_ in VALUES]))
+
+
 JSON_FAULTS = [
     ("{}", None), ("[]", None), ("0", None), ("-0.5e+3", None), (' "a\\u00e9\\n" ', None), ('[1,[2,{"a":null}]]', None), ('{"a":1,"a":¤}', None), ("true", None), ("\t1\n", None),
     ("", "empty document"), ("[1,]", "a value expected"), ('{"a":1,}', "trailing comma"), ("01", "trailing content after the document"), ("+1", "a value expected"), (".5", "a value expected"),

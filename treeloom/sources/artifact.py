@@ -109,3 +109,13 @@ def read_artifacts(artifacts: DataFrame, id_col: str = "doc_id", artifact_col: s
 def dialect_of(artifact: Column) -> Column:
     """Dialect name in an artifact's header; empty without one."""
     return F.regexp_extract(artifact.cast("string"), r'^\s*(?:\(\.[^)]*\)\s*)*?\(\.dialect "([^"]*)"', 1)
+
+
+def canonical(artifact: Column) -> Column:
+    """An artifact's text without what two writers of one tree may differ in: positions and comments of tags, vendor, format version.
+
+    Strings have no bracket of their own, so a bracket always begins a node.
+    """
+    text = F.regexp_replace(artifact.cast("string"), r"\((\.?[^\s()\"@~#]*)[@~#][^\s()\"]*", "($1")
+    text = F.regexp_replace(text, r'\(\.vendor "[^"]*"\)', '(.vendor "")')
+    return F.trim(F.regexp_replace(F.regexp_replace(text, r"^\s*\(\.[a-z]+\d+\)", "(.tree)"), r"\s+", " "))
