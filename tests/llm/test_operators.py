@@ -10,7 +10,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from treeloom.llm import bpe, components, decontaminate, exact_dedup, langid, learning, quality, sharding, simhash, suffix_dedup, suffixes, toxicity, warc
+from treeloom.llm import bpe, common, components, decontaminate, exact_dedup, langid, learning, quality, sharding, simhash, suffix_dedup, suffixes, toxicity, warc
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, keep_id string, score string, spans string"
 PHRASE = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu"
@@ -47,7 +47,9 @@ def rows(df):
 # --- exact dedup
 
 
-def test_exact_dedup(docs, none):
+@pytest.mark.parametrize("least", [1000, 2])
+def test_exact_dedup(docs, none, least, monkeypatch):
+    monkeypatch.setattr(common, "COMMON_LEAST", least)
     groups = defaultdict(list)
     for i, t, _ in ROWS:
         groups[t or ""].append(i)
@@ -421,7 +423,7 @@ def brute_components(fps, ids, distance):
 
 @pytest.mark.parametrize("least", [1000, 2])
 def test_simhash(docs, none, least, monkeypatch):
-    monkeypatch.setattr(simhash, "COMMON_LEAST", least)
+    monkeypatch.setattr(common, "COMMON_LEAST", least)
     got = Counter(rows(simhash.near_duplicates(docs)))
     fps = [brute_fingerprint(t) for _, t, _ in ROWS]
     roots = brute_components(fps, [i for i, _, _ in ROWS], 4)

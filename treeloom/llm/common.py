@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: Used only on one machine and where the session names no shared folder, as in tests.
 FALLBACK_CHECKPOINT_DIR = "/tmp/treeloom-checkpoints"
+#: Keys are common if more than this many rows have them, and more than such a part of all rows.
+COMMON_LEAST, COMMON_MOST = 1000, 10_000
 _open: list[list[str]] = []
 
 
@@ -73,6 +75,19 @@ def drop_written(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def join_with_common(rows: DataFrame, found: DataFrame, key: str, n: str) -> DataFrame:
+    """``rows`` joined with ``found``, which has each key once and how many rows have it in ``n``.
+
+    Rows of a key that very many have do not move: such keys are broadcast,
+    COMMON_MOST of them at most.  ``found`` is read three times and should be a checkpoint.
+    """
+    total = found.agg(F.sum(n)).first()[0] or 0
+    share = max(COMMON_LEAST, total // COMMON_MOST)
+    common = F.broadcast(found.filter(F.col(n) > share))
+    others = rows.join(common.select(key), key, "left_anti").join(found.filter(F.col(n) <= share), key)
+    return others.unionByName(rows.join(common, key))
+
+
 def text_of(column: str = "text") -> Column:
     """The text, a null as the empty string."""
     return F.coalesce(F.col(column).cast("string"), F.lit(""))

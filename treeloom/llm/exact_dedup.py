@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of
+from .common import checkpoint, join_with_common, text_of
 
 SLOTS = 4
 MAX_KICKS = 64
@@ -205,9 +205,9 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     and carry the same verdict.  Columns other than id and text are not read.
     No rows give no rows.
     """
-    groups = build_index(docs, id_col, text_col).withColumnRenamed("digest", "__digest")
+    groups = checkpoint(build_index(docs, id_col, text_col).withColumnRenamed("digest", "__digest"), "digests")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.unhex(F.sha2(text_of(text_col), 256)).alias("__digest"))
-    return rows.join(groups, "__digest").select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("__digest")).alias("text_sha256"))
+    return join_with_common(rows, groups, "__digest", "group_size").select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("__digest")).alias("text_sha256"))
 
 
 def survivors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

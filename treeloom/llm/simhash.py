@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, collected, drop_written, text_of, written
+from .common import checkpoint, collected, drop_written, join_with_common, text_of, written
 from .components import components
 
 WORDS, SEED, DISTANCE = 4, 42, 4
@@ -32,8 +32,6 @@ PARTITIONS, MANY = (4, 3, 2), 1 << 22
 HISTOGRAM_BITS = 16
 #: Candidates that cost as much as one probe.
 PROBE_COST = 250.0
-#: Fingerprints are common if more than this many rows have them, and more than such a part of all rows.
-COMMON_LEAST, COMMON_MOST = 1000, 10_000
 #: Members of a bucket that one task compares; larger buckets are dealt out block by block.
 BLOCK = 20_000
 LOWER = bytes(i + 32 if 65 <= i <= 90 else i for i in range(256))
@@ -375,15 +373,7 @@ def near_duplicates(docs: DataFrame, distance: int = DISTANCE, partitions: int |
     for path in made:
         if path != named_at:
             drop_written(spark, path)
-    return _of_rows(fps, named).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def _of_rows(fps: DataFrame, named: DataFrame) -> DataFrame:
-    """The component of every row by its fingerprint; rows of a fingerprint that very many have do not move."""
-    share = max(COMMON_LEAST, fps.count() // COMMON_MOST)  # from the footers of the checkpoint
-    common = F.broadcast(named.filter(F.col("n") > share).drop("n"))  # not more than COMMON_MOST fingerprints
-    others = fps.join(common.select("fp"), "fp", "left_anti").join(named.filter(F.col("n") <= share).drop("n"), "fp")
-    return others.unionByName(fps.join(common, "fp"))
+    return join_with_common(fps, named, "fp", "n").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
