@@ -484,11 +484,12 @@ def repeated_spans(texts: DataFrame, length: int = LENGTH, words: int = WORDS, s
 
         # Owners with very many super-windows, found on a share of these, are kept out of what one task does for an owner.
         counted = scanned.filter(F.pmod("content", F.lit(LARGE_SHARE)) == 0).groupBy("owner").count().filter(F.col("count") * LARGE_SHARE > LARGE_OWNER)
-        large = [r[0] for r in counted.select("owner").collect()]  # not more than all super-windows over LARGE_OWNER
+        large = F.broadcast(checkpoint(counted.select("owner"), "large"))  # eight bytes for each LARGE_OWNER super-windows at most
         narrow = scanned.select("owner", "content", "sides", F.col("copies").alias("n"))
-        near = _near(narrow.filter(~F.col("owner").isin(large)) if large else narrow)
-        if large:
-            near = near.unionByName(_near_of_large(narrow.filter(F.col("owner").isin(large))))
+        if large.isEmpty():
+            near = _near(narrow)
+        else:
+            near = _near(narrow.join(large, "owner", "left_anti")).unionByName(_near_of_large(narrow.join(large, "owner", "left_semi")))
         groups = checkpoint(near, "owners")
         located = checkpoint(scanned.drop("sides").join(groups, ["owner", "content"]).filter("near or copies = 1"), "located")
         release(spark)
