@@ -259,7 +259,7 @@ def distinct_texts(docs: DataFrame, text_col: str) -> tuple[DataFrame, list[str]
     What is joined with this table by digest moves to it; the texts do not move again.
     """
     spark = docs.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = min(int(spark.conf.get("spark.sql.shuffle.partitions")), int(spark.conf.get("spark.sql.sources.bucketing.maxBuckets", "100000")))
     rows = docs.select(*digest_of(text_col), text_of(text_col).cast("binary").alias("content"), F.lit(1).cast("long").alias("copies"))
     sorted_rows = rows.mapInArrow(_combine(2), _TEXTS).repartition(parts, "h1", "h2").sortWithinPartitions("h1", "h2")
     path = shared_path(spark, "texts")
