@@ -686,3 +686,51 @@ def test_pipeline(spark, docs, tmp_path):
         at = spark.read.parquet(str(tmp_path / f"s{i}"))
     assert at.count() <= len(ROWS)
     assert sorted(r["decoded_sha256"] for r in pipeline.run(spark, str(tmp_path)).collect()) == sorted(r["decoded_sha256"] for r in at.collect())
+
+
+def brute_cut(text, items):
+    """``text`` without hit words and what stands between them, until no window is left."""
+    while True:
+        found = [m.span() for m in WORD.finditer(text.translate({i: i + 32 for i in range(65, 91)}))]
+        said = [text[a:b].lower() for a, b in found]
+        hit = set()
+        for item in items:
+            w = words(item)
+            for j in range(len(w) - 9):
+                hit |= {i + k for i in range(len(said) - 9) if said[i : i + 10] == w[j : j + 10] for k in range(10)}
+        if not hit:
+            return text
+        for i in sorted(hit, reverse=True):
+            text = text[: found[i][0]] + text[found[i + 1][0] if i + 1 in hit else found[i][1] :]
+
+
+def test_pipeline_against_brute_force(spark, tmp_path, vocabulary):
+    import tiktoken
+
+    pipeline = pytest.importorskip("corpus_pipeline")
+    rng = np.random.default_rng(12)
+    say = lambda n: " ".join("".join(rng.choice(["the", "an", "er", "in", "ou", "st"], rng.integers(1, 4))) for _ in range(n))
+    texts = [say(60) for _ in range(60)]
+    texts += [texts[3], texts[3], texts[7], say(20) + " " + PHRASE.upper() + ", " + say(20), PHRASE + " " + say(30), "%%% &&& " * 40, "spam spam " * 60, None, ""]
+    long = say(900)
+    texts += [long, long[:-3], long + " x", say(30) + " " + " ".join(PHRASE.split()[:9]) + " " + say(30)]
+    data = [(i, t, "en", "s", None if t is None else len(t)) for i, t in enumerate(texts)]
+    spark.createDataFrame(data, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, PHRASE)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    at = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    keep = {r["doc_id"] for r in quality.classify(at).collect() if r["keep"]}  # the scorer has a test of its own
+    assert 50 < len(keep) < len(texts)
+    latest = {}
+    for i, t in enumerate(texts):
+        if i in keep:
+            latest[t or ""] = i
+    left = sorted(latest.values())
+    fps = [brute_fingerprint(texts[i]) for i in left]
+    left = sorted(set(brute_components(fps, left, 4)))
+    other = tiktoken.Encoding("own", pat_str=vocabulary[1], mergeable_ranks=bpe.load_ranks(vocabulary[0]), special_tokens={})
+    want = {}
+    for i in left:
+        text = brute_cut(texts[i] or "", [PHRASE])
+        want[i] = (other.encode_ordinary(text), hashlib.sha256(text.encode()).hexdigest())
+    got = {r["doc_id"]: (r["ids"], r["decoded_sha256"]) for r in pipeline.run(spark, str(tmp_path)).collect()}
+    assert got == want
