@@ -12,6 +12,7 @@ apart: it numbers the documents of a partition, as monotonically_increasing_id d
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Callable, Iterable, Iterator, Sequence
 from itertools import count
 
@@ -65,32 +66,44 @@ def _documents(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[int | None,
 Held = list[tuple[int | None, int, Tree]]
 
 
-def node_batch(held: Held, tags: frozenset[str] | None = None) -> tuple[pa.RecordBatch, list[np.ndarray | range]]:
+def _places(tree: Tree, own: Sequence[int]) -> tuple[Sequence[int], Sequence[int]]:
+    """Lines and columns of nodes; a few are looked up one by one."""
+    offsets = _picked(tree.offsets, own)
+    places = Positions(tree.text)
+    if len(own) > 100:
+        line, col = places.of(np.array(offsets, np.int64))
+        return line.tolist(), col.tolist()
+    starts = places.starts.tolist()
+    line = [bisect_right(starts, at) for at in offsets]
+    return line, [at - starts[n - 1] for at, n in zip(offsets, line, strict=True)]
+
+
+def node_batch(held: Held, tags: frozenset[str] | None = None) -> tuple[pa.RecordBatch, list[Sequence[int]]]:
     """Rows of the nodes, or of those with ``tags``, and their numbers in each tree."""
-    use = [range(len(t.tags)) if tags is None else np.flatnonzero([x in tags for x in t.tags]) for _, _, t in held]
-    counts = [len(u) for u in use]
-    line, col = [], []
+    use = [range(len(t.tags)) if tags is None else [i for i, x in enumerate(t.tags) if x in tags] for _, _, t in held]
+    line: list[int] = []
+    col: list[int] = []
     for (_, _, tree), own in zip(held, use, strict=True):
-        a, b = Positions(tree.text).of(np.array(tree.offsets, np.int64)[own])
-        line.append(a)
-        col.append(b)
+        a, b = _places(tree, own)
+        line += a
+        col += b
     flat = lambda name, kind: pa.array([x for (_, _, t), own in zip(held, use, strict=True) for x in _picked(getattr(t, name), own)], kind)
-    at = pa.array(np.repeat(np.arange(len(held)), counts))
+    at = pa.array(np.repeat(np.arange(len(held)), [len(own) for own in use]))
     batch = pa.record_batch(
         [
             pa.array([d for d, _, _ in held], pa.int64()).take(at), pa.array([k for _, k, _ in held], pa.int64()).take(at),
-            pa.array(np.concatenate([np.asarray(own, np.int32) for own in use])),
+            pa.array([i for own in use for i in own], pa.int32()),
             flat("parents", pa.int32()), flat("ends", pa.int32()), flat("depths", pa.int32()), flat("tags", pa.string()),
             pa.array([x for (_, _, t), own in zip(held, use, strict=True) for x in t.raws(own)], pa.binary()),
-            pa.array(np.concatenate(line).astype(np.int32)), pa.array(np.concatenate(col).astype(np.int32)),
+            pa.array(line, pa.int32()), pa.array(col, pa.int32()),
         ],
         names=[x.split()[0] for x in NODES.split(", ")],
     )
     return batch, use
 
 
-def _picked(values: Sequence, own: np.ndarray | range) -> Sequence:
-    return values if isinstance(own, range) else [values[i] for i in own.tolist()]
+def _picked(values: Sequence, own: Sequence[int]) -> Sequence:
+    return values if isinstance(own, range) else [values[i] for i in own]
 
 
 def _trees(batches: Iterable[pa.RecordBatch]) -> Iterator[Held]:
@@ -129,7 +142,7 @@ def parse_nodes(
             batch, use = node_batch(held, wanted)
             more = []
             for name, (_, context) in carry.items():
-                more.append(pa.array([x for (_, _, t), own in zip(held, use, strict=True) for x in map(context(t), own if isinstance(own, range) else own.tolist())], kinds[name]))
+                more.append(pa.array([x for (_, _, t), own in zip(held, use, strict=True) for x in map(context(t), own)], kinds[name]))
             yield pa.RecordBatch.from_arrays([*batch.columns, *more], names=[*batch.schema.names, *carry])
 
     return _inputs(docs, which, id_col, content_col).mapInArrow(run, NODES + "".join(f", {name} {kind}" for name, (kind, _) in carry.items()))
