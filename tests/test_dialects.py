@@ -10,6 +10,7 @@ import pytest
 from treeloom.dialects import cfg, css, html, js, json, md, nim, py, vds, yaml
 from treeloom.dialects.specs import DIALECTS, OPAQUE, PUNCT, STRUCT, TEXT, dialect
 from treeloom.functions import json_tape as jt
+from treeloom.operators import gates
 
 MODULES = {"css": css, "html": html, "js": js, "json": json, "md": md, "py": py, "vds": vds, "yaml": yaml, "cfg": cfg}
 PIECES = {
@@ -71,6 +72,54 @@ def test_any_text_survives(name):
             assert all(a < b for _, a, b in found) and "".join(latin(text)[a:b] for _, a, b in found) == latin(text)
 
 
+def same_trees(text, sizes):
+    for size, (tree, _) in zip(sizes, html.prefixes(text, sizes), strict=True):
+        want = html.parse(text[:size])
+        for part in ("tags", "offsets", "spans", "parents", "depths", "ends", "diagnostics"):
+            assert getattr(tree, part) == getattr(want, part), (text, size, part)
+
+
+def test_prefixes_have_the_trees_that_they_have_alone():
+    rng = random.Random("prefixes")
+    pieces = [*PIECES["html"], "</SCRIPT", "</scriptx>", "<title a='>'>", "</title >", "<TITLE/>", "<style\0>", "</style\0>", "-", "!", "[", "</", "<textarea", "ſ"]
+    for _ in range(1500):
+        text = latin("".join(rng.choice(pieces) for _ in range(rng.randint(0, 25))))
+        same_trees(text, range(len(text) + 1))
+        same_trees(text, sorted(rng.choices(range(len(text) + 2), k=4)))
+
+
+def test_prefixes_do_not_parse_again_what_they_share(monkeypatch):
+    """129 prefixes used to parse 65 times as many tags as the page has."""
+    text, parsed_tags, start_tag = "<p>a</p><br>" * 2000, [], html._start_tag
+    monkeypatch.setattr(html, "_start_tag", lambda *a: parsed_tags.append(1) or start_tag(*a))
+    cuts = range(0, len(text) + 1, len(text) // gates.SAMPLES)
+    assert gates.failed_from(html.prefixes(text, cuts), text, cuts, gates._rendered("html")) == 0
+    assert len(parsed_tags) <= 4000 + 2 * len(cuts)
+
+
+def test_truncations_that_lose_bytes_are_counted(monkeypatch):
+    """As many as when each prefix is parsed alone: of a parser that loses bytes at the end of its input, of one that always does, and when rendering."""
+    text, start_tag, rendering = "<ul id=a><li class='b' c>x<br/></li></ul><!-- d --><style>e{}</style>", html._start_tag, gates._rendered("html")
+    cuts = range(len(text) + 1)
+
+    def both(rendered):
+        found = gates.failed_from(html.prefixes(text, cuts), text, cuts, rendered)
+        assert found == sum(rendered(html.parse(text[:n])) != text[:n] for n in cuts)
+        return found
+
+    def at_end(tree, toks, i, size):
+        found = start_tag(tree, toks, i, size)
+        if found[0] == len(toks) and toks[-1][0] != "gt":
+            tree._rows.pop(), tree.ends.pop()
+        return found
+
+    assert both(rendering) == 0
+    assert both(lambda tree, *some: tree.rendered({"lt": "<", "ltslash": "</", "gt": ">", "eq": "="}, (), *some)) == len(text) - text.index(">", text.index("/>"))
+    assert both(lambda tree, *some: rendering(tree, *some).replace("x", "xx")) == len(text) - text.index("x")
+    monkeypatch.setattr(html, "_start_tag", at_end)
+    assert 0 < both(rendering) < len(cuts)
+
+
 @pytest.mark.parametrize("name", PIECES)
 @pytest.mark.parametrize("text", ["(" * 3000, "[" * 3000, "{" * 3000, "<" * 2000, "a{" * 1500, "- " * 800, "<div>" * 2000, "if x:\n" + "".join(" " * i + "if x:\n" for i in range(300))])
 def test_deep_text_survives(name, text):

@@ -109,6 +109,13 @@ def test_positions_are_in_bytes(spark):
     assert [tuple(r) for r in got] == [(2, 0), (3, 0), (4, 0)]
 
 
+def test_truncations_of_pages(spark):
+    texts = [None, "", "<p", "<p>é<!-- x", "<script>var a = '</p>'</script>" * 40, "<li a='" * 90 + "x" * 300, "<" * 262_145]
+    found = {r["doc_id"]: tuple(r)[1:] for r in gates.truncations(docs(spark, *texts), "html").collect()}
+    sizes = [len((t or "").encode()) for t in texts]
+    assert found == {i: (n // max(1, n // 128) + 1, 0, False) if n <= 262_144 else (0, 0, True) for i, n in enumerate(sizes)}
+
+
 def test_gates(spark):
     frame = docs(spark, "a{b:c}", "a{", "}", "")
     assert all(r["same"] and r["first_difference"] is None for r in gates.round_trip(frame, "css").collect())

@@ -8,6 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..dialects import html
 from ..dialects.specs import OPAQUE, PUNCT, dialect, node_spec_rows
 from ..dialects.tree import Tree
 from .nodes import mapped
@@ -15,6 +16,8 @@ from .tree import count_tag, max_nesting
 
 #: Prefixes of a document, and the largest document, of the truncation gate.
 SAMPLES, LARGEST = 128, 262_144
+#: Parsers, and what makes their trees of many prefixes of a text without starting over.
+RESUMED = {html.parse: html.prefixes}
 
 
 def _content(docs: DataFrame, id_col: str, content_col: str) -> DataFrame:
@@ -38,12 +41,12 @@ def identity(docs: DataFrame, which: str, id_col: str = "doc_id", content_col: s
     return _content(docs, id_col, content_col).mapInArrow(run, "doc_id long, same boolean")
 
 
-def _rendered(which: str) -> Callable[[Tree], bytes]:
-    """The bytes that a tree stands for."""
+def _rendered(which: str) -> Callable[..., str]:
+    """The text, a character a byte, that a tree or the nodes of a range stand for."""
     command = dialect(which).command
-    literals = {k: v.encode() for k, v in PUNCT.get(command, {}).items()}
-    opaque = set(OPAQUE.get(command, "").split())
-    return lambda tree: b"".join(raw if raw is not None else literals.get(tag, b"") for tag, raw in zip(tree.tags, tree.raws(), strict=True) if tag not in opaque)
+    literals = PUNCT.get(command, {})
+    opaque = frozenset(OPAQUE.get(command, "").split())
+    return lambda tree, *some: tree.rendered(literals, opaque, *some)
 
 
 def judge(docs: DataFrame, which: str, id_col: str = "doc_id", content_col: str = "content") -> DataFrame:
@@ -56,7 +59,7 @@ def judge(docs: DataFrame, which: str, id_col: str = "doc_id", content_col: str
     rendered, declared = _rendered(which), frozenset(tag for name, tag, _, _ in node_spec_rows() if name == dialect(which).name)
 
     def of(tree: Tree) -> tuple[bool, int | None, list[str]]:
-        back, content = rendered(tree), tree.text.encode("latin-1")
+        back, content = rendered(tree), tree.text
         differ = None if back == content else next((i for i, (x, y) in enumerate(zip(back, content, strict=False)) if x != y), min(len(back), len(content)))
         return differ is None, differ, sorted(set(tree.tags) - declared)
 
@@ -101,16 +104,30 @@ def expect_nesting(nodes: DataFrame, tag: str, expected: DataFrame) -> DataFrame
     return _expected(max_nesting(nodes, tag), "depth", expected)
 
 
+def failed_from(trees: Iterable[tuple[Tree, int]], text: str, cuts: Iterable[int], rendered: Callable[..., str]) -> int:
+    """How many of the trees of growing prefixes do not render to their prefix; nodes that are kept are rendered once."""
+    failed, nodes, at, same = 0, 0, 0, True
+    for cut, (tree, kept) in zip(cuts, trees, strict=True):
+        if kept > nodes:
+            part = rendered(tree, nodes, kept)
+            same = same and text.startswith(part, at)
+            nodes, at = kept, at + len(part)
+        failed += not (same and at <= cut and rendered(tree, kept) == text[at:cut])
+    return failed
+
+
 def truncations(docs: DataFrame, which: str, id_col: str = "doc_id", content_col: str = "content") -> DataFrame:
-    """doc_id, prefixes, failed, skipped: up to 129 evenly spaced prefixes of each document are parsed and rendered.
+    """doc_id, prefixes, failed, skipped: 129 to 256 evenly spaced prefixes of each document, or all of a short one, are parsed and rendered.
 
     Documents above LARGEST bytes are skipped, and say so.  Prefixes are cut
-    and checked where the document is; none crosses a shuffle.
+    and checked where the document is; none crosses a shuffle.  A parser of
+    RESUMED does not parse again what a prefix shares with the one before.
     """
     parse, rendered = dialect(which).parse, _rendered(which)
+    resumed = RESUMED.get(parse)
 
-    def whole(text: str) -> bool:
-        return rendered(parse(text)) == text.encode("latin-1")
+    def failures(text: str, cuts: range) -> int:
+        return failed_from(resumed(text, cuts), text, cuts, rendered) if resumed else sum(rendered(parse(text[:n])) != text[:n] for n in cuts)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -121,7 +138,7 @@ def truncations(docs: DataFrame, which: str, id_col: str = "doc_id", content_col
                     rows.append((doc, 0, 0, True))
                     continue
                 cuts = range(0, len(text) + 1, max(1, len(text) // SAMPLES))
-                rows.append((doc, len(cuts), sum(not whole(text[:n]) for n in cuts), False))
+                rows.append((doc, len(cuts), failures(text, cuts), False))
             columns = list(zip(*rows, strict=True)) or [()] * 4
             yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.bool_()), strict=True)], names=["doc_id", "prefixes", "failed", "skipped"])
 
