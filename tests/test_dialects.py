@@ -120,6 +120,63 @@ def test_truncations_that_lose_bytes_are_counted(monkeypatch):
     assert 0 < both(rendering) < len(cuts)
 
 
+def same_nodes(text):
+    """Those of every prefix, as those of the prefix alone."""
+    sizes = []
+    for tree, kept, first, last in html.growing(text):
+        assert kept <= len(tree.tags)
+        for size in range(first, last + 1):
+            want = html.parse(text[:size])
+            spans = tree.spans if size == last else (*tree.spans[:-1], (tree.spans[-1][0], size))
+            assert (tree.tags, tree.offsets, spans) == (want.tags, want.offsets, want.spans), (text, size)
+        want = html.parse(text[:last])
+        assert (tree.parents, tree.depths) == (want.parents, want.depths), (text, last)
+        sizes += range(first, last + 1)
+    assert sizes == list(range(len(text) + 1))
+
+
+def test_all_prefixes_have_the_nodes_that_they_have_alone():
+    rng = random.Random("growing")
+    pieces = [*PIECES["html"], "</SCRIPT", "</scriptx>", "</script/ab", "<title a='>'>", "</title >", "<TITLE/>", "<style\0>", "</style\0>", "-", "!", "[", "</", "/", "/>", "<textarea", "ſ", "a = 'bc'", "x=y/z", "  ", "<!-- x -->", "<![CDATA[", "<?xml abc?>", "<p>", "</p>", "</div>"]
+    for text in ["", "<", "<a b/>", "<a/", "<br/>x", "</>", "<//>x", "<a b = />", "<script>x</script/>y", "<script></script >", "<style></styl</style", "<i><b></i></b>"]:
+        same_nodes(text)
+    for _ in range(1200):
+        same_nodes(latin("".join(rng.choice(pieces) for _ in range(rng.randint(0, 25)))))
+
+
+def test_all_truncations_that_lose_bytes_are_counted(monkeypatch):
+    """As many of all prefixes as when each is parsed alone, and also those that no sample of a long text has."""
+    rendering, start_part = gates._rendered("html"), html._start_part
+
+    def both(text, rendered):
+        found = gates.failed_growing(html.growing(text), text, lambda prefix: rendered(html.parse(prefix)) == prefix, rendered)
+        assert found == sum(rendered(html.parse(text[:n])) != text[:n] for n in range(len(text) + 1))
+        return found
+
+    def at_end(tree, toks, i, size):
+        found = start_part(tree, toks, i, size)
+        if found == len(toks) and toks[-1][0] == "eq":
+            tree._rows.pop(), tree.ends.pop()
+        return found
+
+    text = "<ul id=a><li class='b' c>x<br/></li></ul><!-- d --><style>e{}</style>"
+    assert both(text, rendering) == 0
+    assert both(text, lambda tree, *some: tree.rendered({"lt": "<", "ltslash": "</", "gt": ">", "eq": "="}, (), *some)) == len(text) - text.index(">", text.index("/>"))
+    assert both(text, lambda tree, *some: rendering(tree, *some).replace("x", "xx")) == len(text) - text.index("x")
+    monkeypatch.setattr(html, "_start_part", at_end)
+    assert both(text, rendering) == 2
+    text = "a" * 1001 + "<p b=c>" + "d" * 992
+    cuts = range(0, len(text) + 1, len(text) // gates.SAMPLES)
+    assert gates.failed_from(html.prefixes(text, cuts), text, cuts, rendering) == 0
+    assert both(text, rendering) == 1
+
+
+def test_all_prefixes_take_a_time_in_proportion():
+    """Long tags, deep elements, stray ends and raw text with what looks like its end are not parsed again from their start for each prefix."""
+    for text in ["<a" + " b='c'" * 9000, "<div>" * 9000 + "</div>" * 9000, "<p>" * 9000 + "</div>" * 9000, "<script>" + "</scriptx>" * 4000, "<!--" + "x" * 300_000, "</a" + " b c" * 9000]:
+        assert gates.failed_growing(html.growing(text), text, lambda prefix: False, gates._rendered("html")) == 0
+
+
 @pytest.mark.parametrize("name", PIECES)
 @pytest.mark.parametrize("text", ["(" * 3000, "[" * 3000, "{" * 3000, "<" * 2000, "a{" * 1500, "- " * 800, "<div>" * 2000, "if x:\n" + "".join(" " * i + "if x:\n" for i in range(300))])
 def test_deep_text_survives(name, text):

@@ -116,6 +116,21 @@ def test_truncations_of_pages(spark):
     assert found == {i: (n // max(1, n // 128) + 1, 0, False) if n <= 262_144 else (0, 0, True) for i, n in enumerate(sizes)}
 
 
+def test_truncations_of_every_size(spark):
+    """Neither a cap on documents nor a sample of prefixes when both are asked for."""
+    texts = [None, "", "<p>é<!-- x", "<li a='" * 90 + "x" * 300, "<" * 262_145]
+    for which, some in (("html", texts), ("css", texts[:3])):
+        found = {r["doc_id"]: tuple(r)[1:] for r in gates.truncations(docs(spark, *some), which, samples=None, largest=None).collect()}
+        assert found == {i: (len((t or "").encode()) + 1, 0, False) for i, t in enumerate(some)}
+
+
+def test_no_page_is_too_large_for_the_truncation_query(spark, tmp_path):
+    """Pages above 262144 bytes were skipped."""
+    pages = [(1, "<p>x</p>"), (2, "<div a='b'>é</div>" * 20_000), (3, None)]
+    spark.createDataFrame(pages, "page_id long, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    assert [r.asDict() for r in catalog.html_truncation_fuzz(spark, str(tmp_path)).collect()] == [{"failed": 0, "documents": 3, "skipped": 0}]
+
+
 def test_gates(spark):
     frame = docs(spark, "a{b:c}", "a{", "}", "")
     assert all(r["same"] and r["first_difference"] is None for r in gates.round_trip(frame, "css").collect())

@@ -14,10 +14,13 @@ from ..dialects.tree import Tree
 from .nodes import mapped
 from .tree import count_tag, max_nesting
 
-#: Prefixes of a document, and the largest document, of the truncation gate.
+#: Prefixes of a document, and the largest document, of the truncation gate, where it is not asked for all.
 SAMPLES, LARGEST = 128, 262_144
-#: Parsers, and what makes their trees of many prefixes of a text without starting over.
+#: Parsers, and what makes their trees of many prefixes of a text without starting over; the same of all prefixes.
 RESUMED = {html.parse: html.prefixes}
+GROWING = {html.parse: html.growing}
+#: Nodes that may be rendered again with the next prefix.
+_AGAIN = 8
 
 
 def _content(docs: DataFrame, id_col: str, content_col: str) -> DataFrame:
@@ -46,7 +49,7 @@ def _rendered(which: str) -> Callable[..., str]:
     command = dialect(which).command
     literals = PUNCT.get(command, {})
     opaque = frozenset(OPAQUE.get(command, "").split())
-    return lambda tree, *some: tree.rendered(literals, opaque, *some)
+    return lambda tree, start=0, stop=None: tree.rendered(literals, opaque, start, stop)
 
 
 def judge(docs: DataFrame, which: str, id_col: str = "doc_id", content_col: str = "content") -> DataFrame:
@@ -116,17 +119,43 @@ def failed_from(trees: Iterable[tuple[Tree, int]], text: str, cuts: Iterable[int
     return failed
 
 
-def truncations(docs: DataFrame, which: str, id_col: str = "doc_id", content_col: str = "content") -> DataFrame:
-    """doc_id, prefixes, failed, skipped: 129 to 256 evenly spaced prefixes of each document, or all of a short one, are parsed and rendered.
+def failed_growing(runs: Iterable[tuple[Tree, int, int, int]], text: str, alone: Callable[[str], bool], rendered: Callable[..., str]) -> int:
+    """How many of all prefixes do not render to themselves, from trees of runs of prefixes as :func:`html.growing` makes them.
 
-    Documents above LARGEST bytes are skipped, and say so.  Prefixes are cut
-    and checked where the document is; none crosses a shuffle.  A parser of
-    RESUMED does not parse again what a prefix shares with the one before.
+    The prefixes of a run have the same nodes and lack as many bytes of the last
+    leaf as of the text, so all hold if the longest does.  Of a run that does
+    not, each is asked for ``alone``.
+    """
+    failed, nodes, at = 0, 0, 0
+    for tree, kept, first, last in runs:
+        whole = kept == len(tree.ends)
+        if kept > nodes + _AGAIN and not whole:
+            part = rendered(tree, nodes, kept)
+            if text.startswith(part, at, last):
+                nodes, at = kept, at + len(part)
+        if rendered(tree, nodes) != text[at:last]:
+            failed += sum(not alone(text[:n]) for n in range(first, last + 1))
+        elif whole:
+            nodes, at = kept, last
+    return failed
+
+
+def truncations(docs: DataFrame, which: str, id_col: str = "doc_id", content_col: str = "content", samples: int | None = SAMPLES, largest: int | None = LARGEST) -> DataFrame:
+    """doc_id, prefixes, failed, skipped: prefixes of each document are parsed and rendered.
+
+    There are from one more to twice as many as ``samples``, evenly spaced, or
+    all of a short document; without ``samples`` there are those of every size.
+    Documents above ``largest`` bytes, if there is such a size, are skipped, and
+    say so.  Prefixes are cut and checked where the document is; none crosses a
+    shuffle.  A parser of RESUMED or GROWING does not parse again what a prefix
+    shares with the one before.
     """
     parse, rendered = dialect(which).parse, _rendered(which)
-    resumed = RESUMED.get(parse)
+    resumed, growing = RESUMED.get(parse), GROWING.get(parse)
 
     def failures(text: str, cuts: range) -> int:
+        if growing and samples is None:
+            return failed_growing(growing(text), text, lambda prefix: rendered(parse(prefix)) == prefix, rendered)
         return failed_from(resumed(text, cuts), text, cuts, rendered) if resumed else sum(rendered(parse(text[:n])) != text[:n] for n in cuts)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -134,10 +163,10 @@ def truncations(docs: DataFrame, which: str, id_col: str = "doc_id", content_col
             rows = []
             for doc, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 text = content.decode("latin-1")
-                if len(text) > LARGEST:
+                if largest is not None and len(text) > largest:
                     rows.append((doc, 0, 0, True))
                     continue
-                cuts = range(0, len(text) + 1, max(1, len(text) // SAMPLES))
+                cuts = range(0, len(text) + 1, max(1, len(text) // samples) if samples is not None else 1)
                 rows.append((doc, len(cuts), failures(text, cuts), False))
             columns = list(zip(*rows, strict=True)) or [()] * 4
             yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.bool_()), strict=True)], names=["doc_id", "prefixes", "failed", "skipped"])
